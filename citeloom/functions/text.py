@@ -32,6 +32,11 @@ def squeeze(value: Column | str) -> Column:
     return F.regexp_replace(as_col(value), r"(?U)\s+", "")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def is_blank(value: Column | str) -> Column:
     c = as_col(value)
     return c.isNull() | (squeeze(c) == "")
@@ -74,12 +79,11 @@ def shingles(value: Column | str, size: int = 5, sample: int | None = 80_000) ->
     norm = F.lower(squeeze(F.coalesce(as_col(value), F.lit(""))))
     if sample is not None:
         norm = F.substring(norm, 1, sample)
-    n = F.length(norm)
-    starts = F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1)), F.lit(size))
-    return (
-        F.when(n == 0, F.array().cast("array<string>"))
-        .when(n <= size, F.array(norm))
-        .otherwise(F.array_distinct(F.transform(starts, lambda i: F.substring(norm, i, F.lit(size)))))
+    # Consecutive matches of a fixed length are the non-overlapping pieces; a
+    # lambda over start positions would evaluate the text once per piece.
+    pieces = F.array_distinct(F.regexp_extract_all(norm, F.lit(f"(?s).{{{size}}}"), F.lit(0)))
+    return F.when(norm == "", F.array().cast("array<string>")).otherwise(
+        F.when(F.size(pieces) == 0, F.array(norm)).otherwise(pieces)
     )
 
 

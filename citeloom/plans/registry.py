@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import lru_cache
 
 from citeloom.plans import Registry
-from citeloom.plans import ranking
+from citeloom.plans import evidence, ranking, records
 
-MODULES = (ranking,)
+MODULES = (ranking, evidence, records)
 
 
 @lru_cache(maxsize=1)
