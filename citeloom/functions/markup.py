@@ -104,31 +104,40 @@ def textbook_references(text: Column | str) -> Column:
 
 def content_role(block_type: Column | str, text: Column | str) -> Column:
     """noise, annotation, reference or content."""
-    clean = collapse_space(F.coalesce(as_col(text), F.lit("")))
-    short = (clean != "") & (F.length(clean) <= 80)
-    return (
-        F.when(as_col(block_type).isin(*MARGIN_TYPES), "noise")
-        .when((clean != "") & (F.length(clean) <= 100) & clean.rlike(UI_NOISE), "noise")
-        .when(clean.rlike(ANNOTATION), "annotation")
-        .when(short & (F.size(textbook_references(clean)) > 0), "reference")
-        .otherwise("content")
-    )
+    kind = as_col(block_type)
+
+    def role(clean: Column) -> Column:
+        return (
+            F.when(kind.isin(*MARGIN_TYPES), "noise")
+            .when((clean != "") & (F.length(clean) <= 100) & clean.rlike(UI_NOISE), "noise")
+            .when(clean.rlike(ANNOTATION), "annotation")
+            .when(
+                (clean != "") & (F.length(clean) <= 80) & (F.size(textbook_references(clean)) > 0),
+                "reference",
+            )
+            .otherwise("content")
+        )
+
+    return let(collapse_space(F.coalesce(as_col(text), F.lit(""))), role)
 
 
 def bare_latex(value: Column | str) -> Column:
     """Formula text without its delimiters."""
-    v = strip(F.coalesce(as_col(value), F.lit("")))
 
-    def inner(pattern: str) -> Column:
-        return strip(F.regexp_extract(v, pattern, 1))
+    def unwrap(v: Column) -> Column:
+        def inner(pattern: str) -> Column:
+            return strip(F.regexp_extract(v, pattern, 1))
+
+        display = r"(?s)^\$\$(.*)\$\$\z"
+        return (
+            F.when(v.rlike(display), inner(display))
+            .when(v.rlike(r"(?s)^\\\[.*\\\]\z"), inner(r"(?s)^\\\[(.*)\\\]\z"))
+            .when(v.rlike(r"(?s)^\\\(.*\\\)\z"), inner(r"(?s)^\\\((.*)\\\)\z"))
+            .when(v.rlike(r"(?s)^\$.*\$\z"), inner(r"(?s)^\$(.*)\$\z"))
+            .otherwise(v)
+        )
 
-    return (
-        F.when(v.rlike(r"(?s)^\$\$.*\$\$\z") & (F.length(v) >= 4), inner(r"(?s)^\$\$(.*)\$\$\z"))
-        .when(v.rlike(r"(?s)^\\\[.*\\\]\z"), inner(r"(?s)^\\\[(.*)\\\]\z"))
-        .when(v.rlike(r"(?s)^\\\(.*\\\)\z"), inner(r"(?s)^\\\((.*)\\\)\z"))
-        .when(v.rlike(r"(?s)^\$.*\$\z") & (F.length(v) >= 2), inner(r"(?s)^\$(.*)\$\z"))
-        .otherwise(v)
-    )
+    return let(strip(F.coalesce(as_col(value), F.lit(""))), unwrap)
 
 
 def formula_latex(fields: dict[str, Column]) -> Column:

@@ -92,15 +92,15 @@ def mount_captions(items: DataFrame, keys: list[str] | None = None) -> DataFrame
 def to_blocks(items: DataFrame) -> DataFrame:
     """Typed blocks from content items, captions mounted, roles annotated."""
     item_text = F.col("text")
-    lines = F.array_join(
-        F.filter(
-            F.transform(
-                F.coalesce("lines", F.array()),
-                lambda ln: strip(F.coalesce(F.nullif(ln["text"], F.lit("")), ln["content"], F.lit(""))),
-            ),
-            lambda v: v != "",
+    pieces = F.filter(
+        F.transform(
+            F.coalesce("lines", F.array()),
+            lambda ln: strip(F.coalesce(F.nullif(ln["text"], F.lit("")), ln["content"], F.lit(""))),
         ),
-        F.when(F.col("type").isin(*CAPTION_TYPES), " ").otherwise("\n"),
+        lambda v: v != "",
+    )
+    lines = F.when(F.col("type").isin(*CAPTION_TYPES), F.array_join(pieces, " ")).otherwise(
+        F.array_join(pieces, "\n")
     )
     items = items.withColumn("text", F.coalesce(F.nullif(item_text, F.lit("")), lines, F.lit("")))
     caps = mount_captions(items)
@@ -507,7 +507,7 @@ def structured_chunks(
         ).alias("b")
     )
     lined = docs.withColumn(
-        "o", _outline(*[F.transform("b", lambda x, f=f: x[f]) for f in ("kind", "text", "level", "page")])
+        "o", _outline(*[F.col(f"b.{name}") for name in ("kind", "text", "level", "page")])
     )
     where = lined.select("doc_id", F.posexplode(F.arrays_zip("b", "o")).alias("seq", "z")).select(
         "doc_id", F.col("z.b.pos").alias("pos"), "seq",

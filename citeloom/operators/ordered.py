@@ -29,12 +29,8 @@ def carry_last(
     staged = df.withColumn("__value", value).withColumn(
         "__block", F.floor(F.col(pos) / block).cast("long")
     )
-    ends = (
-        staged.filter(F.col("__value").isNotNull())
-        .groupBy(*keys, "__block")
-        .agg(F.max_by("__value", pos).alias("__end"))
-    )
-    blocks = staged.select(*keys, "__block").distinct().join(ends, [*keys, "__block"], "left")
+    at = F.when(F.col("__value").isNotNull(), F.col(pos))
+    blocks = staged.groupBy(*keys, "__block").agg(F.max_by("__value", at).alias("__end"))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(
         Window.unboundedPreceding, -1
     )

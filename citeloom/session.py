@@ -66,3 +66,10 @@ def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small, reused result (survives lost executors)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a reused intermediate to the shared folder once and read it back."""
+    path = shared_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
