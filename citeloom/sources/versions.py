@@ -1,0 +1,78 @@
+"""Versioned tables: stage a new directory, then flip a small pointer file.
+
+Readers resolve the pointer first, so they see the old or the new version and
+never a part of one.  A batch id in the pointer makes a repeated publish of the
+same batch a no-op.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _read_pointer(spark: SparkSession, root: str) -> dict:
+    jvm, fs, path = _fs(spark, f"{root}/_current")
+    if not fs.exists(path):
+        return {}
+    stream = fs.open(path)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return json.loads(text)
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The published version of a table."""
+    pointer = _read_pointer(spark, root)
+    if not pointer:
+        raise FileNotFoundError(f"nothing published at {root}")
+    return spark.read.parquet(f"{root}/{pointer['version']}")
+
+
+def publish(
+    df: DataFrame, root: str, batch_id: str, partition_by: list[str] | None = None
+) -> bool:
+    """Write ``df`` as a new version and point readers at it.
+
+    Returns False when the batch was already published.  The version directory
+    is named after the batch, so a retry after a lost driver overwrites its own
+    unfinished attempt only.
+    """
+    spark = df.sparkSession
+    pointer = _read_pointer(spark, root)
+    if batch_id in pointer.get("batches", []):
+        return False
+    version = f"v_{batch_id}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(f"{root}/{version}")
+    batches = [*pointer.get("batches", []), batch_id]
+    body = json.dumps({"version": version, "previous": pointer.get("version"), "batches": batches})
+    jvm, fs, staged = _fs(spark, f"{root}/_next")
+    stream = fs.create(staged, True)
+    stream.write(bytearray(body.encode("utf-8")))
+    stream.close()
+    _, _, live = _fs(spark, f"{root}/_current")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        live.toUri(), spark.sparkContext._jsc.hadoopConfiguration()
+    )
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(fs.makeQualified(staged), fs.makeQualified(live), options)
+    return True
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """JSON lines report of an evaluation run."""
+    df.write.mode("overwrite").json(path)

@@ -1,0 +1,226 @@
+"""Durable run journal: leases, control, exactly-once publishing.
+
+The batch functions are compare-and-set steps over the runs table, one command
+per run and step; the streaming operator folds a command log into run states.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from citeloom.operators.joins import first_rows
+
+LEASE = 60.0
+OPEN = ("running", "paused", "interrupted", "failed", "ready")
+CLAIMABLE = ("paused", "interrupted", "failed", "running")
+
+
+def observed(runs: DataFrame, now: Column) -> DataFrame:
+    """Read form: a running row whose lease ran out was interrupted or cancelled."""
+    dead = (F.col("status") == "running") & (F.col("lease") < now)
+    return runs.withColumn(
+        "status",
+        F.when(dead & (F.col("control") == "cancel"), "cancelled")
+        .when(dead, "interrupted")
+        .otherwise(F.col("status")),
+    )
+
+
+def create(runs: DataFrame, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """New runs for conversations without an open one, and the rejected requests.
+
+    ``requests``: run_id, conversation_id, course_id, request, breakpoints, at.
+    A cancelled run whose worker died does not block its conversation.
+    """
+    dead = (F.col("status") == "running") & (F.col("control") == "cancel") & (F.col("lease") < now)
+    swept = runs.withColumn("status", F.when(dead, "cancelled").otherwise(F.col("status")))
+    busy = swept.filter(F.col("status").isin(*OPEN)).select("conversation_id").distinct()
+    first = first_rows(requests, ["conversation_id"], [F.asc("at"), F.asc("run_id")], 1)
+    fresh = first.join(busy, "conversation_id", "left_anti").select(
+        "run_id", "conversation_id", "course_id", "request", F.lit("paused").alias("status"),
+        F.lit("run").alias("control"), "breakpoints", F.lit(None).cast("string").alias("owner"),
+        F.lit(0.0).alias("lease"), F.lit(False).alias("published"),
+        F.col("at").alias("created"), F.col("at").alias("updated"),
+    )
+    rejected = requests.join(fresh.select("run_id"), "run_id", "left_anti")
+    return swept.unionByName(fresh, allowMissingColumns=True), rejected
+
+
+def claim(runs: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
+    """Take over claimable runs: new owner and lease; the first claim wins.
+
+    ``claims``: run_id, course_id, new_owner, mode, seq.
+    """
+    first = first_rows(claims, ["run_id"], [F.asc("seq")], 1).select(
+        "run_id", F.col("course_id").alias("c_course"), "new_owner", "mode"
+    )
+    out = runs.join(first, "run_id", "left")
+    ok = F.coalesce(
+        (F.col("c_course") == F.col("course_id"))
+        & (F.col("control") != "cancel")
+        & F.col("status").isin(*CLAIMABLE)
+        & (F.col("owner").isNull() | (F.col("lease") < now)),
+        F.lit(False),
+    )
+    return out.withColumn("claimed", ok).withColumns(
+        {
+            "owner": F.when(ok, F.col("new_owner")).otherwise(F.col("owner")),
+            "lease": F.when(ok, now + LEASE).otherwise(F.col("lease")),
+            "status": F.when(ok, "running").otherwise(F.col("status")),
+            "control": F.when(ok, F.col("mode")).otherwise(F.col("control")),
+            "updated": F.when(ok, now).otherwise(F.col("updated")),
+        }
+    ).drop("c_course", "new_owner", "mode")
+
+
+def control(runs: DataFrame, commands: DataFrame, now: Column) -> DataFrame:
+    """Pause or cancel: idle runs change at once, live ones at the next boundary.
+
+    ``commands``: run_id, action.
+    """
+    out = runs.join(commands.select("run_id", "action"), "run_id", "left")
+    live = F.col("owner").isNotNull() & (F.col("lease") >= now)
+    ok = F.col("status").isin("running", "paused", "interrupted", "failed") & F.col("action").isin(
+        "pause", "cancel"
+    )
+    ok = F.coalesce(ok, F.lit(False))
+    target = F.when(live, "running").when(F.col("action") == "cancel", "cancelled").otherwise("paused")
+    return out.withColumns(
+        {
+            "control": F.when(ok, F.col("action")).otherwise(F.col("control")),
+            "status": F.when(ok, target).otherwise(F.col("status")),
+            "updated": F.when(ok, now).otherwise(F.col("updated")),
+        }
+    ).drop("action")
+
+
+def fenced(rows: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
+    """Writes of workers that still own a live lease (run_id, owner, ...)."""
+    live = runs.filter(F.col("lease") > now).select("run_id", "owner")
+    return rows.join(live, ["run_id", "owner"], "left_semi")
+
+
+def finish(runs: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Owner-fenced end of a run; a NULL result keeps the stored one.
+
+    ``results``: run_id, owner, new_status, new_result.
+    """
+    out = runs.join(
+        results.select("run_id", F.col("owner").alias("r_owner"), "new_status", "new_result"),
+        "run_id", "left",
+    )
+    ok = F.coalesce(F.col("r_owner") == F.col("owner"), F.lit(False))
+    return out.withColumns(
+        {
+            "status": F.when(ok, F.col("new_status")).otherwise(F.col("status")),
+            "result": F.when(ok, F.coalesce("new_result", "result")).otherwise(F.col("result")),
+            "lease": F.when(ok, 0.0).otherwise(F.col("lease")),
+            "updated": F.when(ok, now).otherwise(F.col("updated")),
+            "owner": F.when(~ok, F.col("owner")),
+        }
+    ).drop("r_owner", "new_status", "new_result")
+
+
+def publish(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Flip ready runs to published and return their two messages.
+
+    A published run yields nothing, so a repeated publish adds no messages; the
+    message ids are derived from the run id.
+    """
+    due = (F.col("status") == "ready") & ~F.col("published")
+    ready = runs.filter(due)
+    messages = ready.select(
+        "conversation_id",
+        F.inline(
+            F.array(
+                F.struct(
+                    F.concat("run_id", F.lit("_user")).alias("id"), F.lit("user").alias("role"),
+                    F.get_json_object("request", "$.question").alias("content"),
+                ),
+                F.struct(
+                    F.concat("run_id", F.lit("_assistant")).alias("id"), F.lit("assistant").alias("role"),
+                    F.get_json_object("result", "$.answer").alias("content"),
+                ),
+            )
+        ),
+    )
+    flipped = runs.withColumns(
+        {
+            "status": F.when(due, "completed").otherwise(F.col("status")),
+            "published": F.col("published") | due,
+        }
+    )
+    return flipped, messages
+
+
+def numbered_events(events: DataFrame) -> DataFrame:
+    """Event log with a monotone sequence per run, by arrival."""
+    from citeloom.operators.ordered import running_count
+
+    return running_count(events, ["run_id"], "arrival", "seq")
+
+
+def newest_checkpoint(checkpoints: DataFrame, n: int = 200) -> DataFrame:
+    """Newest checkpoints per run and namespace, newest first."""
+    return first_rows(
+        checkpoints, ["run_id", "ns"], [F.desc("checkpoint_id")], n, rank="place"
+    )
+
+
+def public_runs(runs: DataFrame, n: int = 30) -> DataFrame:
+    """Newest runs per conversation without private columns."""
+    shown = runs.drop("request", "result", "owner", "lease")
+    return first_rows(shown, ["conversation_id"], [F.desc("created")], n, rank="place")
+
+
+# --- streaming fold -----------------------------------------------------------
+
+COMMANDS = "run_id long, seq long, at double, kind string, owner string"
+RUN_STATE = "status string, control string, owner string, lease double, last long, rejected long"
+RUN_OUTPUT = "run_id long, seq long, status string, control string, owner string, rejected long"
+
+
+def apply_command(state: tuple, at: float, kind: str, owner: str) -> tuple:
+    """One journal command on (status, control, owner, lease, rejected)."""
+    status, control_, held, lease, rejected = state
+    if status == "running" and lease < at:
+        status, held = ("cancelled" if control_ == "cancel" else "interrupted"), None
+    if kind == "claim" and control_ != "cancel" and status in CLAIMABLE and held is None:
+        return "running", "run", owner, at + LEASE, rejected
+    if kind == "renew" and held == owner:
+        return status, control_, held, at + LEASE, rejected
+    if kind == "finish" and held == owner:
+        return "completed", control_, None, 0.0, rejected
+    if kind in ("pause", "cancel") and status in ("running", "paused", "interrupted", "failed"):
+        idle = "cancelled" if kind == "cancel" else "paused"
+        return ("running" if held else idle), kind, held, lease, rejected
+    return status, control_, held, lease, rejected + 1
+
+
+def _fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    current = state.get if state.exists else ("paused", "run", None, 0.0, -1, 0)
+    *run, last, rejected = current
+    run = (*run, rejected)
+    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+    for seq, at, kind, owner in zip(rows["seq"], rows["at"], rows["kind"], rows["owner"]):
+        if seq > last:
+            last = int(seq)
+            run = apply_command(run, float(at), kind, owner)
+    status, control_, held, lease, rejected = run
+    state.update((status, control_, held, float(lease), last, int(rejected)))
+    yield pd.DataFrame(
+        [(key[0], last, status, control_, held, int(rejected))],
+        columns=["run_id", "seq", "status", "control", "owner", "rejected"],
+    )
+
+
+def run_states(commands: DataFrame) -> DataFrame:
+    """State of every run touched in a micro-batch of the command stream."""
+    return commands.groupBy("run_id").applyInPandasWithState(
+        _fold, RUN_OUTPUT, RUN_STATE, "update", GroupStateTimeout.NoTimeout
+    )
