@@ -446,30 +446,32 @@ def formula_context(blocks: DataFrame, max_chars: int = 420) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<struct<path:string, group_no:int>>")
-def _outline(kinds: pd.Series, texts: pd.Series, levels: pd.Series, pages: pd.Series) -> pd.Series:
+def _outline(kinds, texts, levels, pages) -> list[dict]:
     """Section path and text group of each block of a document.
 
     A title replaces the headings at its level and below.  Text blocks of one
     page share a group; a title opens a group and any other block closes it.
     """
+    stack, out, group, open_page, is_open = [], [], 0, None, False
+    for kind, text, level, page in zip(kinds, texts, levels, pages):
+        if kind == "skip":
+            out.append({"path": "", "group_no": -1})
+            continue
+        if kind == "title":
+            del stack[max(1, level or 1) - 1 :]
+            stack.append(text)
+        if kind != "text" or not is_open or page != open_page:
+            group += 1
+        is_open, open_page = kind in ("title", "text"), page
+        out.append({"path": " / ".join(stack), "group_no": group})
+    return out
 
-    def one(kind, text, level, page):
-        stack, out, group, open_page, is_open = [], [], 0, None, False
-        for k, t, lv, p in zip(kind, text, level, page):
-            if k == "skip":
-                out.append({"path": "", "group_no": -1})
-                continue
-            if k == "title":
-                del stack[max(1, lv or 1) - 1 :]
-                stack.append(t)
-            if k != "text" or not is_open or p != open_page:
-                group += 1
-            is_open, open_page = k in ("title", "text"), p
-            out.append({"path": " / ".join(stack), "group_no": group})
-        return out
 
-    return pd.Series([one(*row) for row in zip(kinds, texts, levels, pages)])
+def _outlines(*columns: Column) -> Column:
+    def each(kinds: pd.Series, texts: pd.Series, levels: pd.Series, pages: pd.Series) -> pd.Series:
+        return pd.Series([_outline(*row) for row in zip(kinds, texts, levels, pages)])
+
+    return F.pandas_udf(each, "array<struct<path:string, group_no:int>>")(*columns)
 
 
 def structured_chunks(
@@ -507,7 +509,7 @@ def structured_chunks(
         ).alias("b")
     )
     lined = docs.withColumn(
-        "o", _outline(*[F.col(f"b.{name}") for name in ("kind", "text", "level", "page")])
+        "o", _outlines(*[F.col(f"b.{name}") for name in ("kind", "text", "level", "page")])
     )
     where = lined.select("doc_id", F.posexplode(F.arrays_zip("b", "o")).alias("seq", "z")).select(
         "doc_id", F.col("z.b.pos").alias("pos"), "seq",

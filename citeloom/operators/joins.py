@@ -18,6 +18,19 @@ def row_bound(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> int | None:
     return n if n <= max_rows else None
 
 
+def unnest(df: DataFrame, array: Column | str, name: str, *keep, pos: str | None = None) -> DataFrame:
+    """One row per array element.
+
+    An inner explode makes the optimiser add a size test on the array below it,
+    which would evaluate an expensive array expression a second time, on the
+    scan.  The outer form does not; its filler row is dropped afterwards.
+    """
+    made = (
+        F.posexplode_outer(array).alias(pos, name) if pos else F.explode_outer(array).alias(name)
+    )
+    return df.select(*keep, made).filter(F.col(name).isNotNull())
+
+
 def join_small(
     big: DataFrame,
     small: DataFrame,

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.text import tokenize
 from citeloom.operators.evidence import is_applicable
-from citeloom.operators.joins import first_rows, join_small, row_bound
+from citeloom.operators.joins import first_rows, join_small, row_bound, unnest
 
 K1 = 1.5
 B = 0.75
@@ -40,8 +40,8 @@ def tokenized(chunks: DataFrame, *keep: str) -> DataFrame:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """Inverted index rows; the table a deployment writes once per ingest."""
-    return tokenized(chunks).select(
-        "course_id", F.explode("tokens").alias("token"), "doc_id", "chunk_index", "dl"
+    return unnest(
+        tokenized(chunks), "tokens", "token", "course_id", "doc_id", "chunk_index", "dl"
     )
 
 
@@ -67,9 +67,7 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
-    return queries.select(
-        "query_id", "course_id", F.explode(tokenize("query_text")).alias("token")
-    )
+    return unnest(queries, tokenize("query_text"), "token", "query_id", "course_id")
 
 
 def _query_weights(chunks: DataFrame, tokens: DataFrame, rows: int | None) -> DataFrame:
@@ -81,11 +79,8 @@ def _query_weights(chunks: DataFrame, tokens: DataFrame, rows: int | None) -> Da
     vocab = tokens.select("course_id", "token").union(
         tokens.select("course_id", F.lit(_TOTAL).alias("token"))
     ).distinct()
-    marks = tokenized(chunks).select(
-        "course_id",
-        "dl",
-        F.explode(F.concat("tokens", F.array(F.lit(_TOTAL)))).alias("token"),
-    )
+    marked = F.concat("tokens", F.array(F.lit(_TOTAL)))
+    marks = unnest(tokenized(chunks), marked, "token", "course_id", "dl")
     counted = (
         join_small(marks, vocab, ["course_id", "token"], "left_semi", rows=rows and 2 * rows)
         .groupBy("course_id", "token")
@@ -122,8 +117,9 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, rows: int | None = None)
     if scope:
         weights = weights.join(queries.select("query_id", *scope), "query_id")
     meta = ("applicability_scope", "effective_from", "effective_to") if scope else ()
-    terms = tokenized(chunks, *meta).select(
-        "course_id", "doc_id", "chunk_index", "dl", *meta, F.explode("tokens").alias("token")
+    terms = unnest(
+        tokenized(chunks, *meta), "tokens", "token",
+        "course_id", "doc_id", "chunk_index", "dl", *meta,
     )
     matched = join_small(terms, weights, ["course_id", "token"], rows=rows)
     in_scope = (

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import shingles
-from citeloom.operators.joins import first_rows
+from citeloom.operators.joins import first_rows, unnest
+from citeloom.session import materialize
 
 SIMILARITY = 0.20
 
@@ -32,15 +33,21 @@ def duplicate_of(docs: DataFrame, keys: list[str], hash_col: str = "content_hash
 
 
 def shingle_sets(docs: DataFrame, keys: list[str], sample: int | None = None) -> DataFrame:
-    """One row per distinct shingle set of a family, with its smallest document."""
-    sets = docs.select(*keys, "doc_id", F.array_sort(shingles("text", 5, sample)).alias("set"))
-    marked = sets.withColumn("sig", F.xxhash64("set")).withColumn("sig2", F.hash("set"))
-    return (
-        marked.filter(F.size("set") > 0)
-        .groupBy(*keys, "sig", "sig2")
-        .agg(F.min("doc_id").alias("rep"), F.min_by("set", "doc_id").alias("set"))
-        .select(*keys, "rep", "sig", "sig2", "set", F.size("set").alias("n"))
+    """Sorted shingle set of every document with its size and signature."""
+    sets = docs.select(*keys, "doc_id", F.sort_array(shingles("text", 5, sample)).alias("set"))
+    return sets.withColumns(
+        {"n": F.size("set"), "sig": F.xxhash64("set"), "sig2": F.hash("set")}
+    )
+
+
+def distinct_sets(sets: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per non-empty distinct set of a family, with its smallest document."""
+    firsts = (
+        sets.filter("n > 0")
+        .groupBy(*keys, "n", "sig", "sig2")
+        .agg(F.min("doc_id").alias("rep"))
     )
+    return firsts
 
 
 def similar_earlier(
@@ -55,19 +62,17 @@ def similar_earlier(
     * shingles are ranked from rare to frequent within the family, and only the
       first ``n - ceil(t * n) + 1`` of a set can be the first common shingle of
       a pair at or above ``t``, so the most frequent ones are never joined on;
-    * a pair needs sizes within a factor ``t``, and only pairs that meet in a
-      prefix are verified on the full sets.
+    * a pair needs sizes within a factor ``t`` and enough common shingles in the
+      prefixes to reach ``t`` at all; only such pairs are verified on full sets.
 
     Output: doc_id, best_doc, similarity (NULL without a match at ``threshold``).
     """
-    reps = shingle_sets(docs, keys, sample)
-    members = docs.select(
-        *keys, "doc_id", F.array_sort(shingles("text", 5, sample)).alias("set")
-    ).select(
-        *keys, "doc_id", F.size("set").alias("n"), F.xxhash64("set").alias("sig"),
-        F.hash("set").alias("sig2"),
-    )
-    tokens = reps.select(*keys, "rep", "n", F.explode("set").alias("shingle"))
+    # The sets feed several joins; they are cut once and read back by column.
+    sets = materialize(shingle_sets(docs, keys, sample), "shingles")
+    reps = distinct_sets(sets, keys)
+    members = sets.select(*keys, "doc_id", "n", "sig", "sig2")
+    owned = sets.join(reps.select(*keys, F.col("rep").alias("doc_id")), [*keys, "doc_id"], "left_semi")
+    tokens = unnest(owned, "set", "shingle", *keys, F.col("doc_id").alias("rep"), "n")
     freq = tokens.groupBy(*keys, "shingle").agg(F.count("*").alias("df"))
     # A shingle found in one set only cannot link two sets; it still counts in
     # the rank, which the sizes below account for.
@@ -83,21 +88,26 @@ def similar_earlier(
         .select(*keys, "shingle", "rep", "n")
     )
     later = prefix.withColumnsRenamed({"rep": "rep_b", "n": "n_b"})
+    # Common shingles outside both prefixes lie in the suffix of one side, and a
+    # Jaccard of t needs t / (1 + t) of the summed sizes in common.
+    suffix = F.ceil(F.greatest("n", "n_b") * threshold - 1e-9) - 1
+    needed = (F.col("n") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
     pairs = (
         prefix.join(later, [*keys, "shingle"])
         .filter(
             (F.col("rep") < F.col("rep_b"))
             & (F.least("n", "n_b") >= F.greatest("n", "n_b") * threshold - 1e-9)
         )
+        .groupBy(*keys, "rep", "rep_b", "n", "n_b")
+        .agg(F.count("*").alias("met"))
+        .filter(F.col("met") + suffix >= needed)
         .select(*keys, "rep", "rep_b")
-        .distinct()
     )
-    sets = reps.select(*keys, "rep", "set")
+    first = sets.select(*keys, F.col("doc_id").alias("rep"), "set")
+    second = sets.select(*keys, F.col("doc_id").alias("rep_b"), F.col("set").alias("set_b"))
     checked = (
-        pairs.join(sets, [*keys, "rep"])
-        .join(
-            sets.withColumnsRenamed({"rep": "rep_b", "set": "set_b"}), [*keys, "rep_b"]
-        )
+        pairs.join(first, [*keys, "rep"])
+        .join(second, [*keys, "rep_b"])
         .withColumn("common", F.size(F.array_intersect("set", "set_b")))
         .select(
             *keys, "rep", "rep_b",
@@ -110,9 +120,8 @@ def similar_earlier(
     best = first_rows(
         checked, [*keys, "rep_b"], [F.desc("similarity"), F.asc("rep")], 1
     ).select(*keys, F.col("rep_b").alias("doc_id"), F.col("rep").alias("near"), "similarity")
-    owners = reps.select(*keys, "sig", "sig2", F.col("rep"))
     return (
-        members.join(owners, [*keys, "sig", "sig2"], "left")
+        members.join(reps, [*keys, "n", "sig", "sig2"], "left")
         .join(best, [*keys, "doc_id"], "left")
         .select(
             *keys,
@@ -155,11 +164,13 @@ def match_candidates(
         "file_id", "course_id", "logical_name", shingles("text").alias("set_a")
     )
     # Shingle-wise counting: a pair exists only through a common shingle.
-    a = open_.select("file_id", "course_id", "logical_name", F.size("set_a").alias("na"),
-                     F.explode("set_a").alias("shingle"))
+    a = unnest(
+        open_, "set_a", "shingle", "file_id", "course_id", "logical_name", F.size("set_a").alias("na")
+    )
     s = live.select("doc_id", "course_id", "logical_name", shingles("text").alias("set_b"))
-    b = s.select("doc_id", "course_id", "logical_name", F.size("set_b").alias("nb"),
-                 F.explode("set_b").alias("shingle"))
+    b = unnest(
+        s, "set_b", "shingle", "doc_id", "course_id", "logical_name", F.size("set_b").alias("nb")
+    )
     scored = (
         a.join(b, ["course_id", "logical_name", "shingle"])
         .groupBy("file_id", "doc_id", "na", "nb")

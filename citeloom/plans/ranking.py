@@ -110,7 +110,7 @@ def add(reg) -> None:
         return d.select(
             "doc_id",
             F.size("toks").cast("long").alias("n_tokens"),
-            F.nullif(F.array_join(F.array_sort("toks"), " "), F.lit("")).alias("tokens"),
+            F.nullif(F.array_join(F.sort_array("toks"), " "), F.lit("")).alias("tokens"),
         )
 
     @reg.add(

@@ -50,7 +50,7 @@ def add(reg) -> None:
         "WITH " + SHINGLE_SQL + "SELECT doc_id, CAST(len(s) AS BIGINT) AS n, list_aggregate(list_sort(s), 'string_agg', ' ') AS set FROM sets",
     )
     def shingle_sets(spark, sf):
-        d = families(spark, sf).select("doc_id", F.array_sort(shingles("text", 5, None)).alias("s"))
+        d = families(spark, sf).select("doc_id", F.sort_array(shingles("text", 5, None)).alias("s"))
         return d.select(
             "doc_id", F.size("s").cast("long").alias("n"), F.nullif(F.array_join("s", " "), F.lit("")).alias("set")
         )

@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import lru_cache
 
 from citeloom.plans import Registry
-from citeloom.plans import documents, evidence, live, ranking, records
+from citeloom.plans import documents, evidence, live, ranking, records, tasks
 
-MODULES = (ranking, evidence, records, documents, live)
+MODULES = (ranking, evidence, records, documents, live, tasks)
 
 
 @lru_cache(maxsize=1)

@@ -44,17 +44,21 @@ def decode_utf8(content: Column | str) -> Column:
     return F.when(F.is_valid_utf8(c.cast("string")), F.regexp_replace(text, "^\\uFEFF", ""))
 
 
-@F.pandas_udf("string")
-def _decode_other(raw: pd.Series) -> pd.Series:
-    def one(data):
-        if data is None:
-            return None
-        try:
-            return data.decode("gbk")
-        except UnicodeDecodeError:
-            return data.decode("utf-8", errors="replace")
-
-    return raw.map(one)
+def decode_bytes(data: bytes | None) -> str | None:
+    """GBK text, else UTF-8 with replacement characters."""
+    if data is None:
+        return None
+    try:
+        return data.decode("gbk")
+    except UnicodeDecodeError:
+        return data.decode("utf-8", errors="replace")
+
+
+def _decode_other(raw: Column) -> Column:
+    def each(values: pd.Series) -> pd.Series:
+        return values.map(decode_bytes)
+
+    return F.pandas_udf(each, "string")(raw)
 
 
 def decode_text(content: str = "content") -> Column:
