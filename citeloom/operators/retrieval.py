@@ -9,7 +9,7 @@ from citeloom.functions import queries as q
 from citeloom.functions.text import is_blank, strip
 from citeloom.operators import expansion, selection
 from citeloom.operators.fusion import HIT_KEY, renumber, rrf_fuse
-from citeloom.operators.joins import join_small, row_bound
+from citeloom.operators.joins import BROADCAST_ROWS, join_small
 from citeloom.operators.lexical import bm25_topk
 from citeloom.operators.rerank import Scorer, rerank
 from citeloom.operators.vector import vector_topk
@@ -93,7 +93,13 @@ def retrieve(
             raise ValueError(f"queries need {name}")
     chunks = active(chunks)
     prepared = prepare_queries(queries)
-    n = row_bound(queries)
+    # One look at the questions: how many, and whether any asks for completion.
+    seen = prepared.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.bool_or("is_list"), F.lit(False)).alias("lists"),
+        F.coalesce(F.bool_or("is_formula"), F.lit(False)).alias("formulas"),
+    ).first()
+    n = seen["n"] if seen["n"] <= BROADCAST_ROWS else None
     pool = max(rerank_candidates, top_k) if scorer else top_k * 2
     fuse_k = pool if scorer else pool * 2
     fused = candidates(chunks, prepared, pool, fuse_k, n)
@@ -116,14 +122,15 @@ def retrieve(
         kept = selection.definition_first(kept)
         kept = selection.first_k(selection.distinct_passages(kept), top_k)
     kept = kept.withColumn("reason", F.lit("").cast("string"))
-    if expand and {"block_type", "page"} <= set(chunks.columns):
-        kept = _complete(chunks, kept, prepared, flags, top_k, n)
+    asked = seen["lists"], seen["formulas"]
+    if expand and any(asked) and {"block_type", "page"} <= set(chunks.columns):
+        kept = _complete(chunks, kept, prepared, flags, top_k, n, *asked)
     if scope:
         kept = selection.select_evidence(kept, F.col("is_scoped"))
     return kept.drop("question", "topic", "is_formula", "is_list", "is_scoped", "rrf", "query_text")
 
 
-def _complete(chunks, kept, prepared, flags, top_k, n) -> DataFrame:
+def _complete(chunks, kept, prepared, flags, top_k, n, lists, formulas) -> DataFrame:
     """List and formula completion for the queries that ask for them."""
     formula = F.coalesce(F.col("block_type"), F.lit("")) == "formula"
     kept = renumber(
@@ -142,10 +149,14 @@ def _complete(chunks, kept, prepared, flags, top_k, n) -> DataFrame:
             *[c if c in full.columns or c in flags.columns else F.lit(None).alias(c) for c in cols]
         )
 
-    lists = expansion.expand_lists(
-        chunks, kept.filter("is_list"), asked.filter("is_list"), top_k, rows
-    )
-    kept = expansion.append_missing(kept, as_hits(lists, F.lit("list_completion")))
+    if lists:
+        found = expansion.expand_lists(
+            chunks, kept.filter("is_list"), asked.filter("is_list"), top_k, rows
+        )
+        kept = expansion.append_missing(kept, as_hits(found, F.lit("list_completion")))
+        kept = settle(kept) if formulas else kept
+    if not formulas:
+        return kept
     asking = kept.filter("is_formula")
     found = expansion.expand_formulas(
         chunks, asking, asked.filter("is_formula"), top_k, n and n * (top_k + 12)
