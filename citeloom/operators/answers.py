@@ -27,10 +27,9 @@ def evidence_block(index: Column) -> Column:
     kind = F.lit("正文证据")
     for name, title in KINDS.items():
         kind = F.when(F.col("block_type") == name, F.lit(title)).otherwise(kind)
-    none = F.lit(None).cast("string")
     return F.concat(
         F.lit("【证据编号="), index.cast("string"), F.lit(" · "), source, F.lit(" · "), label,
-        F.lit(" · "), kind, F.lit("】\n证据属性："), evidence_reason(none, none), F.lit("\n"), text,
+        F.lit(" · "), kind, F.lit("】\n证据属性："), evidence_reason(), F.lit("\n"), text,
     )
 
 

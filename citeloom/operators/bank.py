@@ -157,7 +157,9 @@ def colliding_drafts(drafts: DataFrame, questions: DataFrame) -> DataFrame:
 
 def choice_answer(options: Column | str, answer: Column | str) -> Column:
     """Index of the only option equal to the answer, NULL if not unique."""
-    opts = F.transform(F.col(options) if isinstance(options, str) else options, F.trim)
+    opts = F.transform(
+        F.col(options) if isinstance(options, str) else options, lambda o: F.trim(o)
+    )
     ans = F.trim(F.col(answer) if isinstance(answer, str) else answer)
     ok = (F.size(opts) >= 2) & (F.size(F.array_distinct(opts)) == F.size(opts))
     at = F.array_position(opts, ans)
@@ -267,22 +269,22 @@ def present_attempts(attempts: DataFrame) -> DataFrame:
 
 def first_requests(starts: DataFrame) -> DataFrame:
     """Idempotent start: the first row of a request wins, conflicts are flagged."""
-    w = Window.partitionBy("course_id", "request_id").orderBy("created_at", "attempt_id")
-    first = F.first(F.struct("question_id", "previous_attempt_id")).over(w)
+    first = first_rows(
+        starts, ["course_id", "request_id"], [F.asc("created_at"), F.asc("attempt_id")], 1
+    ).select(
+        "course_id", "request_id", F.col("attempt_id").alias("__id"),
+        F.struct("question_id", "previous_attempt_id").alias("__first"),
+    )
+    same = F.struct("question_id", "previous_attempt_id").eqNullSafe(F.col("__first"))
     return (
-        starts.withColumn("first", first)
-        .withColumn("n", F.row_number().over(w))
+        starts.join(first, ["course_id", "request_id"])
         .withColumn(
             "outcome",
-            F.when(F.col("n") == 1, "created")
-            .when(
-                F.col("first.question_id").eqNullSafe(F.col("question_id"))
-                & F.col("first.previous_attempt_id").eqNullSafe(F.col("previous_attempt_id")),
-                "existing",
-            )
+            F.when(F.col("attempt_id") == F.col("__id"), "created")
+            .when(same, "existing")
             .otherwise("conflict"),
         )
-        .drop("first", "n")
+        .drop("__id", "__first")
     )
 
 

@@ -123,29 +123,32 @@ def authority_order() -> list[Column]:
     ]
 
 
-def evidence_reason(scenario: Column, as_of: Column) -> Column:
+def evidence_reason(scenario: Column | None = None, as_of: Column | None = None) -> Column:
     """Human-readable selection reason; absent parts are skipped."""
-    scenario = F.nullif(scenario, F.lit(""))
-    as_of = F.nullif(as_of, F.lit(""))
-    return F.concat_ws(
-        "；",
-        F.when(
-            scenario.isNotNull(),
-            F.concat(F.lit("适用场景="), or_default("applicability_scope", ALL_SCOPES)),
-        ),
-        F.when(
-            as_of.isNotNull(),
-            F.concat(
-                F.lit("生效期="), or_default("effective_from", "未知"),
-                F.lit("~"), or_default("effective_to", "未知"),
-            ),
-        ),
-        F.concat(
-            F.lit("权威="), or_default("authority_label", "未识别"), F.lit("(L"),
-            F.coalesce(F.col("authority_level"), F.lit(0)).cast("string"), F.lit(")"),
-        ),
+    parts = []
+    if scenario is not None:
+        parts.append(
+            F.when(
+                F.nullif(scenario, F.lit("")).isNotNull(),
+                F.concat(F.lit("适用场景="), or_default("applicability_scope", ALL_SCOPES)),
+            )
+        )
+    if as_of is not None:
+        parts.append(
+            F.when(
+                F.nullif(as_of, F.lit("")).isNotNull(),
+                F.concat(
+                    F.lit("生效期="), or_default("effective_from", "未知"),
+                    F.lit("~"), or_default("effective_to", "未知"),
+                ),
+            )
+        )
+    level = F.coalesce(F.col("authority_level"), F.lit(0)).cast("string")
+    parts += [
+        F.concat(F.lit("权威="), or_default("authority_label", "未识别"), F.lit("(L"), level, F.lit(")")),
         F.concat(F.lit("版本="), F.nullif(F.col("source_version"), F.lit(""))),
-    )
+    ]
+    return F.concat_ws("；", *parts)
 
 
 def citations(
@@ -159,14 +162,11 @@ def citations(
     snippet: int = 200,
 ) -> DataFrame:
     """Hits to citation rows: snippet, rounded score, evidence attributes."""
-    none = F.lit(None).cast("string")
     text = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, snippet)
     if single_line:
         text = F.translate(text, "\n", " ")
     filled = with_text_defaults(hits)
-    reason = evidence_reason(
-        none if scenario is None else scenario, none if as_of is None else as_of
-    )
+    reason = evidence_reason(scenario, as_of)
     keep = [c for c in ("query_id", "position", "rank") if c in hits.columns]
     number = F.coalesce(F.nullif(F.col("authority_level"), F.lit(0)), F.lit(DEFAULT_AUTHORITY))
     return filled.select(

@@ -176,7 +176,7 @@ def test_structured_chunks(spark):
         ("reference", 2, second),
     ]
     assert out[1]["text"] == "§ 第一章 绪论\n本节公式满足下列关系。"
-    assert out[2]["text"] == "§ 第一章 绪论\n公式上下文：本节公式满足下列关系。\n公式：$$x=1$$"
+    assert out[2]["text"] == "§ 第一章 绪论\n公式上下文：本节公式满足下列关系。\n第一章 绪论\n公式：$$x=1$$"
     assert out[3]["image_caption"] == "图 1 波形"
     assert out[5]["text"] == "§ 1.1 模型\n甲。"
     assert out[7]["table_headers"] == "参数"
