@@ -137,11 +137,13 @@ def guard_dimension(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
     A changed dimension must be an explicit rebuild of every course.
     """
-    dim = stored.select(F.size("embedding").alias("__dim")).limit(1)
-    out = incoming.join(F.broadcast(dim), F.lit(True), "left")
-    same = F.col("__dim").isNull() | (F.size("embedding") == F.col("__dim"))
-    check = F.assert_true(same, F.lit("embedding dimension differs from the stored one"))
-    return out.withColumn("embedding", F.when(check.isNull(), F.col("embedding"))).drop("__dim")
+    first = stored.select(F.size("embedding")).first()
+    if first is None:
+        return incoming
+    check = F.assert_true(
+        F.size("embedding") == first[0], F.lit("embedding dimension differs from the stored one")
+    )
+    return incoming.withColumn("embedding", F.when(check.isNull(), F.col("embedding")))
 
 
 def fail_after_rebuild(docs: DataFrame) -> DataFrame:

@@ -135,27 +135,28 @@ def matching_evidence(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     """Evidence whose text contains the snippet a question cites.
 
     ``questions``: question_id, source_file, page, doc_id, snippet (one row per
-    citation); ``evidence``: evidence_id, source_file, page, doc_id, text.  File
-    and page join by equality, the containment is checked on what meets.
+    citation); ``evidence``: evidence_id, source_file, page, doc_id, text.  File,
+    page and, where the citation names one, document join by equality, so the
+    containment is checked among the few chunks of one page.
     """
-    q = questions.filter(F.trim("snippet") != "").withColumn("snippet", F.trim("snippet"))
+    q = questions.withColumn("snippet", F.trim("snippet")).filter("snippet <> ''")
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     e = evidence.select(
-        "evidence_id",
-        F.col("source_file").alias("e_file"),
-        F.col("page").alias("e_page"),
-        F.col("doc_id").alias("e_doc"),
-        F.col("text").alias("body"),
+        "evidence_id", "source_file", F.coalesce("page", F.lit(-1)).alias("page"),
+        F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("body"),
     )
-    on = (F.col("source_file") == F.col("e_file")) & F.col("page").eqNullSafe(F.col("e_page"))
-    same_doc = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == "") | (
-        F.col("doc_id").cast("string") == F.col("e_doc").cast("string")
+    q = q.select(
+        "question_id", "source_file", F.coalesce("page", F.lit(-1)).alias("page"),
+        named.alias("doc"), "snippet",
     )
-    return (
-        q.join(e, on)
-        .filter(same_doc & F.contains("body", "snippet"))
-        .select("question_id", "evidence_id")
-        .distinct()
+    both = (
+        q.filter("doc <> ''").join(e, ["source_file", "page", "doc"]),
+        q.filter("doc = ''").drop("doc").join(e.drop("doc"), ["source_file", "page"]),
     )
+    found = [
+        j.filter(F.contains("body", "snippet")).select("question_id", "evidence_id") for j in both
+    ]
+    return found[0].unionByName(found[1]).distinct()
 
 
 def unresolved_ids(drafts: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -55,18 +55,10 @@ def _docs(spark, sf):
 
 
 def _anchors(spark, sf):
-    """Every tenth line of a document as a ranked anchor of one question."""
+    """Every line as a ranked hit of the question asked about its document."""
     i = F.col("chunk_index")
-    return (
-        t.line_chunks(spark, sf)
-        .filter(i % 10 == 0)
-        .withColumns(
-            {
-                "query_id": F.col("doc_id"),
-                "score": 0.9 - (i % 7) * 0.01,
-                "position": (i / 10).cast("int") + 1,
-            }
-        )
+    return t.line_chunks(spark, sf).withColumns(
+        {"query_id": F.col("doc_id"), "score": 0.9 - (i % 7) * 0.01, "position": i + 1}
     )
 
 
@@ -172,7 +164,7 @@ def add(reg) -> None:
           min(b.chunk_index) AS first_index, max(b.chunk_index) AS last_index
         FROM line_chunks a JOIN line_chunks b ON a.doc_id = b.doc_id
           AND b.chunk_index BETWEEN a.chunk_index - 2 AND a.chunk_index + 12 AND abs(a.page - b.page) <= 1
-        WHERE a.chunk_index % 10 = 0 AND b.block_type <> 'formula' GROUP BY 1, 2""",
+        WHERE b.block_type <> 'formula' GROUP BY 1, 2""",
     )
     def list_window_range(spark, sf):
         w = expansion.list_windows(t.line_chunks(spark, sf), _anchors(spark, sf))
@@ -187,7 +179,7 @@ def add(reg) -> None:
         "WITH " + t.LINES_SQL + """
         SELECT b.doc_id, b.chunk_index, min(abs(a.page - b.page)) AS distance
         FROM line_chunks a JOIN line_chunks b ON a.doc_id = b.doc_id AND abs(a.page - b.page) <= 1
-        WHERE a.chunk_index % 10 = 0 AND a.block_type <> 'formula' AND b.block_type = 'formula' GROUP BY 1, 2""",
+        WHERE a.block_type <> 'formula' AND b.block_type = 'formula' GROUP BY 1, 2""",
     )
     def formula_page_range(spark, sf):
         near = expansion.formula_neighbours(t.line_chunks(spark, sf), _anchors(spark, sf))
@@ -200,8 +192,8 @@ def add(reg) -> None:
         "formula_completion",
         "WITH " + t.LINES_SQL + f""",
         q AS (SELECT DISTINCT doc_id, {TOKENS.format("'the of and in die der le la ' || lang")} AS qt FROM documents),
-        anchor AS (SELECT *, 0.9e0 - (chunk_index % 7) * 0.01e0 AS score, chunk_index // 10 + 1 AS position FROM line_chunks
-          WHERE chunk_index % 10 = 0 AND block_type <> 'formula'),
+        anchor AS (SELECT *, 0.9e0 - (chunk_index % 7) * 0.01e0 AS score FROM line_chunks
+          WHERE block_type <> 'formula'),
         top AS (SELECT doc_id, max(score) AS s FROM anchor GROUP BY doc_id),
         near AS (SELECT b.doc_id, b.chunk_index, any_value(b.text) AS text, min(abs(a.page - b.page)) AS distance
           FROM anchor a JOIN line_chunks b ON a.doc_id = b.doc_id AND abs(a.page - b.page) <= 1
@@ -228,6 +220,7 @@ def add(reg) -> None:
         q = _docs(spark, sf).select(
             F.col("doc_id").alias("query_id"), F.lit("包括哪些步骤，共九个步骤").alias("query_text")
         )
+        # The kept hits of a question are its top five.
         anchors = _anchors(spark, sf).filter("block_type <> 'formula' AND position <= 5")
         return expansion.expand_lists(t.line_chunks(spark, sf), anchors, q, 5)
 

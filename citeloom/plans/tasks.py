@@ -86,20 +86,21 @@ def add(reg) -> None:
 
     @reg.add(
         "citation_match",
-        """SELECT d.doc_id AS question_id, e.doc_id AS evidence_id FROM documents d JOIN documents e
-          ON d.source = e.source AND d.lang = e.lang AND contains(e.text, trim(substr(d.text, 11, 40)))
-        WHERE trim(substr(d.text, 11, 40)) <> ''""",
+        "WITH " + t.LINES_SQL + """
+        SELECT q.doc_id * 100000 + q.chunk_index AS question_id, e.doc_id * 100000 + e.chunk_index AS evidence_id
+        FROM line_chunks q JOIN line_chunks e ON e.course_id = q.course_id AND e.page = q.page AND e.doc_id = q.doc_id
+          AND contains(e.text, trim(substr(q.text, 5, 40)))
+        WHERE trim(substr(q.text, 5, 40)) <> ''""",
     )
     def citation_match(spark, sf):
-        d = t.spread(t.table(spark, sf, "documents"), "doc_id")
-        file = F.concat_ws("/", "source", "lang").alias("source_file")
-        page = F.lit(None).cast("int").alias("page")
-        asked = d.select(
-            F.col("doc_id").alias("question_id"), file, page, F.lit("").alias("doc_id"),
-            F.substring("text", 11, 40).alias("snippet"),
+        c = t.line_chunks(spark, sf)
+        key = F.col("doc_id") * 100000 + F.col("chunk_index")
+        asked = c.select(
+            key.alias("question_id"), "source_file", "page", "doc_id",
+            F.substring("text", 5, 40).alias("snippet"),
         )
         return study.matching_evidence(
-            asked, d.select(F.col("doc_id").alias("evidence_id"), file, page, "doc_id", "text")
+            asked, c.select(key.alias("evidence_id"), "source_file", "page", "doc_id", "text")
         )
 
     @reg.add(
