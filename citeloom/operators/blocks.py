@@ -54,6 +54,62 @@ def _struct_fields() -> str:
     return re.sub(r"(^|, )(`?\w+`?) ", r"\1\2:", ITEM_SCHEMA)
 
 
+def generic_items(docs: DataFrame, payload: str = "payload") -> DataFrame:
+    """Items of the page-wise envelope ``{pages: [{blocks: [...]}]}``."""
+    items = f"array<struct<{_struct_fields()}>>"
+    pages = F.from_json(payload, f"struct<pages:array<struct<page:int,blocks:{items}>>>")["pages"]
+    rows = docs.select("doc_id", F.posexplode(pages).alias("page_no", "p")).select(
+        "doc_id", "page_no", F.coalesce(F.col("p.page") - 1, F.col("page_no")).alias("idx"),
+        F.posexplode("p.blocks").alias("n", "item"),
+    )
+    order = Window.partitionBy("doc_id").orderBy("page_no", "n")
+    return rows.select(
+        "doc_id", (F.row_number().over(order) - 1).alias("pos"),
+        F.col("item").withField("page_idx", F.coalesce("item.page_idx", F.col("idx").cast("string"))).alias("item"),
+    ).select("doc_id", "pos", "item.*")
+
+
+MD_IMAGE = r"!\[([^\]]*)\]\(\s*(<[^>]*>|[^)\s]+)[^)]*\)"
+
+
+def markdown_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Text and image blocks of Markdown, in order.
+
+    The text around image links alternates with the links.  A figure caption on
+    the first line after an image becomes its caption and leaves the text; the
+    alternative text serves where there is none.
+    """
+    t = strip(text)
+
+    def links(i: int) -> Column:
+        return F.regexp_extract_all(t, F.lit(MD_IMAGE), F.lit(i))
+
+    zipped = F.arrays_zip(
+        F.split(t, MD_IMAGE).alias("before"), links(1).alias("alt"), links(2).alias("path"),
+        F.slice(F.split(t, MD_IMAGE), 2, 1_000_000).alias("after"),
+    )
+    first_line = r"^[ \t]*\r?\n\s*([^\r\n]+)"
+    label = "(?i)^(?:" + markup.ANY_FIGURE_LABEL.removeprefix("(?i)") + ")"
+    rows = docs.select("doc_id", F.posexplode(zipped).alias("i", "z"))
+    after_image = F.col("i") > 0
+    lead = markup.plain_line(F.regexp_extract(F.col("z.before"), first_line, 1))
+    consumed = after_image & lead.rlike(label)
+    body = F.when(consumed, F.regexp_replace("z.before", first_line, "")).otherwise(F.col("z.before"))
+    line = markup.plain_line(F.regexp_extract(F.coalesce("z.after", F.lit("")), first_line, 1))
+    alt = markup.plain_line(F.coalesce("z.alt", F.lit("")))
+    caption = F.when(line.rlike(label), line).when(alt.rlike(label), alt).otherwise("")
+    texts = rows.select(
+        "doc_id", (F.col("i") * 2).alias("ord"), F.lit("text").alias("block_type"),
+        strip(body).alias("text"), F.lit("").alias("caption"), F.lit("").alias("image_path"),
+    ).filter("text <> ''")
+    images = rows.filter("z.path IS NOT NULL").select(
+        "doc_id", (F.col("i") * 2 + 1).alias("ord"), F.lit("image").alias("block_type"),
+        caption.alias("text"), caption.alias("caption"), F.btrim("z.path", F.lit("<>")).alias("image_path"),
+    )
+    both = texts.unionByName(images)
+    return annotate(both.withColumns({"page": F.lit(None).cast("int"), "pos": F.col("ord")}))
+
+
 def mount_captions(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Attach captions to the image or table they belong to.
 

@@ -111,3 +111,26 @@ def conversation_intents(
     return carried.withColumn("intent", resolved).select(
         "conv_id", "turn", "question", "intent.*"
     )
+
+
+def list_conversations(conversations: DataFrame, course_id: str) -> DataFrame:
+    return conversations.filter(F.col("course_id") == course_id).orderBy(
+        F.desc("updated_at"), F.desc("conv_id")
+    )
+
+
+def touch(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """Update time of a conversation from its newest message."""
+    newest = messages.groupBy("conv_id").agg(F.max("created_at").alias("__at"))
+    return (
+        conversations.join(newest, "conv_id", "left")
+        .withColumn("updated_at", F.greatest("updated_at", "__at"))
+        .drop("__at")
+    )
+
+
+def delete_cascade(gone: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """Tables without the rows of the deleted conversations."""
+    from citeloom.operators.store import delete
+
+    return [delete(table, gone, ["conv_id"]) for table in tables]

@@ -31,11 +31,21 @@ IDF_UNIT = 10_000_000_000
 _TOTAL = ""
 
 
+def with_tokens(chunks: DataFrame) -> DataFrame:
+    """Chunks with their token columns: the index a deployment writes per ingest.
+
+    Everything below uses ``tokens`` and ``dl`` where a table brings them and
+    computes them from the text otherwise.
+    """
+    return chunks.withColumn("tokens", tokenize("text")).withColumn("dl", F.size("tokens"))
+
+
 def tokenized(chunks: DataFrame, *keep: str) -> DataFrame:
     """Chunk keys, distinct tokens and their number."""
-    return chunks.select(
-        "course_id", "doc_id", "chunk_index", *keep, tokenize("text").alias("tokens")
-    ).withColumn("dl", F.size("tokens"))
+    keys = ["course_id", "doc_id", "chunk_index", *keep]
+    if {"tokens", "dl"} <= set(chunks.columns):
+        return chunks.select(*keys, "tokens", "dl")
+    return chunks.select(*keys, tokenize("text").alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:

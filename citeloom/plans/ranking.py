@@ -332,6 +332,16 @@ def add(reg) -> None:
             F.col("position").cast("long").alias("position"),
         )
 
+    @reg.add("embed_and_search")
+    def embed_and_search(spark, sf):
+        from citeloom.operators.embedding import hash_embedding
+
+        chunks = t.document_chunks(spark, sf).withColumn("embedding", hash_embedding("text"))
+        q = t.benchmark_queries(spark, sf).withColumn("query_vec", hash_embedding("query_text"))
+        return vector.vector_topk(chunks, q, 5, row_bound(q)).select(
+            "query_id", "doc_id", F.round("score", 6).alias("score"), "rank"
+        )
+
     @reg.add(
         "rerank_overlap",
         "WITH " + INDEX_SQL + "," + t.QUERIES_SQL + SCORE_SQL + LEXICAL_SQL.format(k=20) + f""",

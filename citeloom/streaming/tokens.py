@@ -82,3 +82,28 @@ def visible_deltas(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("run_id").applyInPandasWithState(
         _run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+def event_frame(*columns: str):
+    """Server-sent event text of a row."""
+    from pyspark.sql import functions as F
+
+    return F.concat(F.lit("data: "), F.to_json(F.struct(*columns)), F.lit("\n\n"))
+
+
+def frame_payloads(text):
+    """Payloads of event frames in a text, ``data:`` lines of a frame joined."""
+    from pyspark.sql import functions as F
+
+    frames = F.split(F.regexp_replace(text, "\r\n", "\n"), "\n\n")
+    joined = F.transform(
+        frames,
+        lambda f: F.array_join(
+            F.transform(
+                F.filter(F.split(f, "\n"), lambda ln: ln.startswith("data:")),
+                lambda ln: F.ltrim(F.substring(ln, F.lit(6), F.length(ln))),
+            ),
+            "\n",
+        ),
+    )
+    return F.filter(joined, lambda v: v != "")

@@ -300,3 +300,46 @@ def test_folder_stream(spark, tmp_path):
     (src / "b.txt").write_text("world")
     out = spark.read.parquet(run())
     assert sorted(r["text"] for r in out.collect()) == ["hello", "world"]
+
+
+def test_markdown_blocks(spark):
+    md = "开头\n![](images/a.jpg)\n图 1 波形\n后文\n![图 2 频谱](b.png)\n结尾"
+    docs = spark.createDataFrame([(1, md)], "doc_id long, text string")
+    got = [(r["block_type"], r["text"], r["image_path"]) for r in blocks.markdown_blocks(docs).orderBy("ord").collect()]
+    assert got == [
+        ("text", "开头", ""), ("image", "图 1 波形", "images/a.jpg"), ("text", "后文", ""),
+        ("image", "图 2 频谱", "b.png"), ("text", "结尾", ""),
+    ]
+
+
+def test_generic_envelope(spark):
+    body = '{"pages": [{"page": 3, "blocks": [{"type": "text", "text": "a"}]}, {"blocks": [{"text": "b"}]}]}'
+    docs = spark.createDataFrame([(1, body)], "doc_id long, payload string")
+    got = [(r["pos"], r["page_idx"], r["text"]) for r in blocks.generic_items(docs).orderBy("pos").collect()]
+    assert got == [(0, "2", "a"), (1, "1", "b")]
+
+
+def test_catalog(spark):
+    from citeloom.operators import catalog
+
+    colleges = spark.createDataFrame([("old", "x"), ("k", "y")], "id string, name string")
+    courses = spark.createDataFrame([("c0", "old", "legacy"), ("c1", "k", "b")], "id string, college_id string, name string")
+    docs = spark.createDataFrame([("c0",), ("c9",)], "course_id string")
+    left, kept, moved = catalog.migrate_legacy(colleges, courses, docs, ["c0"], ["old"], "c1")
+    assert [r["id"] for r in left.collect()] == ["k"] and [r["id"] for r in kept.collect()] == ["c1"]
+    assert [r["course_id"] for r in catalog.missing_courses(moved, kept).collect()] == ["c9"]
+    seeded = catalog.seed(courses, spark.createDataFrame([("c1", "k", "new"), ("d", "k", "def")], "id string, college_id string, name string"))
+    assert {r["id"]: r["name"] for r in seeded.collect()} == {"c0": "legacy", "c1": "new", "d": "def"}
+
+
+def test_embeddings(spark):
+    from citeloom.operators.embedding import hash_embedding, model_embedding
+    from citeloom.streaming.tokens import event_frame, frame_payloads
+
+    df = spark.createDataFrame([("alpha beta",), ("",)], "t string")
+    a, b = (r["v"] for r in df.select(hash_embedding("t", 8).alias("v")).collect())
+    assert abs(sum(x * x for x in a) - 1) < 1e-6 and set(b) == {0.0}
+    lengths = lambda: lambda texts: [[float(len(t))] for t in texts]
+    assert [r["v"] for r in df.select(model_embedding("t", lengths).alias("v")).collect()] == [[10.0], [0.0]]
+    framed = df.select(event_frame("t").alias("f")).select(frame_payloads(F.col("f")).alias("p"))
+    assert framed.first()["p"] == ['{"t":"alpha beta"}']

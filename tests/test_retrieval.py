@@ -65,6 +65,13 @@ def test_bm25_matches_brute_force(spark):
     assert all(abs(got[i] - want[i]) < 1e-8 for i in want)
 
 
+def test_stored_tokens_give_the_same_scores(spark):
+    df = chunks(spark, *[chunk(i, 0, f"alpha beta {i}") for i in range(6)])
+    q = ask(spark, "beta 3")
+    rows = lambda c: sorted(map(tuple, lexical.bm25_topk(c, q, 3).collect()))
+    assert rows(df) == rows(lexical.with_tokens(df).drop("text"))
+
+
 def test_scope_filter_comes_after_normalisation(spark):
     df = chunks(
         spark,
