@@ -229,7 +229,7 @@ def add(reg) -> None:
     @reg.add(
         "visual_hits",
         "WITH " + t.CHUNKS_SQL + "," + t.QUERIES_SQL + f""",
-        s AS (SELECT q.query_id, c.doc_id, c.block_type = 'image' AS plain, {cos} AS score,
+        s AS (SELECT q.query_id, c.doc_id, c.block_type = 'image' AS plain, round({cos}, 9) AS score,
             row_number() OVER (PARTITION BY q.query_id, c.block_type ORDER BY {cos} DESC, c.doc_id) AS rank
           FROM queries q JOIN embeddings qe ON qe.vec_id = q.query_id JOIN chunks c ON c.course_id = q.course_id
             JOIN embeddings ce ON ce.vec_id = c.doc_id

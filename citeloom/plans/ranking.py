@@ -194,7 +194,7 @@ def add(reg) -> None:
         WITH q AS (SELECT label, min(vec_id) AS query_id, arg_min(embedding, vec_id) AS query_vec
                    FROM embeddings GROUP BY label)
         SELECT query_id, CAST(e.label AS VARCHAR) AS course_id, vec_id AS doc_id,
-          round({COSINE.format('embedding', 'query_vec')}, 6) AS score,
+          round(round({COSINE.format('embedding', 'query_vec')}, 9), 6) AS score,
           row_number() OVER (PARTITION BY query_id
             ORDER BY {COSINE.format('embedding', 'query_vec')} DESC, vec_id) AS rank
         FROM embeddings e JOIN q ON q.label = e.label {{where}} QUALIFY rank <= 10"""
