@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,18 +193,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
          item_text: str = "text", coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> Column:
     """The items found in a text column, as an array (empty if clean)."""
     column = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    parts = []
-    for known in _blocks(benchmark, item, item_text, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(known)
+    context = docs.sparkSession.sparkContext
+    parts = [
+        _finder(context.broadcast(known), coverage)(column)
+        for known in _blocks(benchmark, item, item_text, block_bytes)
+    ]
+    return F.concat(*parts) if parts else F.array().cast(HITS)
 
-        @F.arrow_udf(HITS)
-        def found(columns: Iterator[pa.Array], held=held) -> Iterator[pa.Array]:
-            for c in columns:
-                slices = (contained(c[i : i + 512], held.value, coverage) for i in range(0, len(c), 512))
-                yield pa.array([x for part in slices for x in part], _HITS)
 
-        parts.append(found(column))
-    return F.concat(*parts) if parts else F.array().cast(HITS)
+def _finder(held: Broadcast, coverage: float):
+    @F.arrow_udf(HITS)
+    def found(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in columns:
+            slices = (contained(c[i : i + 512], held.value, coverage) for i in range(0, len(c), 512))
+            yield pa.array([x for part in slices for x in part], _HITS)
+
+    return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
