@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import as_col, let
+from citeloom.functions.text import as_col, ascii_digits, let
 
 # Patterns of dates, versions, validity and scope, and the
 # authority levels by wording (first match wins, higher is stronger).
@@ -32,7 +32,8 @@ DEFAULT_RULE = (30, "教学材料")
 def iso_date(text: Column | str, pattern: str = DATE) -> Column:
     """First date of the pattern as ``YYYY-MM-DD``; NULL if absent or invalid."""
     t = as_col(text)
-    parts = [F.regexp_extract(t, pattern, i) for i in (1, 2, 3)]
+    # (?U): digits and white space of any script, as the patterns mean them.
+    parts = [ascii_digits(F.regexp_extract(t, "(?U)" + pattern, i)) for i in (1, 2, 3)]
     day = F.try_to_date(F.concat_ws("-", *parts), "yyyy-M-d")
     return F.date_format(day, "yyyy-MM-dd")
 
@@ -40,8 +41,9 @@ def iso_date(text: Column | str, pattern: str = DATE) -> Column:
 def evidence_metadata(text: Column | str, filename: Column | str) -> Column:
     """Struct of version, validity, authority, scope and confidence."""
     t, name = F.coalesce(as_col(text), F.lit("")), F.coalesce(as_col(filename), F.lit(""))
-    number = F.regexp_extract(t, VERSION_NUMBER, 1)
-    version = F.when(number != "", number).otherwise(F.regexp_extract(t, VERSION_EDITION, 1))
+    number = F.regexp_extract(t, "(?U)" + VERSION_NUMBER, 1)
+    edition = F.regexp_extract(t, "(?U)" + VERSION_EDITION, 1)
+    version = F.when(number != "", number).otherwise(edition)
     start = F.coalesce(iso_date(t, EFFECTIVE_FROM), F.lit("0001-01-01"))
     end = F.coalesce(iso_date(t, EFFECTIVE_TO), F.lit("9999-12-31"))
     rank = F.lit(None).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import as_col, strip
+from citeloom.functions.text import as_col, ascii_digits, strip
 
 # Patterns that classify and normalise a question.
 POLITE_PREFIX = r"^(?:你好[，,\s]*)?(?:(?:请问|麻烦你?|请你?|帮我|给我)\s*)+"
@@ -62,17 +62,12 @@ def search_query(question: Column | str) -> Column:
 def defines_topic(text: Column | str, topic: Column | str) -> Column:
     """Text contains ``topic`` followed by a defining phrase.
 
-    The topic is data, so it is located literally rather than spliced into a
-    pattern: the text after any of its occurrences must begin with the phrase.
+    The topic is data, so it is quoted before it becomes part of the pattern.
     """
     clean = F.regexp_replace(F.coalesce(as_col(text), F.lit("")), "[*`]+", "")
-    parts = F.split(
-        F.replace(clean, as_col(topic), F.lit("\x01")), "\x01"
-    )
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.coalesce(
-        F.exists(rest, lambda s: s.rlike(r"(?U)^\s*(?:是|指|定义为|定义[:：])")), F.lit(False)
-    )
+    quoted = F.replace(as_col(topic), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    pattern = F.concat(F.lit(r"(?U)\Q"), quoted, F.lit(r"\E\s*(?:是|指|定义为|定义[:：])"))
+    return F.coalesce(F.regexp_like(clean, pattern), F.lit(False))
 
 
 def is_formula_query(query: Column | str) -> Column:
@@ -103,7 +98,7 @@ def chinese_number(value: Column | str) -> Column:
 
 def number_value(value: Column | str) -> Column:
     """Arabic 1..99 or a Chinese numeral, else NULL."""
-    v = as_col(value)
+    v = ascii_digits(value)
     arabic = F.try_to_number(v, F.lit("999999999")).cast("int")
     return F.when(v.rlike(r"^\d+$"), F.when(arabic.between(1, 99), arabic)).otherwise(
         chinese_number(v)
@@ -111,14 +106,13 @@ def number_value(value: Column | str) -> Column:
 
 
 def _all_groups(text: Column, pattern: str) -> Column:
-    one = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    two = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+    one, two = (F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(i)) for i in (1, 2))
     return F.filter(F.concat(one, two), lambda v: v != "")
 
 
 def list_item_numbers(text: Column | str) -> Column:
     """Sorted distinct item numbers of numbered lines."""
-    t = F.coalesce(as_col(text), F.lit(""))
+    t = ascii_digits(F.coalesce(as_col(text), F.lit("")))
     arabic = F.transform(_all_groups(t, ARABIC_ITEM), lambda v: v.cast("int"))
     chinese = F.filter(
         F.transform(_all_groups(t, CHINESE_ITEM), chinese_number),

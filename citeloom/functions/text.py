@@ -17,6 +17,11 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def ascii_digits(value: Column | str) -> Column:
+    """Full-width digits as their ASCII forms."""
+    return F.translate(as_col(value), "０１２３４５６７８９", "0123456789")
+
+
 def strip(value: Column | str) -> Column:
     """Trim Unicode whitespace from both ends."""
     return F.regexp_replace(as_col(value), r"(?U)^\s+|\s+$", "")
@@ -70,15 +75,9 @@ def passage_key(text: Column | str, fallback_id: Column | str) -> Column:
     return F.when(norm != "", norm).otherwise(as_col(fallback_id).cast("string"))
 
 
-def shingles(value: Column | str, size: int = 5, sample: int | None = 80_000) -> Column:
-    """Distinct non-overlapping character shingles of the whitespace-free text.
-
-    ``sample`` bounds the comparison text as version matching defines it;
-    ``None`` uses the whole text.
-    """
+def shingles(value: Column | str, size: int = 5) -> Column:
+    """Distinct non-overlapping character shingles of the whole whitespace-free text."""
     norm = F.lower(squeeze(F.coalesce(as_col(value), F.lit(""))))
-    if sample is not None:
-        norm = F.substring(norm, 1, sample)
     # Consecutive matches of a fixed length are the non-overlapping pieces; a
     # lambda over start positions would evaluate the text once per piece.
     pieces = F.array_distinct(F.regexp_extract_all(norm, F.lit(f"(?s).{{{size}}}"), F.lit(0)))
@@ -98,10 +97,10 @@ def logical_name(filename: Column | str) -> Column:
     stem = F.lower(F.regexp_replace(base, r"(?<=.)\.[^.]+$", ""))
     bare = F.regexp_replace(
         strip(stem),
-        r"(?i)(?:[\s_.-]*(?:v|ver|version|rev|revision|更新|修订|新版)?\s*\d+)$",
+        r"(?iU)(?:[\s_.-]*(?:v|ver|version|rev|revision|更新|修订|新版)?\s*\d+)$",
         "",
     )
-    bare = F.regexp_replace(F.btrim(bare, F.lit(" _.-")), r"(?U)\s+", " ")
+    bare = F.btrim(F.regexp_replace(bare, r"(?U)\s+", " "), F.lit(" _.-"))
     return F.when(bare != "", bare).otherwise(stem)
 
 

@@ -86,7 +86,7 @@ def markdown_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
 
     zipped = F.arrays_zip(
         F.split(t, MD_IMAGE).alias("before"), links(1).alias("alt"), links(2).alias("path"),
-        F.slice(F.split(t, MD_IMAGE), 2, 1_000_000).alias("after"),
+        F.slice(F.split(t, MD_IMAGE), 2, F.greatest(F.size(F.split(t, MD_IMAGE)) - 1, F.lit(0))).alias("after"),
     )
     first_line = r"^[ \t]*\r?\n\s*([^\r\n]+)"
     label = "(?i)^(?:" + markup.ANY_FIGURE_LABEL.removeprefix("(?i)") + ")"

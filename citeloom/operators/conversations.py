@@ -10,12 +10,11 @@ from citeloom.operators.joins import first_rows
 from citeloom.operators.ordered import carry_last
 
 MAX_HISTORY = 20
-MAX_MESSAGES = 500
 
 
 def last_messages(messages: DataFrame, limit: int = 200) -> DataFrame:
     """Newest ``limit`` messages per conversation, numbered oldest first."""
-    n = max(1, min(limit, MAX_MESSAGES))
+    n = max(1, limit)
     newest = first_rows(messages, ["conv_id"], [F.desc("turn")], n)
     from pyspark.sql import Window
 

@@ -1,21 +1,41 @@
-"""Join helpers: broadcast only behind a checked row bound."""
+"""Join helpers: broadcast only behind a checked bound of rows and bytes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
-#: Largest side that is ever broadcast by hint.
+#: Largest side that is ever broadcast by hint, in rows and in bytes.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
-def row_bound(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> int | None:
-    """Number of rows when it is small enough to broadcast, else ``None``.
+def _width(field: StructField) -> Column:
+    """Bytes of a column's value, about."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, StringType | BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, ArrayType):
+        inner = field.dataType.elementType
+        if isinstance(inner, StringType | BinaryType):
+            return F.coalesce(F.aggregate(c, F.lit(0), lambda n, v: n + F.octet_length(v) + 16), F.lit(0)) + 16
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 16
+    return F.lit(16)
 
-    One distributed count, so nothing but a number reaches the driver.
+
+def row_width(df: DataFrame) -> Column:
+    """Bytes of a row, about."""
+    return sum((_width(f) for f in df.schema.fields), F.lit(0)).cast("long")
+
+
+def row_bound(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> int | None:
+    """Number of rows when rows and bytes are few enough to broadcast, else ``None``.
+
+    One distributed aggregate, so nothing but two numbers reaches the driver.
     """
-    n = df.count()
-    return n if n <= max_rows else None
+    n, size = df.agg(F.count("*"), F.sum(row_width(df))).first()
+    return n if n <= max_rows and (size or 0) <= max_bytes else None
 
 
 def unnest(df: DataFrame, array: Column | str, name: str, *keep, pos: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from citeloom.functions import queries as q
 from citeloom.functions.text import is_blank, strip
 from citeloom.operators import expansion, selection
 from citeloom.operators.fusion import HIT_KEY, renumber, rrf_fuse
-from citeloom.operators.joins import BROADCAST_ROWS, join_small
+from citeloom.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, join_small, row_width
 from citeloom.operators.lexical import bm25_topk
 from citeloom.operators.rerank import Scorer, rerank
 from citeloom.operators.vector import vector_topk
@@ -96,10 +96,11 @@ def retrieve(
     # One look at the questions: how many, and whether any asks for completion.
     seen = prepared.agg(
         F.count("*").alias("n"),
+        F.sum(row_width(prepared)).alias("bytes"),
         F.coalesce(F.bool_or("is_list"), F.lit(False)).alias("lists"),
         F.coalesce(F.bool_or("is_formula"), F.lit(False)).alias("formulas"),
     ).first()
-    n = seen["n"] if seen["n"] <= BROADCAST_ROWS else None
+    n = seen["n"] if seen["n"] <= BROADCAST_ROWS and (seen["bytes"] or 0) <= BROADCAST_BYTES else None
     pool = max(rerank_candidates, top_k) if scorer else top_k * 2
     fuse_k = pool if scorer else pool * 2
     fused = candidates(chunks, prepared, pool, fuse_k, n)

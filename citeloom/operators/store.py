@@ -1,7 +1,7 @@
 """Mutations as pure functions: old table and changes in, new table out.
 
 Plain Parquet tables take no UPDATE or MERGE; a new state is written as a new
-version (see ``citeloom.sources.versions``) and published by a pointer flip.
+version.
 """
 
 from __future__ import annotations

@@ -32,9 +32,9 @@ def duplicate_of(docs: DataFrame, keys: list[str], hash_col: str = "content_hash
     )
 
 
-def shingle_sets(docs: DataFrame, keys: list[str], sample: int | None = None) -> DataFrame:
+def shingle_sets(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Sorted shingle set of every document with its size and signature."""
-    sets = docs.select(*keys, "doc_id", F.sort_array(shingles("text", 5, sample)).alias("set"))
+    sets = docs.select(*keys, "doc_id", F.sort_array(shingles("text", 5)).alias("set"))
     return sets.withColumns(
         {"n": F.size("set"), "sig": F.xxhash64("set"), "sig2": F.hash("set")}
     )
@@ -51,7 +51,7 @@ def distinct_sets(sets: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def similar_earlier(
-    docs: DataFrame, keys: list[str], threshold: float = SIMILARITY, sample: int | None = None
+    docs: DataFrame, keys: list[str], threshold: float = SIMILARITY
 ) -> DataFrame:
     """Most similar earlier document of the same family, for every document.
 
@@ -68,7 +68,7 @@ def similar_earlier(
     Output: doc_id, best_doc, similarity (NULL without a match at ``threshold``).
     """
     # The sets feed several joins; they are cut once and read back by column.
-    sets = materialize(shingle_sets(docs, keys, sample), "shingles")
+    sets = materialize(shingle_sets(docs, keys), "shingles")
     reps = distinct_sets(sets, keys)
     members = sets.select(*keys, "doc_id", "n", "sig", "sig2")
     owned = sets.join(reps.select(*keys, F.col("rep").alias("doc_id")), [*keys, "doc_id"], "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import markup
 from citeloom.operators import answers, blocks, chunking, expansion, lexical
-from citeloom.operators.joins import join_small, row_bound
+from citeloom.operators.joins import first_rows, join_small, row_bound
 from citeloom.plans.ranking import COSINE, INDEX_SQL, LEXICAL_SQL, SCORE_SQL, TOKENS, vector_queries
 from citeloom.session import materialize
 from citeloom.sources import tables as t
@@ -39,7 +39,7 @@ packed AS (
 long AS (
   SELECT p.doc_id, p.i, k.k, """ + STRIP.format("substr(s.s, k.k * 800 + 1, 800)") + r""" AS piece
   FROM packed p JOIN sent s ON s.doc_id = p.doc_id AND s.i = p.i
-    JOIN range(0, 60) k(k) ON k.k * 800 < s.n WHERE p.n > 800),
+    CROSS JOIN LATERAL (SELECT unnest(range(0, (s.n + 799) // 800)) AS k) k WHERE p.n > 800),
 parts AS (
   SELECT doc_id, 1 AS i, 0 AS k, body AS piece FROM raw WHERE length(body) <= 800 AND body <> ''
   UNION ALL SELECT doc_id, i, 0, piece FROM packed WHERE n <= 800
@@ -51,7 +51,7 @@ chunks AS (
 
 
 def _docs(spark, sf):
-    return t.spread(t.table(spark, sf, "documents"), "doc_id")
+    return t.table(spark, sf, "documents")
 
 
 def _anchors(spark, sf):
@@ -220,8 +220,11 @@ def add(reg) -> None:
         q = _docs(spark, sf).select(
             F.col("doc_id").alias("query_id"), F.lit("包括哪些步骤，共九个步骤").alias("query_text")
         )
-        # The kept hits of a question are its top five.
-        anchors = _anchors(spark, sf).filter("block_type <> 'formula' AND position <= 5")
+        # The hits of a question are the five longest lines of its document.
+        anchors = first_rows(
+            _anchors(spark, sf).filter("block_type <> 'formula'"),
+            ["query_id"], [F.desc(F.length("text")), F.asc("chunk_index")], 5, rank="position",
+        )
         return expansion.expand_lists(t.line_chunks(spark, sf), anchors, q, 5)
 
     cos = COSINE.format("ce.embedding", "qe.embedding")
@@ -353,7 +356,7 @@ def add(reg) -> None:
             lambda ln: """ + STRIP.format(r"regexp_replace(ln, '\s*[|]\s*$', '')") + r"""), lambda ln: ln <> ''), chr(10)) AS body FROM pages)""",
     )
     def tag_text(spark, sf):
-        p = t.spread(t.table(spark, sf, "pages"), "page_id")
+        p = t.table(spark, sf, "pages")
         out = p.select("page_id", markup.html_to_text("html").alias("body"))
         return out.select("page_id", F.length("body").cast("long").alias("chars"), F.md5("body").alias("digest"))
 
@@ -366,7 +369,7 @@ def add(reg) -> None:
         FROM pages""",
     )
     def tag_elements(spark, sf):
-        p = t.spread(t.table(spark, sf, "pages"), "page_id")
+        p = t.table(spark, sf, "pages")
         return p.select(
             "page_id",
             F.array_join(markup.tag_texts("html", "li"), " | ").alias("items"),
@@ -378,7 +381,7 @@ def add(reg) -> None:
         k = F.col("pos") % 5
         marked = (
             F.when(k == 0, F.concat(F.lit("注意："), "text")).when(k == 1, F.lit("12:30"))
-            .when(k == 2, F.concat(F.lit("P28 Ex2 "), F.substring("text", 1, 20))).otherwise(F.col("text"))
+            .when(k == 2, F.concat(F.lit("P28 Ex2 "), "text")).otherwise(F.col("text"))
         )
         rows = line_items(spark, sf).withColumn("text", marked).withColumn(
             "block_type", F.when(F.col("pos") % 11 == 0, "header").otherwise(F.col("type"))
@@ -398,8 +401,7 @@ def add(reg) -> None:
 
     def layout_blocks(spark, sf):
         kind = F.when(F.col("pos") % 9 == 0, "title").when(F.col("pos") % 9 == 5, "equation").otherwise(F.col("type"))
-        line = F.when(kind == "title", F.substring("text", 1, 30)).otherwise(F.col("text"))
-        rows = line_items(spark, sf).withColumns({"kind": kind, "line": line})
+        rows = line_items(spark, sf).withColumns({"kind": kind, "line": F.col("text")})
         docs = rows.groupBy("doc_id").agg(
             F.sort_array(
                 F.collect_list(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.functions.evidence import evidence_metadata, iso_date
+from citeloom.functions.queries import defines_topic
 from citeloom.functions.text import (
     document_type,
     logical_name,
@@ -44,34 +45,28 @@ def add(reg) -> None:
 
     @reg.add(
         "definition_first",
-        """WITH d AS (
-          SELECT source AS query_id, doc_id, split_part(text, ' ', 1) AS w,
-            min(split_part(text, ' ', 1)) OVER (PARTITION BY source) AS topic FROM documents),
-        x AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '**' || w || '** 是 ' ELSE w || ' x' END AS text FROM d)
-        SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY
-          contains(replace(text, '*', ''), topic || ' 是') DESC, doc_id) AS position FROM x
-        QUALIFY position <= 5""",
+        r"""WITH d AS (
+          SELECT source AS query_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' **哈哈哈**是 ' || lang
+            WHEN doc_id % 3 = 1 THEN '哈哈 ' || text ELSE text END AS text FROM documents),
+        x AS (SELECT query_id, doc_id, regexp_matches(regexp_replace(text, '[*`]+', '', 'g'),
+            '哈哈\s*(是|指|定义为|定义[:：])') AS defines FROM d)
+        SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY defines DESC, doc_id) AS position
+        FROM x QUALIFY position <= 5""",
     )
     def definition_first(spark, sf):
         d = t.table(spark, sf, "documents")
-        w = F.get(F.split("text", " "), F.lit(0))
-        topics = d.groupBy("source").agg(F.min(w).alias("topic"))
-        k = F.col("doc_id")
-        hits = d.join(topics, "source").select(
-            F.col("source").alias("query_id"),
-            "doc_id",
-            "topic",
-            F.when(k % 3 == 0, F.concat(F.lit("**"), w, F.lit("** 是 ")))
-            .otherwise(F.concat(w, F.lit(" x")))
-            .alias("text"),
+        k = F.col("doc_id") % 3
+        text = (
+            F.when(k == 0, F.concat("text", F.lit(" **哈哈哈**是 "), "lang"))
+            .when(k == 1, F.concat(F.lit("哈哈 "), "text"))
+            .otherwise(F.col("text"))
         )
-        from citeloom.functions.queries import defines_topic
-
         # Whole sources are ranked here, so the cut is a group limit.
-        flag = defines_topic("text", F.col("topic"))
+        hits = d.select(
+            F.col("source").alias("query_id"), "doc_id", defines_topic(text, F.lit("哈哈")).alias("defines")
+        )
         top = first_rows(
-            hits.withColumn("defines", flag), ["query_id"], [F.desc("defines"), F.asc("doc_id")], 5,
-            rank="position",
+            hits, ["query_id"], [F.desc("defines"), F.asc("doc_id")], 5, rank="position"
         )
         return top.select("query_id", "doc_id", F.col("position").cast("long").alias("position"))
 
@@ -82,7 +77,7 @@ def add(reg) -> None:
         GROUP BY source, CASE WHEN p = '' THEN CAST(doc_id AS VARCHAR) ELSE p END""",
     )
     def distinct_passages(spark, sf):
-        d = t.spread(t.table(spark, sf, "documents"), "doc_id")
+        d = t.table(spark, sf, "documents")
         # Grouping by a digest keeps the shuffle free of the texts.
         key = F.sha2(passage_key("text", F.col("doc_id")), 256)
         return (

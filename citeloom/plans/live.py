@@ -1,4 +1,4 @@
-"""Streaming plans: ingestion, token streams, run journal, over whole tables."""
+"""Streaming plans, stores and upserts over whole tables."""
 
 from __future__ import annotations
 
@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import store
 from citeloom.operators.chunking import chunk_documents
-from citeloom.operators.joins import first_rows
 from citeloom.plans.documents import PACK_SQL
 from citeloom.session import shared_path
-from citeloom.sources import files
 from citeloom.sources import tables as t
-from citeloom.streaming import ingest, runs, tokens
+from citeloom.streaming import ingest, tokens
 
 
 def add(reg) -> None:
@@ -23,7 +21,7 @@ def add(reg) -> None:
         source = ingest.table_stream(spark, f"{sf.rstrip('/')}/documents.parquet")
         out = ingest.run_available(
             source.select("doc_id", "text"),
-            lambda batch: chunk_documents(t.spread_rows(batch, "doc_id"), overlap=0, plain=True),
+            lambda batch: chunk_documents(batch, overlap=0, plain=True),
             shared_path(spark, "chunks"),
             shared_path(spark, "chunks-state"),
         )
@@ -65,25 +63,6 @@ def add(reg) -> None:
             F.bool_or((F.col("type") == "done") & (F.col("text") != "")).alias("withheld"),
         )
 
-    @reg.add("run_journal_state")
-    def run_journal_state(spark, sf):
-        def states(source):
-            kind, micros = F.col("event_type"), F.unix_micros(F.col("ts").cast("timestamp"))
-            return runs.run_states(
-                source.select(
-                    F.col("user_id").alias("run_id"),
-                    micros.alias("seq"),
-                    (micros / 1e6).alias("at"),
-                    F.when(kind == "view", "claim").when(kind == "click", "renew")
-                    .when(kind == "purchase", "finish").when(kind == "error", "pause")
-                    .otherwise("claim").alias("kind"),
-                    F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("owner"),
-                )
-            )
-
-        out = ingest.stream_rows(spark, f"{sf.rstrip('/')}/events.parquet", states, "update")
-        return first_rows(out, ["run_id"], [F.desc("seq")], 1).drop("batch")
-
     @reg.add(
         "change_log_latest",
         """SELECT user_id AS doc_id, event_type AS status, value FROM events
@@ -153,10 +132,3 @@ def add(reg) -> None:
         )
         parts = t.table(spark, sf, "part").filter("p_size > 5")
         return store.orphan_rows(items, parts, "p_partkey").select("l_orderkey", "l_linenumber")
-
-    @reg.add("file_fingerprints")
-    def file_fingerprints(spark, sf):
-        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf)
-        return files.fingerprint(found).select(
-            F.element_at(F.split("path", "/"), -1).alias("file"), "length", "content_hash"
-        )

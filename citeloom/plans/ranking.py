@@ -105,7 +105,7 @@ def add(reg) -> None:
             AS tokens FROM (SELECT doc_id, {TOKENS.format('text')} AS toks FROM documents)""",
     )
     def tokenize_distinct(spark, sf):
-        d = t.spread(t.table(spark, sf, "documents"), "doc_id")
+        d = t.table(spark, sf, "documents")
         d = d.select("doc_id", tokenize("text").alias("toks"))
         return d.select(
             "doc_id",
@@ -289,8 +289,7 @@ def add(reg) -> None:
         "hybrid_refusal",
         _hybrid_sql(t.QUERIES_SQL, 5) + """
         SELECT q.query_id, count(o.doc_id) AS kept, count(o.doc_id) = 0 AS refused
-        FROM queries q LEFT JOIN ordered o ON o.query_id = q.query_id AND o.score >= 0.999999
-          AND o.position > 1
+        FROM queries q LEFT JOIN ordered o ON o.query_id = q.query_id AND o.score >= 0.25
         GROUP BY q.query_id""",
     )
     def hybrid_refusal(spark, sf):
@@ -298,8 +297,7 @@ def add(reg) -> None:
 
         q = vector_queries(spark, sf)
         fused = candidates(t.embedded_chunks(spark, sf), q, 10, 20, row_bound(q))
-        strict = selection.above_threshold(fused, 0.999999).filter("position > 1")
-        return selection.refusals(q, strict)
+        return selection.refusals(q, selection.above_threshold(fused))
 
     @reg.add(
         "hybrid_scoped_retrieve",

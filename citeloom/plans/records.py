@@ -24,7 +24,7 @@ sets AS (
 
 def families(spark, sf):
     """Documents with their version family: course and language."""
-    d = t.spread(t.table(spark, sf, "documents"), "doc_id")
+    d = t.table(spark, sf, "documents")
     return d.select(F.col("source").alias("course_id"), "lang", "doc_id", "text")
 
 
@@ -36,7 +36,7 @@ def add(reg) -> None:
         FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, sha256(text)) AS first_doc FROM documents)""",
     )
     def content_hash_dedupe(spark, sf):
-        d = t.spread(t.table(spark, sf, "documents"), "doc_id")
+        d = t.table(spark, sf, "documents")
         hashed = versions.content_hash(d, "text").select("source", "doc_id", "content_hash")
         out = versions.duplicate_of(hashed, ["source"])
         return out.select(
@@ -50,7 +50,7 @@ def add(reg) -> None:
         "WITH " + SHINGLE_SQL + "SELECT doc_id, CAST(len(s) AS BIGINT) AS n, list_aggregate(list_sort(s), 'string_agg', ' ') AS set FROM sets",
     )
     def shingle_sets(spark, sf):
-        d = families(spark, sf).select("doc_id", F.sort_array(shingles("text", 5, None)).alias("s"))
+        d = families(spark, sf).select("doc_id", F.sort_array(shingles("text", 5)).alias("s"))
         return d.select(
             "doc_id", F.size("s").cast("long").alias("n"), F.nullif(F.array_join("s", " "), F.lit("")).alias("set")
         )
@@ -191,13 +191,12 @@ def add(reg) -> None:
     def save_permission(spark, sf):
         m = t.table(spark, sf, "conversations")
         c = (F.col("conv_id") + F.col("turn")) % 5
-        word = F.get(F.split("text", " "), F.lit(0))
         text = (
-            F.when(c == 0, F.concat(F.lit("出题，并保存到题库 "), word))
-            .when(c == 1, F.concat(F.lit("先不保存 "), word))
-            .when(c == 2, F.concat(F.lit("能不能保存 "), word))
-            .when(c == 3, F.concat(F.lit("他说“请保存” "), word))
-            .otherwise(F.concat(F.lit("请把题目存入 "), word))
+            F.when(c == 0, F.concat(F.lit("出题，并保存到题库 "), "text"))
+            .when(c == 1, F.concat(F.lit("先不保存 "), "text"))
+            .when(c == 2, F.concat(F.lit("能不能保存 "), "text"))
+            .when(c == 3, F.concat(F.lit("他说“请保存” "), "text"))
+            .otherwise(F.concat(F.lit("请把题目存入 "), "text"))
         )
         return m.select(
             "conv_id", "turn", intent.save_authorization(text, F.col("role") == "user").alias("granted")
@@ -398,7 +397,7 @@ def add(reg) -> None:
         WHERE a.text IS DISTINCT FROM b.text""",
     )
     def snapshot_diff(spark, sf):
-        d = t.spread(t.table(spark, sf, "documents"), "doc_id")
+        d = t.table(spark, sf, "documents")
         k = F.col("doc_id") % 10
         digest = F.sha2("text", 256)
         edited = F.when(k == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))

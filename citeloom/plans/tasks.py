@@ -89,15 +89,15 @@ def add(reg) -> None:
         "WITH " + t.LINES_SQL + """
         SELECT q.doc_id * 100000 + q.chunk_index AS question_id, e.doc_id * 100000 + e.chunk_index AS evidence_id
         FROM line_chunks q JOIN line_chunks e ON e.course_id = q.course_id AND e.page = q.page AND e.doc_id = q.doc_id
-          AND contains(e.text, trim(substr(q.text, 5, 40)))
-        WHERE trim(substr(q.text, 5, 40)) <> ''""",
+          AND contains(e.text, trim(substr(q.text, 5)))
+        WHERE trim(substr(q.text, 5)) <> ''""",
     )
     def citation_match(spark, sf):
         c = t.line_chunks(spark, sf)
         key = F.col("doc_id") * 100000 + F.col("chunk_index")
         asked = c.select(
             key.alias("question_id"), "source_file", "page", "doc_id",
-            F.substring("text", 5, 40).alias("snippet"),
+            F.expr("substring(text, 5)").alias("snippet"),
         )
         return study.matching_evidence(
             asked, c.select(key.alias("evidence_id"), "source_file", "page", "doc_id", "text")

@@ -15,22 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash out rows whose files offer fewer splits than there are cores.
-
-    A corpus of many files is left as it is; only a handful of files, where one
-    task would carry all the text work, pays for the exchange.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
-def spread_rows(df: DataFrame, key: str) -> DataFrame:
-    """Hash out a batch that came as fewer partitions than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def _pick(key, values) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
 
@@ -45,7 +29,7 @@ EXTENSIONS = ("pdf", "md", "docx", "txt", "pptx", "html")
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one chunk of the course named by its source."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    d = table(spark, sf_dir, "documents")
     k = F.col("doc_id")
     year = (F.lit(2018) + k % 6).cast("string")
     return d.select(
@@ -168,7 +152,7 @@ queries AS (
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document in order, some of them turned into headings."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    d = table(spark, sf_dir, "documents")
     rows = d.select(
         F.col("source").alias("course_id"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")
     )
@@ -186,7 +170,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as retrieval chunks: four lines a page, every fifth a formula."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    d = table(spark, sf_dir, "documents")
     rows = d.select(
         F.col("source").alias("course_id"), "doc_id",
         F.posexplode(F.split("text", "\n")).alias("chunk_index", "line"),
@@ -228,7 +212,7 @@ AGENCIES = ("国务院", "国家标准", "教育部", "行业标准", "某省教
 
 def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under a header with version, validity and issuer."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    d = table(spark, sf_dir, "documents")
     k = F.col("doc_id")
 
     def s(c):
@@ -262,14 +246,14 @@ policies AS (
   FROM documents)
 """
 
-# Question wordings around the words of a message; {} is the message text.
+# Question wordings before and after the text of a message.
 QUESTIONS = (
     ("什么是", ""),
     ("请问2024年3月5日期末考试的规定是什么 ", ""),
     ("那这个要求呢 ", ""),
     ("第三章概览 ", ""),
     ("", " 新旧版本的区别"),
-    ("帮我出5道", "选择题"),
+    ("帮我出5道选择题 ", ""),
     ("那 ", " 呢"),
     ("", ""),
     ("最新规定 ", ""),
@@ -281,8 +265,7 @@ def asked_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with user texts worded as questions of every routing class."""
     m = table(spark, sf_dir, "conversations")
     k = F.col("conv_id") * 3 + F.col("turn")
-    first = F.get(F.split("text", " "), F.lit(0))
-    words = F.when(k % 10 == 9, F.lit("")).otherwise(first)
+    words = F.when(k % 10 == 9, F.lit("")).otherwise(F.col("text"))
     return m.withColumn(
         "text",
         F.when(
@@ -295,9 +278,9 @@ def asked_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED_SQL = """
 asked AS (
   SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN
-    (['什么是','请问2024年3月5日期末考试的规定是什么 ','那这个要求呢 ','第三章概览 ','','帮我出5道','那 ','','最新规定 ','谢谢'])[(conv_id * 3 + turn) % 10 + 1]
-    || (CASE WHEN (conv_id * 3 + turn) % 10 = 9 THEN '' ELSE split_part(text, ' ', 1) END)
-    || (['','','','',' 新旧版本的区别','选择题',' 呢','','',''])[(conv_id * 3 + turn) % 10 + 1]
+    (['什么是','请问2024年3月5日期末考试的规定是什么 ','那这个要求呢 ','第三章概览 ','','帮我出5道选择题 ','那 ','','最新规定 ','谢谢'])[(conv_id * 3 + turn) % 10 + 1]
+    || (CASE WHEN (conv_id * 3 + turn) % 10 = 9 THEN '' ELSE text END)
+    || (['','','','',' 新旧版本的区别','',' 呢','','',''])[(conv_id * 3 + turn) % 10 + 1]
     ELSE text END AS text
   FROM conversations)
 """

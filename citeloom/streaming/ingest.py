@@ -12,6 +12,10 @@ from citeloom.session import shared_path
 from citeloom.sources import files
 
 
+#: Files of one micro-batch.
+FILES_PER_BATCH = 64
+
+
 def watch_folder(spark: SparkSession, root: str) -> DataFrame:
     """Stream of new or changed supported files below a folder."""
     return (
@@ -56,7 +60,10 @@ def run_available(
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     """Stream over a Parquet table, be it one file or a folder of files."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    # The source takes folders or patterns; this pattern fits the path alone.
+    exact = f"{path[:-1]}[{path[-1]}]"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return reader.option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(exact)
 
 
 def stream_rows(

@@ -1,11 +1,12 @@
 """Answer token streams: hold back protocol markers, emit visible text.
 
 State per run is a few characters: the undecided opening, the tail that may be
-the start of the source marker, and two flags.
+the start of the source marker, two flags, and tokens that came before their turn.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from citeloom.operators.answers import NO_EVIDENCE, REFUSAL, SOURCES
 
 OUTPUT = "run_id long, seq long, type string, text string"
-STATE = "pending string, tail string, emitting boolean, footer boolean, last long"
+STATE = "pending string, tail string, emitting boolean, footer boolean, following long, waiting string"
 
 
 def undecided(text: str) -> bool:
@@ -51,33 +52,36 @@ def advance(state: tuple, delta: str) -> tuple[tuple, str]:
 
 
 def _run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pending, tail, emitting, footer, last = (
-        state.get if state.exists else ("", "", False, False, -1)
+    pending, tail, emitting, footer, following, waiting = (
+        state.get if state.exists else ("", "", False, False, 0, "{}")
     )
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    out = []
-    for seq, text, final in zip(rows["seq"], rows["text"], rows["final"]):
-        if seq <= last:  # a replayed token
-            continue
-        last = int(seq)
-        (pending, tail, emitting, footer), visible = advance(
-            (pending, tail, emitting, footer), text or ""
-        )
-        if final and tail:
-            visible, tail = visible + tail, ""
-        if visible:
-            out.append((key[0], last, "delta", visible))
-        if final:
-            out.append((key[0], last, "done", "" if emitting else pending.strip()))
-    state.update((pending, tail, emitting, footer, last))
-    yield pd.DataFrame(out, columns=["run_id", "seq", "type", "text"])
+    held = {int(k): v for k, v in json.loads(waiting).items()}
+    for rows in batches:
+        for seq, text, final in zip(rows["seq"].tolist(), rows["text"], rows["final"].tolist(), strict=True):
+            if seq >= following:  # an earlier number was taken before: a replay
+                held[int(seq)] = (text or "", bool(final))
+        out = []
+        while following in held:
+            text, final = held.pop(following)
+            (pending, tail, emitting, footer), visible = advance((pending, tail, emitting, footer), text)
+            if final and tail:
+                visible, tail = visible + tail, ""
+            if visible:
+                out.append((key[0], following, "delta", visible))
+            if final:
+                out.append((key[0], following, "done", "" if emitting else pending.strip()))
+            following += 1
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "seq", "type", "text"])
+    state.update((pending, tail, emitting, footer, following, json.dumps(held)))
 
 
 def visible_deltas(tokens: DataFrame) -> DataFrame:
     """Delta and done events of a token stream (run_id, seq, text, final).
 
-    Tokens of a run may come in any order within a micro-batch but not across
-    micro-batches; a replayed token is ignored.
+    ``seq`` numbers the tokens of a run from 0 without gaps.  Tokens may come in any
+    order, also across micro-batches: a token waits in the state until those before
+    it have come.  A repeated token is ignored.
     """
     return tokens.groupBy("run_id").applyInPandasWithState(
         _run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout

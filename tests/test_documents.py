@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import blocks, chunking, ordered, store, versions
 from citeloom.sources import files, office
-from citeloom.sources import versions as published
 
 
 def split(spark, text, size, plain=False):
@@ -241,15 +240,6 @@ def test_chunk_rows_reject_missing_course(spark):
     assert (row["id"], row["page"], row["effective_from_sort"], row["content_role"]) == ("1_0", -1, 10101, "content")
 
 
-def test_publish_is_idempotent(spark, tmp_path):
-    root = f"file:{tmp_path}/t"
-    assert published.publish(spark.range(3), root, "b1") is True
-    assert published.publish(spark.range(9), root, "b1") is False
-    assert published.current(spark, root).count() == 3
-    assert published.publish(spark.range(5), root, "b2") is True
-    assert published.current(spark, root).count() == 5
-
-
 def docx(body, header=""):
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     buf = io.BytesIO()

@@ -1,4 +1,4 @@
-"""Question bank, practice, conversations, evaluation, answers, runs, token streams."""
+"""Question bank, practice, conversations, evaluation, answers, token streams."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.operators import answers, bank, conversations, evaluation, store, study
-from citeloom.streaming import runs, tokens
+from citeloom.streaming import tokens
 
 QUESTION = "question_id long, course_id string, question_type string, difficulty string, chapter string, status string, updated_at int, stem string"
 
@@ -235,45 +235,3 @@ def test_study_steps(spark):
     assert val(study.goal_complete(quizzes, notes(True))) is False
     assert val(study.goal_complete(quizzes, notes(False, True))) is True
     assert val(study.next_tool(F.lit(False), quizzes, plan)) == "execute_study_step"
-
-
-RUN = (
-    "run_id string, conversation_id string, course_id string, request string, status string, control string, breakpoints array<string>, "
-    "owner string, lease double, result string, published boolean, created double, updated double"
-)
-
-
-def test_run_journal(spark):
-    row = lambda i, **k: tuple({**dict(run_id=i, conversation_id="v" + i, course_id="c", request='{"question":"q"}', status="paused", control="run", breakpoints=[], owner=None, lease=0.0, result=None, published=False, created=1.0, updated=1.0), **k}.values())  # noqa: E731,E501
-    table = spark.createDataFrame(
-        [row("1"), row("2", status="running", owner="w", lease=50.0), row("3", status="running", owner="w", lease=500.0), row("4", status="ready", result='{"answer":"a"}')],
-        RUN,
-    )
-    now = F.lit(100.0)
-    assert {r["run_id"]: r["status"] for r in runs.observed(table, now).collect()} == {"1": "paused", "2": "interrupted", "3": "running", "4": "ready"}
-    claims = spark.createDataFrame([(str(i), "c", "me", "run", 1) for i in (1, 2, 3, 4)], "run_id string, course_id string, new_owner string, mode string, seq int")
-    got = {r["run_id"]: (r["claimed"], r["owner"]) for r in runs.claim(table, claims, now).collect()}
-    assert got == {"1": (True, "me"), "2": (True, "me"), "3": (False, "w"), "4": (False, None)}
-    stop = spark.createDataFrame([("1", "cancel"), ("3", "cancel")], "run_id string, action string")
-    got = {r["run_id"]: (r["status"], r["control"]) for r in runs.control(table, stop, now).collect()}
-    assert got["1"] == ("cancelled", "cancel") and got["3"] == ("running", "cancel")
-    asked = spark.createDataFrame([("9", "v1", "c", "{}", [], 2.0), ("8", "new", "c", "{}", [], 2.0)], "run_id string, conversation_id string, course_id string, request string, breakpoints array<string>, at double")
-    made, rejected = runs.create(table, asked, now)
-    assert made.filter("run_id = '8'").count() == 1 and [r["run_id"] for r in rejected.collect()] == ["9"]
-    flipped, messages = runs.publish(table)
-    assert sorted((r["id"], r["content"]) for r in messages.collect()) == [("4_assistant", "a"), ("4_user", "q")]
-    assert runs.publish(flipped)[1].count() == 0
-    done = spark.createDataFrame([("3", "w", "ready", "{}"), ("2", "x", "ready", "{}")], "run_id string, owner string, new_status string, new_result string")
-    got = {r["run_id"]: r["status"] for r in runs.finish(table, done, now).collect()}
-    assert (got["3"], got["2"]) == ("ready", "running")
-
-
-def test_command_fold():
-    s = ("paused", "run", None, 0.0, 0)
-    s = runs.apply_command(s, 1.0, "claim", "a")
-    assert s[:3] == ("running", "run", "a")
-    assert runs.apply_command(s, 2.0, "claim", "b")[4] == 1
-    assert runs.apply_command(s, 100.0, "claim", "b")[2] == "b"
-    s = runs.apply_command(s, 3.0, "cancel", "a")
-    assert s[:2] == ("running", "cancel")
-    assert runs.apply_command(s, 100.0, "renew", "a")[0] == "cancelled"
