@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -58,8 +60,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """Fresh path below the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Fresh path below the session's folder in the shared folder.
+
+    Results are read after the call that wrote their inputs, so the folder is
+    removed when the driver's process ends.
+    """
+    run = f"{checkpoint_dir(spark).rstrip('/')}/citeloom-{spark.sparkContext.applicationId}"
+    if run not in _RUNS:
+        _RUNS.add(run)
+        atexit.register(_clear, spark, run)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
+
+
+_RUNS: set[str] = set()
+
+
+def _clear(spark: SparkSession, run: str) -> None:
+    """At the end of the process, if the session is still there."""
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):
+            _remove(spark, run)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -68,8 +88,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a reused intermediate to the shared folder once and read it back."""
     path = shared_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.mode("errorifexists")
+    if compression:
+        writer = writer.option("compression", compression)
+    writer.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove what ``materialize`` wrote; nothing may read ``df`` afterwards."""
+    path = getattr(df, "written_to", None)
+    if path:
+        _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
