@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.session import materialize
+from citeloom.session import materialize, release
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -50,7 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
         if before == tuple(seen) or not seen[0]:
             break
         before = tuple(seen)
-        current = materialize(_small_star(_large_star(current)), "edges")
+        last, current = current, materialize(_small_star(_large_star(current)), "edges")
+        release(last)
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
