@@ -208,6 +208,12 @@ def newest_by(docs: DataFrame, key: str, course_id: str | None = None, active: b
     return first_rows(out, [key, "course_id"], [F.desc("doc_id")], 1)
 
 
+def active_by(docs: DataFrame, key: str, course_id: str | None = None) -> DataFrame:
+    """All active documents with a value of ``key``; blank values never match."""
+    out = docs.filter((F.coalesce(F.col(key), F.lit("")) != "") & F.col("is_active"))
+    return out if course_id is None else out.filter(F.col("course_id") == course_id)
+
+
 def migrate(rows: DataFrame, defaults: dict) -> DataFrame:
     """Add absent columns with their default and fill NULLs of present ones."""
     for name, value in defaults.items():
