@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import tokenize
 from citeloom.operators.evidence import is_applicable
 from citeloom.operators.joins import first_rows, join_small, row_bound, unnest
+from citeloom.session import materialize
 
 K1 = 1.5
 B = 0.75
@@ -80,17 +81,35 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return unnest(queries, tokenize("query_text"), "token", "query_id", "course_id")
 
 
-def _query_weights(chunks: DataFrame, tokens: DataFrame, rows: int | None) -> DataFrame:
+def course_hits(chunks: DataFrame, tokens: DataFrame, rows: int | None, *keep: str) -> DataFrame:
+    """Chunks of the asked courses with those of their tokens that a question has.
+
+    Courses nobody asks about drop out before any text is tokenised, and tokens
+    nobody asks for before they become rows.  The result is narrow and read twice,
+    so it is written once.  Without a bound on the questions all tokens stay.
+    """
+    courses = tokens.select("course_id").distinct()
+    if rows is None:
+        asked = tokenized(join_small(chunks, courses, ["course_id"], "left_semi"), *keep)
+        return asked.withColumnRenamed("tokens", "hits")
+    vocabulary = tokens.groupBy("course_id").agg(F.collect_set("token").alias("vocabulary"))
+    asked = tokenized(join_small(chunks, vocabulary, ["course_id"], rows=rows), "vocabulary", *keep)
+    hits = F.array_intersect("tokens", "vocabulary").alias("hits")
+    return materialize(
+        asked.select("course_id", "doc_id", "chunk_index", *keep, "dl", hits), "bm25-hits"
+    )
+
+
+def _query_weights(hits: DataFrame, tokens: DataFrame, rows: int | None) -> DataFrame:
     """(query, token) -> fixed-point idf and course mean length.
 
-    One pass over the corpus yields document frequencies of the query
-    vocabulary and, under the marker token, the course totals.
+    One pass over the hits yields document frequencies of the query vocabulary
+    and, under the marker token, the course totals.
     """
     vocab = tokens.select("course_id", "token").union(
         tokens.select("course_id", F.lit(_TOTAL).alias("token"))
     ).distinct()
-    marked = F.concat("tokens", F.array(F.lit(_TOTAL)))
-    marks = unnest(tokenized(chunks), marked, "token", "course_id", "dl")
+    marks = unnest(hits, F.concat("hits", F.array(F.lit(_TOTAL))), "token", "course_id", "dl")
     counted = (
         join_small(marks, vocab, ["course_id", "token"], "left_semi", rows=rows and 2 * rows)
         .groupBy("course_id", "token")
@@ -123,14 +142,12 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, rows: int | None = None)
     if rows is None:
         rows = row_bound(tokens)
     scope = [c for c in ("scenario", "as_of") if c in queries.columns]
-    weights = _query_weights(chunks, tokens, rows)
+    meta = ("applicability_scope", "effective_from", "effective_to") if scope else ()
+    hits = course_hits(chunks, tokens, rows, *meta)
+    weights = _query_weights(hits, tokens, rows)
     if scope:
         weights = weights.join(queries.select("query_id", *scope), "query_id")
-    meta = ("applicability_scope", "effective_from", "effective_to") if scope else ()
-    terms = unnest(
-        tokenized(chunks, *meta), "tokens", "token",
-        "course_id", "doc_id", "chunk_index", "dl", *meta,
-    )
+    terms = unnest(hits, "hits", "token", "course_id", "doc_id", "chunk_index", "dl", *meta)
     matched = join_small(terms, weights, ["course_id", "token"], rows=rows)
     in_scope = (
         is_applicable(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.functions import intent
-from citeloom.functions.text import shingles
+from citeloom.functions.text import logical_name, shingles
 from citeloom.operators import bank, conversations, evaluation, lexical, versions
 from citeloom.operators.joins import join_small, row_bound
 from citeloom.plans.ranking import INDEX_SQL, LEXICAL_SQL, SCORE_SQL
@@ -14,7 +14,7 @@ from citeloom.sources import tables as t
 # Distinct non-overlapping five-character pieces of the whitespace-free text.
 SHINGLE_SQL = r"""
 sets AS (
-  SELECT source AS course_id, lang, doc_id,
+  SELECT source AS course_id, lang || '_' || (doc_id // 500) AS logical_name, doc_id, text,
     CASE WHEN length(n) = 0 THEN [] WHEN length(n) <= 5 THEN [n] ELSE
       list_distinct(list_transform(range(0, greatest(length(n) - 4, 1), 5), lambda i: substr(n, i + 1, 5)))
     END AS s
@@ -23,9 +23,16 @@ sets AS (
 
 
 def families(spark, sf):
-    """Documents with their version family: course and language."""
+    """Documents with their version family: course and logical name.
+
+    A file is named after its language and a block of ids, with a version mark.
+    """
     d = t.table(spark, sf, "documents")
-    return d.select(F.col("source").alias("course_id"), "lang", "doc_id", "text")
+    block = F.floor(F.col("doc_id") / 500).cast("string")
+    name = F.concat("lang", F.lit("_"), block, F.lit(" v"), (F.col("doc_id") % 4).cast("string"), F.lit(".pdf"))
+    return d.select(
+        F.col("source").alias("course_id"), logical_name(name).alias("logical_name"), "doc_id", "text"
+    )
 
 
 def add(reg) -> None:
@@ -60,7 +67,7 @@ def add(reg) -> None:
         "WITH " + SHINGLE_SQL + """,
         pairs AS (
           SELECT b.doc_id, a.doc_id AS best_doc, len(list_intersect(a.s, b.s)) AS c, len(a.s) AS na, len(b.s) AS nb
-          FROM sets b LEFT JOIN sets a ON a.course_id = b.course_id AND a.lang = b.lang AND a.doc_id < b.doc_id
+          FROM sets b LEFT JOIN sets a ON a.course_id = b.course_id AND a.logical_name = b.logical_name AND a.doc_id < b.doc_id
             AND len(a.s) > 0 AND len(b.s) > 0),
         sims AS (SELECT doc_id, best_doc, c / (na + nb - c) AS sim FROM pairs)
         SELECT doc_id, CASE WHEN sim >= 0.2 THEN best_doc END AS best_doc,
@@ -68,7 +75,7 @@ def add(reg) -> None:
         FROM sims QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC NULLS LAST, best_doc) = 1""",
     )
     def version_argmax(spark, sf):
-        out = versions.similar_earlier(families(spark, sf), ["course_id", "lang"])
+        out = versions.similar_earlier(families(spark, sf), ["course_id", "logical_name"])
         return out.select("doc_id", "best_doc", F.round("similarity", 6).alias("similarity"))
 
     @reg.add(
@@ -85,6 +92,68 @@ def add(reg) -> None:
             "previous_doc_id", "superseded_by", "is_active",
         )
 
+    @reg.add(
+        "update_decision",
+        "WITH " + SHINGLE_SQL + """,
+        f AS (SELECT *, course_id || '/' || (doc_id // 200) AS path, sha256(text) AS h FROM sets),
+        inc AS (SELECT * FROM f WHERE doc_id % 2 = 1), st AS (SELECT * FROM f WHERE doc_id % 2 = 0 AND doc_id % 3 > 0),
+        same AS (SELECT course_id, h, max(doc_id) AS same_doc FROM st GROUP BY 1, 2),
+        placed AS (SELECT course_id, path, max(doc_id) AS path_doc FROM st WHERE doc_id % 5 = 0 GROUP BY 1, 2),
+        near AS (
+          SELECT i.doc_id AS file_id, s.doc_id AS near_doc, len(list_intersect(i.s, s.s)) AS c, len(i.s) AS na, len(s.s) AS nb
+          FROM inc i JOIN st s ON s.course_id = i.course_id AND s.logical_name = i.logical_name),
+        best AS (SELECT file_id, near_doc, c / (na + nb - c) AS sim FROM near WHERE c > 0
+          QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY sim DESC, near_doc DESC) = 1),
+        j AS (SELECT i.doc_id AS file_id, same_doc, path_doc, CASE WHEN sim >= 0.2 THEN near_doc END AS near_doc, sim
+          FROM inc i LEFT JOIN same ON same.course_id = i.course_id AND same.h = i.h
+            LEFT JOIN placed p ON p.course_id = i.course_id AND p.path = i.path
+            LEFT JOIN best ON best.file_id = i.doc_id AND same_doc IS NULL AND path_doc IS NULL)
+        SELECT file_id, CASE WHEN same_doc IS NOT NULL THEN 'unchanged' WHEN coalesce(path_doc, near_doc) IS NOT NULL THEN 'updated'
+            ELSE 'created' END AS action, CASE WHEN same_doc IS NULL THEN coalesce(path_doc, near_doc) END AS previous_doc_id,
+          round(CASE WHEN same_doc IS NULL AND path_doc IS NOT NULL THEN 1 WHEN same_doc IS NULL THEN sim END, 6) AS similarity
+        FROM j""",
+    )
+    def update_decision(spark, sf):
+        k = F.col("doc_id")
+        d = versions.content_hash(families(spark, sf), "text").withColumn(
+            "path", F.concat("course_id", F.lit("/"), F.floor(k / 200).cast("string"))
+        )
+        # Of the stored files one in five lies at a path that files come from again.
+        stored = d.filter("doc_id % 2 = 0 AND doc_id % 3 > 0").withColumns(
+            {
+                "path": F.when(k % 5 == 0, F.col("path")).otherwise(F.concat(F.lit("old/"), k.cast("string"))),
+                "version_number": F.lit(1), "is_active": F.lit(True),
+            }
+        )
+        incoming = d.filter("doc_id % 2 = 1").withColumnRenamed("doc_id", "file_id")
+        return versions.match_candidates(incoming, stored).select(
+            "file_id", "action", "previous_doc_id", F.round("similarity", 6).alias("similarity")
+        )
+
+    @reg.add(
+        "promote_versions",
+        """WITH ch AS (SELECT o_orderkey AS old_doc, o_orderkey + 1 AS new_doc FROM orders
+          WHERE o_orderkey % 10 IN (0, 1) AND o_orderkey + 1 IN (SELECT o_orderkey FROM orders))
+        SELECT o_orderkey AS doc_id, CASE WHEN a.old_doc IS NOT NULL THEN 'superseded' WHEN b.new_doc IS NOT NULL THEN 'done' ELSE o_orderstatus END AS status,
+          CASE WHEN a.old_doc IS NOT NULL THEN false WHEN b.new_doc IS NOT NULL THEN true ELSE o_orderkey % 2 = 0 END AS is_active,
+          CAST(CASE WHEN b.new_doc IS NOT NULL THEN b.old_doc % 4 + 1 ELSE o_orderkey % 4 END AS INTEGER) AS version_number,
+          b.old_doc AS previous_doc_id, a.new_doc AS superseded_by
+        FROM orders LEFT JOIN ch a ON a.old_doc = o_orderkey LEFT JOIN ch b ON b.new_doc = o_orderkey""",
+    )
+    def promote_versions(spark, sf):
+        k = F.col("doc_id")
+        docs = t.table(spark, sf, "orders").select(
+            F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("status")
+        ).withColumns(
+            {
+                "is_active": k % 2 == 0, "version_number": (k % 4).cast("int"),
+                "previous_doc_id": F.lit(None).cast("long"), "superseded_by": F.lit(None).cast("long"),
+            }
+        )
+        new = docs.select(F.col("doc_id").alias("new_doc"))
+        changes = docs.filter("doc_id % 10 IN (0, 1)").select(k.alias("old_doc"), (k + 1).alias("new_doc"))
+        return versions.promote_versions(docs, changes.join(new, "new_doc", "left_semi"))
+
     # --- conversations ---------------------------------------------------------
 
     @reg.add(
