@@ -1,13 +1,12 @@
 """Layout blocks: reconstruction from parser JSON, pages, structured chunks.
 
 A block row has doc_id, pos (order in the document), page, block_type, text and
-the layout attributes.  Reconstruction is relational; only the heading stack of
-a document, a fold over its few titles, is a Python helper.
+the layout attributes.  Reconstruction is relational; the heading stack of a
+document is a fold over its titles.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -502,32 +501,48 @@ def formula_context(blocks: DataFrame, max_chars: int = 420) -> DataFrame:
     )
 
 
-def _outline(kinds, texts, levels, pages) -> list[dict]:
-    """Section path and text group of each block of a document.
+def _heading_paths(titles: Column) -> Column:
+    """Section path after each title of a document: a title replaces the headings
+    at its level and below."""
 
-    A title replaces the headings at its level and below.  Text blocks of one
-    page share a group; a title opens a group and any other block closes it.
-    """
-    stack, out, group, open_page, is_open = [], [], 0, None, False
-    for kind, text, level, page in zip(kinds, texts, levels, pages):
-        if kind == "skip":
-            out.append({"path": "", "group_no": -1})
-            continue
-        if kind == "title":
-            del stack[max(1, level or 1) - 1 :]
-            stack.append(text)
-        if kind != "text" or not is_open or page != open_page:
-            group += 1
-        is_open, open_page = kind in ("title", "text"), page
-        out.append({"path": " / ".join(stack), "group_no": group})
-    return out
+    def push(acc: Column, title: Column) -> Column:
+        above = F.greatest(F.coalesce(title["level"], F.lit(1)), F.lit(1)) - 1
+        stack = F.concat(F.slice(acc["stack"], F.lit(1), above), F.array(title["text"]))
+        one = F.struct(title["pos"].alias("pos"), F.array_join(stack, " / ").alias("path"))
+        return F.struct(stack.alias("stack"), F.concat(acc["paths"], F.array(one)).alias("paths"))
 
+    start = F.struct(
+        F.array().cast("array<string>").alias("stack"),
+        F.array().cast("array<struct<pos:int,path:string>>").alias("paths"),
+    )
+    return F.aggregate(titles, start, push)["paths"]
 
-def _outlines(*columns: Column) -> Column:
-    def each(kinds: pd.Series, texts: pd.Series, levels: pd.Series, pages: pd.Series) -> pd.Series:
-        return pd.Series([_outline(*row) for row in zip(kinds, texts, levels, pages)])
 
-    return F.pandas_udf(each, "array<struct<path:string, group_no:int>>")(*columns)
+def outlined(rows: DataFrame) -> DataFrame:
+    """Blocks in order with their section path and group; skipped ones drop out.
+
+    Text blocks of one page share a group; a title opens a group and any other
+    block closes it.  Only titles are collected per document.
+    """
+    kept = rows.filter("kind <> 'skip'").withColumns(
+        {"p": F.coalesce("page", F.lit(0)), "pos": F.col("pos").cast("int")}
+    )
+    titles = kept.filter("kind = 'title'").groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("p", "ord", "pos", "text", F.col("level").cast("int").alias("level")))).alias("t")
+    )
+    paths = titles.select("doc_id", F.explode(_heading_paths(F.col("t"))).alias("h")).select("doc_id", "h.pos", "h.path")
+    order = Window.partitionBy("doc_id").orderBy("p", "ord", "pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    was_open = F.coalesce(F.lag("kind").over(order).isin("title", "text"), F.lit(False))
+    goes_on = (F.col("kind") == "text") & was_open & F.col("page").eqNullSafe(F.lag("page").over(order))
+    placed = kept.join(paths, ["doc_id", "pos"], "left").withColumns(
+        {
+            "section_path": F.coalesce(F.last("path", True).over(upto), F.lit("")),
+            "seq": F.row_number().over(order),
+            "opens": F.when(goes_on, 0).otherwise(1),
+        }
+    )
+    return placed.withColumn("group_no", F.sum("opens").over(upto).cast("int")).drop("p", "path", "opens")
 
 
 def structured_chunks(
@@ -554,24 +569,7 @@ def structured_chunks(
         .otherwise("text")
     )
     rows = blocks.withColumn("kind", kind).withColumn("text", strip(F.coalesce("text", F.lit(""))))
-    # Positions follow (page, order); a document's block list is one row.
-    docs = rows.groupBy("doc_id").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    F.coalesce("page", F.lit(0)).alias("p"), "ord", "pos", "kind", "text", "level", "page"
-                )
-            )
-        ).alias("b")
-    )
-    lined = docs.withColumn(
-        "o", _outlines(*[F.col(f"b.{name}") for name in ("kind", "text", "level", "page")])
-    )
-    where = lined.select("doc_id", F.posexplode(F.arrays_zip("b", "o")).alias("seq", "z")).select(
-        "doc_id", F.col("z.b.pos").alias("pos"), "seq",
-        F.col("z.o.path").alias("section_path"), F.col("z.o.group_no").alias("group_no"),
-    )
-    placed = rows.join(where, ["doc_id", "pos"]).filter("group_no > 0")
+    placed = outlined(rows)
     label = F.element_at(F.split("section_path", " / "), -1)
     page_name = F.when(F.col("page") > 0, F.concat(F.lit("第"), F.col("page"), F.lit("页"))).otherwise("")
 
