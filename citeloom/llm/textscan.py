@@ -7,6 +7,7 @@ needs the memory of one piece (a single longer word is one piece of its own).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are turned into arrays at once.
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -134,3 +135,11 @@ def words(column: pa.Array, table: np.ndarray = _LOWER, size: int = PIECE) -> It
         ends[late] = inside[late]
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         yield Words(data, np.searchsorted(offsets, start + a, "right") - 1, start, end)
+
+
+def trim() -> None:
+    """Give memory of freed arrays back to the system, where its allocator can."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)

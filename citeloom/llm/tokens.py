@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +29,18 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Appended to each document.
 END_ID = 0
 
-LANES = 1024
+LANES = 2048
 #: Frequencies add up to 2**PRECISION; states lie in [2**31, 2**63).
 PRECISION = 20
 _LOW = np.uint64(1 << 31)
 #: Steps (LANES ids each) between two checkpoints.
 CHECKPOINT = 128
 #: A block is closed at so many ids; a longer document is a block of its own.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 1 << 20
-_ROUND = 1 << 16
+#: Bytes of text that are encoded together.
+TOGETHER = 8 << 20
 
 
 class Encoder:
@@ -53,49 +56,85 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        (self.border,) = self.tokenizer.encode("\n\n", add_special_tokens=False).ids
+        self.marks = {m: self.whole(m) for m in ".,"}
+        self.cut = self.tokenizer.model.tokenize
+        #: The model's sign for a space.
+        self.space = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, pieces: set[str]) -> bool:
-        """Remember pieces that follow a space; False if one begins with white space."""
-        if any(not p or p[0] < "!" or p[0].isspace() for p in pieces):
-            return False
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of ASCII letters after a space: one pre-token, straight to the model."""
+        return array("H", [t.id for t in self.cut(self.space + word)]).tobytes()
+
+    def learn(self, pieces: set[str]) -> set[str]:
+        """Remember pieces that follow a space; returns those that begin with white space."""
         if len(self.known) + len(pieces) > REMEMBERED:
             self.known = {}
-        # A line end between two pieces is a token of its own and marks their border.
-        together = [p for p in pieces if "\n" not in p]
+        known, marks, rest = self.known, self.marks, set()
+        for p in pieces:
+            if p.isascii() and p.isalpha():
+                known[p] = self._word(p)
+            elif p[-1:] in marks and p[:-1].isascii() and p[:-1].isalpha():
+                # Letters and the mark after them are pre-tokens of their own.
+                known[p] = (known.get(p[:-1]) or self._word(p[:-1])) + marks[p[-1]]
+            else:
+                rest.add(p)
+        unsafe = {p for p in rest if not p or p[0] < "!" or p[0].isspace()}
+        alone = {p for p in rest - unsafe if p[-1] < "!" or p[-1].isspace() or "\n\n" in p}
+        for p in alone:
+            known[p] = self.whole(" " + p)
+        together = list(rest - unsafe - alone)
         if together:
-            text = " " + "\n ".join(together)
+            # An empty line between two pieces is one token that no piece holds.
+            text = " " + "\n\n ".join(together)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
-            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            ends = np.append(np.flatnonzero(ids == self.border), len(ids))
             blob, at = ids.tobytes(), 0
             for piece, end in zip(together, (2 * ends).tolist(), strict=True):
-                self.known[piece] = blob[at:end]
+                known[piece] = blob[at:end]
                 at = end + 2
-        for p in pieces:
-            if "\n" in p:
-                self.known[p] = self.whole(" " + p)
-        return True
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """Ids as 16-bit integers."""
-        first, *parts = text.split(" ")
-        out = [self.whole(first)] if first else []
-        for i in range(0, len(parts), _ROUND):
-            some = parts[i : i + _ROUND]
-            try:
-                out.append(b"".join(map(self.known.get, some)))
-            except TypeError:  # some are not known
-                known = self.known
-                if not self._learn({p for p in some if p not in known}):
-                    return self.whole(text)
-                if known is not self.known:  # the memory was emptied meanwhile
-                    self._learn({p for p in some if p not in self.known})
-                out.append(b"".join(map(self.known.get, some)))
-        return b"".join(out)
+        return unsafe
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column of texts, one after the other, and the number of each text's."""
+        if not len(texts):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds -= bounds[0]
+        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        # A text's first piece has no space before it and is an entry of its own.
+        first = [pieces[i] for i in at[bounds[:-1]].tolist()]
+        at[bounds[:-1]] = len(pieces) + np.arange(len(texts))
+        ids = list(map(self.known.get, pieces))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        unsafe = self.learn({pieces[i] for i in gaps}) if gaps else set()
+        for i in gaps:
+            ids[i] = self.known.get(pieces[i], b"")
+        ids += map(self.whole, first)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        start = np.cumsum(size) - size
+        own = size[at]
+        ends = np.cumsum(own)
+        out = np.frombuffer(b"".join(ids), np.uint16)[np.repeat(start[at] - ends + own, own) + np.arange(ends[-1])]
+        counts = np.add.reduceat(own, bounds[:-1])
+        if unsafe:
+            flags = np.fromiter((p in unsafe for p in pieces), bool, len(pieces))
+            hit = np.flatnonzero(np.append(flags, np.zeros(len(texts), bool))[at])
+            out, counts = self._mended(texts, out, counts, np.unique(np.searchsorted(bounds, hit, "right") - 1))
+        return out, counts
+
+    def _mended(self, texts, ids, counts, rows):
+        """Encode some texts as a whole."""
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in rows.tolist():
+            parts[i] = np.frombuffer(self.whole(texts[i].as_py()), np.uint16)
+        return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
 @lru_cache(maxsize=2)
@@ -104,6 +143,16 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _groups(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Consecutive texts of about ``size`` bytes together."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)), at + 1)
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -118,17 +167,19 @@ def tokenised(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int
     row has no ids but the task's counts of all 65536 ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_path(tokenizer))
-        end = np.array([end_id], np.uint16).tobytes()
+        encoder = _encoder(tokenizer_path(tokenizer))
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            keys, texts = batch.column("doc_id"), batch.column("text")
-            blobs = []
-            for t in texts:
-                blobs.append(encode(t.as_py() or "") + end)
-            # A few million ids at once, so that the counting stays cheap and small.
-            for i in range(0, len(blobs), 256):
-                counts += np.bincount(np.frombuffer(b"".join(blobs[i : i + 256]), np.uint16), minlength=1 << 16)
+            keys, texts = batch.column("doc_id"), batch.column("text").fill_null("")
+            blobs: list[bytes] = []
+            for some in _groups(texts, TOGETHER):
+                ids, sizes = encoder.column(some)
+                ends = np.cumsum(sizes)
+                out = np.insert(ids, ends, np.uint16(end_id))  # the end id after each text
+                counts += np.bincount(out, minlength=1 << 16)
+                stop = 2 * (ends + np.arange(1, len(ends) + 1))
+                blob = out.tobytes()
+                blobs += [blob[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [keys, pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.binary())], schema=_IDS
             )
