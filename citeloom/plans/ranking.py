@@ -367,6 +367,30 @@ def add(reg) -> None:
             F.col("position").cast("long").alias("position"),
         )
 
+    @reg.add(
+        "retrieve_rerank",
+        "WITH " + INDEX_SQL + "," + t.QUERIES_SQL + SCORE_SQL + LEXICAL_SQL.format(k=20)
+        + SEMANTIC_SQL.format(cos=COSINE.format("ce.embedding", "qe.embedding"), k=20)
+        + FUSED_SQL.format(fuse=20) + f""",
+        logit AS (
+          SELECT o.query_id, o.doc_id, o.position AS before,
+            1 / (1 + exp(-(len(list_intersect({TOKENS.format('q.query_text')}, {TOKENS.format('c.text')}))
+              / greatest(len({TOKENS.format('q.query_text')}), 1) * 8e0 - 4e0))) AS s
+          FROM ordered o JOIN queries q USING (query_id) JOIN chunks c ON c.doc_id = o.doc_id),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, before) AS position FROM logit
+          QUALIFY position <= 5)
+        SELECT query_id, doc_id, round(s, 6) AS score, position FROM ranked WHERE s >= 0.25""",
+    )
+    def retrieve_rerank(spark, sf):
+        hits = retrieve(
+            t.embedded_chunks(spark, sf), vector_queries(spark, sf), 5, scorer=overlap_logit, expand=False
+        )
+        return hits.select(
+            "query_id", "doc_id", F.round("score", 6).alias("score"),
+            F.col("position").cast("long").alias("position"),
+        )
+
     @reg.add(
         "validity_as_of",
         "WITH " + t.CHUNKS_SQL + """
