@@ -330,14 +330,18 @@ def add(reg) -> None:
             F.col("position").cast("long").alias("position"),
         )
 
-    @reg.add("embed_and_search")
+    @reg.add(
+        "embed_and_search",
+        "WITH " + t.CHUNKS_SQL + "," + t.QUERIES_SQL
+        + SEMANTIC_SQL.format(cos=COSINE.format("ce.embedding", "qe.embedding"), k=5)
+        + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM semantic",
+    )
     def embed_and_search(spark, sf):
-        from citeloom.operators.embedding import hash_embedding
-
-        chunks = t.document_chunks(spark, sf).withColumn("embedding", hash_embedding("text"))
-        q = t.benchmark_queries(spark, sf).withColumn("query_vec", hash_embedding("query_text"))
+        # The stored vectors stand for the embedding model, on both sides.
+        chunks = t.embedded_chunks(spark, sf).filter("embedding IS NOT NULL")
+        q = vector_queries(spark, sf).filter("query_vec IS NOT NULL")
         return vector.vector_topk(chunks, q, 5, row_bound(q)).select(
-            "query_id", "doc_id", F.round("score", 6).alias("score"), "rank"
+            "query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")
         )
 
     @reg.add(
