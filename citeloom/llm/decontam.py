@@ -23,7 +23,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.textscan import PLAIN, mix, words
+from citeloom.llm.textscan import PLAIN, mix, trim, words
 
 #: Words of a seed, the shortest tile.
 TILE = 5
@@ -207,6 +207,7 @@ def _finder(held: Broadcast, coverage: float):
         for c in columns:
             slices = (contained(c[i : i + 512], held.value, coverage) for i in range(0, len(c), 512))
             yield pa.array([x for part in slices for x in part], _HITS)
+            trim()
 
     return found
 

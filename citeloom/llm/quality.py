@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.textscan import column_bytes, pieces, words
+from citeloom.llm.textscan import column_bytes, pieces, trim, words
 
 BINS = 1 << 11
 SHAPES = 9
@@ -148,9 +148,20 @@ def fit(
     """
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1)")
     marked = marked.filter(~held_out(F.col("k"), folds))
-    share = marked.agg(F.avg("y")).first()[0]
-    order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    chosen = marked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("k", "y")
+    counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = counts.get(1, 0) / max(sum(counts.values()), 1)
+    # Only hashes low enough to be among the smallest take part in the ranking.
+    spread = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
+    bound = F.lit(1 << 30)
+    for y, n in counts.items():
+        bound = F.when(F.col("y") == y, F.lit(int((1 << 30) * min(1, 2 * sample / n)))).otherwise(bound)
+    order = Window.partitionBy("y").orderBy(spread, "k")
+    chosen = (
+        marked.filter(spread < bound)
+        .withColumn("n", F.row_number().over(order))
+        .filter(F.col("n") <= sample)
+        .select("k", "y")
+    )
 
     @F.arrow_udf("binary")
     def packed(column: pa.Array) -> pa.Array:
@@ -184,6 +195,7 @@ def score(model: Voters, docs: DataFrame, text: str = "text") -> Column:
         for column in columns:
             parts = [held.value.scores(features(column[i : i + _ROWS])) for i in range(0, len(column), _ROWS)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+            trim()
 
     return scored(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
 
