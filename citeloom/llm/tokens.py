@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.llm.textscan import trim
 from citeloom.session import materialize, shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,9 +39,10 @@ CHECKPOINT = 128
 #: A block is closed at so many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 19
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 3 << 18
+FIRSTS = 1 << 15
 #: Bytes of text that are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 
 class Encoder:
@@ -62,6 +64,7 @@ class Encoder:
         #: The model's sign for a space.
         self.space = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
         self.known: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
@@ -70,23 +73,42 @@ class Encoder:
         """Ids of ASCII letters after a space: one pre-token, straight to the model."""
         return array("H", [t.id for t in self.cut(self.space + word)]).tobytes()
 
-    def learn(self, pieces: set[str]) -> set[str]:
-        """Remember pieces that follow a space; returns those that begin with white space."""
+    def _first(self, piece: str) -> bytes:
+        """Ids of a text's first piece."""
+        ids = self.firsts.get(piece)
+        if ids is None:
+            ids = self.whole(piece)
+            if len(self.firsts) < FIRSTS:
+                self.firsts[piece] = ids
+        return ids
+
+    def learn(self, pieces: set[str]) -> tuple[set[str], dict[str, bytes]]:
+        """Remember pieces that follow a space.
+
+        Returns those that begin with white space, and the ids of those with a line
+        end, which hardly come again and are not remembered.
+        """
         if len(self.known) + len(pieces) > REMEMBERED:
             self.known = {}
-        known, marks, rest = self.known, self.marks, set()
+        known, marks, rest, once = self.known, self.marks, set(), {}
         for p in pieces:
             if p.isascii() and p.isalpha():
                 known[p] = self._word(p)
-            elif p[-1:] in marks and p[:-1].isascii() and p[:-1].isalpha():
+            elif p[-1:] in marks and p[:-1].isalpha():
                 # Letters and the mark after them are pre-tokens of their own.
-                known[p] = (known.get(p[:-1]) or self._word(p[:-1])) + marks[p[-1]]
+                head = known.get(p[:-1])
+                if head is None and p.isascii():
+                    head = self._word(p[:-1])
+                if head is None:
+                    rest.add(p)
+                else:
+                    known[p] = head + marks[p[-1]]
             else:
                 rest.add(p)
         unsafe = {p for p in rest if not p or p[0] < "!" or p[0].isspace()}
         alone = {p for p in rest - unsafe if p[-1] < "!" or p[-1].isspace() or "\n\n" in p}
         for p in alone:
-            known[p] = self.whole(" " + p)
+            once[p] = self.whole(" " + p)
         together = list(rest - unsafe - alone)
         if together:
             # An empty line between two pieces is one token that no piece holds.
@@ -95,9 +117,9 @@ class Encoder:
             ends = np.append(np.flatnonzero(ids == self.border), len(ids))
             blob, at = ids.tobytes(), 0
             for piece, end in zip(together, (2 * ends).tolist(), strict=True):
-                known[piece] = blob[at:end]
+                (once if "\n" in piece else known)[piece] = blob[at:end]
                 at = end + 2
-        return unsafe
+        return unsafe, once
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a column of texts, one after the other, and the number of each text's."""
@@ -107,22 +129,22 @@ class Encoder:
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds -= bounds[0]
-        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int32)
         # A text's first piece has no space before it and is an entry of its own.
         first = [pieces[i] for i in at[bounds[:-1]].tolist()]
         at[bounds[:-1]] = len(pieces) + np.arange(len(texts))
         ids = list(map(self.known.get, pieces))
         gaps = [i for i, x in enumerate(ids) if x is None]
-        unsafe = self.learn({pieces[i] for i in gaps}) if gaps else set()
+        unsafe, once = self.learn({pieces[i] for i in gaps}) if gaps else (set(), {})
         for i in gaps:
-            ids[i] = self.known.get(pieces[i], b"")
-        ids += map(self.whole, first)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        start = np.cumsum(size) - size
+            ids[i] = self.known.get(pieces[i]) or once.get(pieces[i], b"")
+        ids += map(self._first, first)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 2
+        start = np.cumsum(size, dtype=np.int32) - size
         own = size[at]
-        ends = np.cumsum(own)
-        out = np.frombuffer(b"".join(ids), np.uint16)[np.repeat(start[at] - ends + own, own) + np.arange(ends[-1])]
-        counts = np.add.reduceat(own, bounds[:-1])
+        ends = np.cumsum(own, dtype=np.int32)
+        out = np.frombuffer(b"".join(ids), np.uint16)[np.repeat(start[at] - ends + own, own) + np.arange(ends[-1], dtype=np.int32)]
+        counts = np.add.reduceat(own, bounds[:-1]).astype(np.int64)
         if unsafe:
             flags = np.fromiter((p in unsafe for p in pieces), bool, len(pieces))
             hit = np.flatnonzero(np.append(flags, np.zeros(len(texts), bool))[at])
@@ -183,6 +205,8 @@ def tokenised(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int
             yield pa.RecordBatch.from_arrays(
                 [keys, pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.binary())], schema=_IDS
             )
+            del blobs
+            trim()
         if counts.any():
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())],
