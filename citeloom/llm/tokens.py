@@ -50,14 +50,15 @@ class Encoder:
 
     Texts are cut before every space that is followed by anything but white space.
     The tokenizer's own pattern never joins text across such a place, so the ids
-    of the pieces, one after the other, are those of the text.
+    of the pieces, one after the other, are those of the text.  Texts that hold an
+    added token, which may reach over such places, are encoded as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         (self.border,) = self.tokenizer.encode("\n\n", add_special_tokens=False).ids
         self.marks = {m: self.whole(m) for m in ".,"}
         self.cut = self.tokenizer.model.tokenize
@@ -125,7 +126,11 @@ class Encoder:
         """Ids of a column of texts, one after the other, and the number of each text's."""
         if not len(texts):
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        added = np.zeros(len(texts), bool)
+        for token in self.added:
+            added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        cuttable = pc.if_else(pa.array(added), "", texts) if added.any() else texts
+        lists = pc.split_pattern(cuttable.cast(pa.large_string()), " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds -= bounds[0]
@@ -148,7 +153,9 @@ class Encoder:
         if unsafe:
             flags = np.fromiter((p in unsafe for p in pieces), bool, len(pieces))
             hit = np.flatnonzero(np.append(flags, np.zeros(len(texts), bool))[at])
-            out, counts = self._mended(texts, out, counts, np.unique(np.searchsorted(bounds, hit, "right") - 1))
+            added[np.searchsorted(bounds, hit, "right") - 1] = True
+        if added.any():
+            out, counts = self._mended(texts, out, counts, np.flatnonzero(added))
         return out, counts
 
     def _mended(self, texts, ids, counts, rows):
