@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import chat, decontam, exact, mixing, pii, pitman_yor, quality, simhash, tokens, urls
+from citeloom.llm import (
+    chat,
+    decontam,
+    divergence,
+    exact,
+    mixing,
+    pii,
+    pitman_yor,
+    quality,
+    simhash,
+    tokens,
+    urls,
+    whitening,
+)
 from citeloom.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +141,49 @@ JOIN c ON d.source IS NOT DISTINCT FROM c.source
 JOIN u ON d.source IS NOT DISTINCT FROM u.source AND d.key = u.key
 """
 
+def whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), u AS (
+  SELECT row_id, lang, source, term, count(*) AS uses
+  FROM (SELECT row_id, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(uses)::BIGINT AS uses FROM u GROUP BY lang, term HAVING count(*) >= 10
+), g AS (SELECT DISTINCT lang, source FROM d), c AS (
+  SELECT g.lang, g.source, k.term, coalesce(s.uses, 0)::HUGEINT AS uses, k.uses::HUGEINT AS lang_uses
+  FROM g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, sum(uses) AS uses FROM u GROUP BY ALL) s
+    ON s.lang = g.lang AND s.source = g.source AND s.term = k.term
+), p AS (
+  SELECT lang, source, term, uses,
+    1 + (1000000000 * (uses + 2)) // (sum(uses) OVER w + 2 * count(*) OVER w) AS p,
+    1 + (1000000000 * (lang_uses + 2)) // (sum(lang_uses) OVER w + 2 * count(*) OVER w) AS q
+  FROM c WINDOW w AS (PARTITION BY lang, source)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE uses > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": near_dedup,
     "op2_benchmark_decontamination": decontaminate,
@@ -139,10 +195,13 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": token_files,
     "op9_chat_format": chat_format,
     "op10_source_mixing": mix,
+    "op12_embedding_whitening": whiten,
+    "op13_source_divergence": divergence_audit,
 }
 
 SQL: dict[str, str] = {
     "op4_exact_dedup": EXACT_SQL,
     "op9_chat_format": CHAT_SQL,
     "op10_source_mixing": MIX_SQL,
+    "op13_source_divergence": DIVERGENCE_SQL,
 }
