@@ -40,8 +40,9 @@ LEAST_DOCS = 10
 LEVELS = (6, 12)
 #: Bits of the largest bitmap, and bits for each surviving prefix below that.
 BITMAP, BITS_EACH = 1 << 26, 32
-#: Cells of sources and terms that one block holds, about.
-CELLS = 1 << 20
+#: Cells of sources and terms that one block holds, about; with many sources more, so
+#: that a block has 64 cells and more for each pair it gives.
+CELLS = 1 << 16
 SCALE = 1_000_000_000
 TOP = 10
 
@@ -278,7 +279,8 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, cells: int = CELLS, bitmap:
         "lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("total", "kept", "lang_total")]
     )
     sources = F.count("*").over(Window.partitionBy("lang"))
-    groups = groups.withColumn("blocks", (1 + F.col("kept") * sources / cells).cast("int"))
+    held = F.greatest(F.lit(cells), 32 * sources * sources)
+    groups = groups.withColumn("blocks", (1 + F.col("kept") * sources / held).cast("int"))
     groups = groups.withColumn("absent", F.when(F.col("kept") > 0, _share(zero, F.col("total"), F.col("kept"))))
     groups = materialize(groups, "divergence-groups")
 

@@ -18,6 +18,7 @@ from citeloom.llm import (
     simhash,
     tokens,
     urls,
+    webpage,
     whitening,
 )
 from citeloom.session import materialize
@@ -141,6 +142,10 @@ JOIN c ON d.source IS NOT DISTINCT FROM c.source
 JOIN u ON d.source IS NOT DISTINCT FROM u.source AND d.key = u.key
 """
 
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webpage.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
@@ -195,6 +200,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": token_files,
     "op9_chat_format": chat_format,
     "op10_source_mixing": mix,
+    "op11_html_extraction": main_text,
     "op12_embedding_whitening": whiten,
     "op13_source_divergence": divergence_audit,
 }
