@@ -15,10 +15,12 @@ the order in which shuffled rows arrive, and equal documents tie exactly.
 
 from __future__ import annotations
 
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import tokenize
+from citeloom.operators import segmentation
 from citeloom.operators.evidence import is_applicable
 from citeloom.operators.joins import first_rows, join_small, row_bound, unnest
 from citeloom.session import materialize
@@ -32,13 +34,20 @@ IDF_UNIT = 10_000_000_000
 _TOTAL = ""
 
 
-def with_tokens(chunks: DataFrame) -> DataFrame:
+def with_tokens(chunks: DataFrame, dictionary: Broadcast | None = None) -> DataFrame:
     """Chunks with their token columns: the index a deployment writes per ingest.
 
     Everything below uses ``tokens`` and ``dl`` where a table brings them and
-    computes them from the text otherwise.
+    computes them from the text otherwise.  With a dictionary (``segmentation``) the
+    tokens of ideographs are its words instead of characters.
     """
-    return chunks.withColumn("tokens", tokenize("text")).withColumn("dl", F.size("tokens"))
+    tokens = segmentation.tokenize("text", dictionary) if dictionary else tokenize("text")
+    return chunks.withColumn("tokens", tokens).withColumn("dl", F.size("tokens"))
+
+
+def with_query_tokens(queries: DataFrame, dictionary: Broadcast) -> DataFrame:
+    """Questions with the tokens that go with ``with_tokens(chunks, dictionary)``."""
+    return queries.withColumn("query_tokens", segmentation.tokenize("query_text", dictionary))
 
 
 def tokenized(chunks: DataFrame, *keep: str) -> DataFrame:
@@ -78,7 +87,8 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
-    return unnest(queries, tokenize("query_text"), "token", "query_id", "course_id")
+    tokens = F.col("query_tokens") if "query_tokens" in queries.columns else tokenize("query_text")
+    return unnest(queries, tokens, "token", "query_id", "course_id")
 
 
 def course_hits(chunks: DataFrame, tokens: DataFrame, rows: int | None, *keep: str) -> DataFrame:
