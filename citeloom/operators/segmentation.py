@@ -25,6 +25,8 @@ from citeloom.operators.joins import row_bound
 
 #: Fixed-point scale of a logarithm.
 UNIT = 1_000_000_000
+#: Places that are searched at once for a node's children.
+WINDOW = 512
 #: Words of a dictionary at most; one is a language's, it does not grow with the data.
 WORDS = 2_000_000
 BYTES = 128 << 20
@@ -68,14 +70,7 @@ class Trie:
                 if not children:
                     continue
                 codes = np.array([c for c, _, _ in children])
-                while self.check[free] >= 0:
-                    free = self._room(free + 1)
-                start = max(1, free - int(codes[0]))
-                while True:
-                    self._room(start + int(codes[-1]))
-                    if (self.check[start + codes] < 0).all():
-                        break
-                    start += 1
+                start, free = self._fit(codes, free)
                 self.base[node] = start
                 self.check[start + codes] = node
                 following += [(start + c, a, b) for c, a, b in children]
@@ -84,6 +79,22 @@ class Trie:
         self._room(used)
         self.base, self.check, self.value = self.base[:used], self.check[:used], self.value[:used]
 
+    def _fit(self, codes: np.ndarray, free: int) -> tuple[int, int]:
+        """The first base from ``free`` on whose places for the codes are all free, and
+        where the next search begins: behind a window that is nearly full."""
+        at = free
+        while True:
+            self._room(at + WINDOW + int(codes[-1]))
+            places = np.flatnonzero(self.check[at : at + WINDOW] < 0) + at
+            starts = places - codes[0]
+            starts = starts[starts > 0]
+            fits = np.flatnonzero((self.check[starts[:, None] + codes] < 0).all(axis=1))
+            if len(fits):
+                return int(starts[fits[0]]), free
+            if at == free and len(places) < WINDOW // 20:
+                free += WINDOW
+            at += WINDOW
+
     def _room(self, at: int) -> int:
         if at >= len(self.check):
             more = at + len(self.check) // 2 - len(self.check) + 16

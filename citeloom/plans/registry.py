@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import lru_cache
 
 from citeloom.plans import Registry
-from citeloom.plans import documents, evidence, live, ranking, records, stores, tasks
+from citeloom.plans import documents, evidence, indexes, live, ranking, records, stores, tasks
 
-MODULES = (ranking, evidence, records, documents, live, tasks, stores)
+MODULES = (ranking, evidence, records, documents, live, tasks, stores, indexes)
 
 
 @lru_cache(maxsize=1)
