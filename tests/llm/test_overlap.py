@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 import pytest
 
@@ -30,7 +33,7 @@ def edited():
     rng = random.Random(7)
     texts = ["", None, " \t", "word", "WORD", "a b c", "a  b\tc", "long text " * 3000]
     for _ in range(12):
-        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([12, 60, 150]))]
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([12, 60, 150, 2049]))]
         for edits in (0, 1, 1, 2, 3, 4):
             new = list(words)
             for at in rng.sample(range(len(new)), edits):
@@ -55,3 +58,16 @@ def test_pipeline_keeps_one_of_edited_copies(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], COLUMNS)
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert kept == set(slow_labels(texts))
+
+
+def test_parities_never_refuse_a_linked_pair():
+    rng = np.random.default_rng(8)
+    for n in (1, 10, 1900, 2040, 2048, 2049, 2200, 4090, 4100, 9000):
+        for _ in range(20):
+            both = int(n * rng.uniform(0.8, 1))
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate([a[:both], rng.integers(0, 1 << 63, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            shared = len(np.intersect1d(a, b))
+            ok = overlap._fitting(*(pa.array([v]) for v in (len(a), len(b), overlap.parities(a), overlap.parities(b))))[0].as_py()
+            assert ok or 5 * shared < 4 * (len(a) + len(b) - shared)
