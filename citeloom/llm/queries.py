@@ -60,7 +60,7 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judged(_table(spark, sf_dir, "pages"), urls.trained(spark))
+    return urls.judged(_table(spark, sf_dir, "pages"), urls.trained(urls.labelled(spark)))
 
 
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
