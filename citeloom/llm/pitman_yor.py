@@ -1,28 +1,35 @@
 """Language-model scores from a hierarchical Pitman-Yor process.
 
-Tokens are words and one end per text.  A token's context is the ending of the word
-before it: restaurants for the last two bytes share the parent for the last byte,
-and those share the root, whose base is uniform over the known words and one
-unknown.  At most 65,536 + 256 + 1 restaurants exist, so what couples the words, the
-customers and tables of each restaurant, can be broadcast; everything else about a
-word lies in one partition.  Words are dealt to partitions by hash.
-
-Seating is sampled by Gibbs.  A sweep reseats, partition by partition, the customers
-of every dish in the restaurants for two bytes, then for one, then in the root (the
-tables of a child are the customers of its parent).  A dish is reseated given the
-tables of all other dishes as the sweep before left them.  The wait for the next new
-table is drawn at once, so the work is in proportion to tables, not customers.
-Probabilities are averaged over the sampled seatings.
-
-Texts are scored where the words are: each block of texts sends its words, contexts
-and text numbers to the words' partitions and gets sums per text back.
+Tokens are words and one end per text.  A token's context is the whole word before it
+(or the start of the text).  Each context has a restaurant; all share the root, whose
+base is uniform over the known words and one unknown.  There are as many restaurants as
+distinct words, so they grow with the corpus.
+
+State is partitioned by context: a part holds restaurants with all their dishes, the
+customers and tables of each.  A context with more than its share of all tokens is
+spread over several parts by the next word; only the totals of such restaurants, at most
+one for each part there is, are added up in the driver.  The dishes of the root are
+partitioned by word.  Parts and root exchange table counts in each sweep: parts send the
+tables of each word upward, where they are the root's customers, and get the root's
+customers and tables of their words back.  The parts' dishes are written once as a table
+bucketed by part, so a sweep shuffles table counts only.
+
+Seating is sampled by Gibbs: a sweep reseats all customers of every dish in the contexts,
+then in the root.  A dish is reseated given the tables of all other dishes as the sweep
+before left them.  The wait for the next new table is drawn at once, so the work is in
+proportion to tables, not customers.  Probabilities are averaged over the sampled seatings.
+
+Texts are scored where the contexts are: each block of texts sends its words and text
+numbers to the parts and gets sums per text back.  Words that only occur in texts that
+are not learnt from are dishes without customers.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,208 +37,279 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.quality import held_out
-from citeloom.llm.textscan import trim, words
-from citeloom.session import materialize, release
+from citeloom.llm.textscan import column_bytes, mix, trim, words
+from citeloom.session import materialize, release, shared_path
 
 #: Sweeps before the first sample, and samples that are averaged.
 BURN_IN, SAMPLES = 2, 3
-#: Concentration of the restaurants for two bytes, one byte, and the root.
-STRENGTH = (2.0, 2.0, 2.0)
-#: Tokens of a partition; a partition with more is scored by several tasks.
+#: Concentration of the restaurants of contexts and of the root.
+STRENGTH = (2.0, 2.0)
+#: Tokens of a part; a part with more is scored by several tasks.
 PART_TOKENS = 2 << 20
-#: Texts of a block.
-BLOCK_TEXTS = 2048
+#: Texts and bytes of a block; a longer text is a block of its own.
+BLOCK_TEXTS, BLOCK_BYTES = 4096, 8 << 20
+#: Dishes that are merged at once.
+MERGED = 4 << 20
 
-_END = np.uint64(0x5EED_0F_E0D)
-_LEVELS = (1 << 16, 1 << 8, 1)
+_END, _START = np.uint64(0x5EED_0F_E0D), np.uint64(0x5EED_0F_57A7)
 
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, context and text number of every token; ends come last."""
-    hashes, contexts, docs = [], [], []
-    ending = np.zeros(len(column), np.uint16)  # of each text's last word so far
-    for w in words(column):
-        if not len(w.start):
-            continue
-        last = w.data[w.end - 1].astype(np.uint16)
-        before = np.where(w.end - w.start > 1, w.data[w.end - 2], 0).astype(np.uint16)
-        own = last << np.uint16(8) | before
-        context = np.empty_like(own)
-        context[1:] = own[:-1]
-        new = np.ones(len(own), bool)
-        new[1:] = w.doc[1:] != w.doc[:-1]
-        context[new] = ending[w.doc[new]]
-        final = np.ones(len(own), bool)
-        final[:-1] = new[1:]
-        ending[w.doc[final]] = own[final]
-        hashes.append(w.hashes())
-        contexts.append(context)
-        docs.append(w.doc.astype(np.uint16))
-    n = len(column)
-    hashes.append(np.full(n, _END))
-    contexts.append(ending)
-    docs.append(np.arange(n, dtype=np.uint16))
-    return np.concatenate(hashes), np.concatenate(contexts), np.concatenate(docs)
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers, most of them small, as a short cell."""
+    top = int(values.max()) if len(values) else 0
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(values.astype(kind).tobytes(), 1)
+
+
+def _unpack(cell: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(cell[1:]), f"u{cell[0]}").astype(np.int64)
+
+
+def _hashes(cell: bytes) -> np.ndarray:
+    return np.frombuffer(cell, np.uint64)
+
+
+def _range(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges of hashes each lies in."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+@dataclass
+class Spread:
+    """Number of parts, and over how many of them a frequent context is spread."""
+
+    parts: int = 1
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    over: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def part(self, vocabulary: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The part of each pair of places in the vocabulary."""
+        over = np.ones(len(vocabulary), np.int64)
+        at, there = _find(self.hot, vocabulary)
+        over[there] = self.over[at[there]]
+        turn = (mix(vocabulary) >> np.uint64(8)).astype(np.int64)
+        return (_range(vocabulary, self.parts)[before] + turn[word] % over[before]) % self.parts
 
 
 @dataclass
-class Counted:
-    """Distinct words, sorted; for each its number of contexts; contexts; the number
-    of tokens of each pair; the text numbers of the tokens."""
+class Dishes:
+    """Contexts (sorted), the number of dishes of each, the words of all (sorted), each
+    dish's word and customers; and for texts to score, tokens of each dish and their texts."""
 
+    before: np.ndarray
+    runs: np.ndarray
+    vocabulary: np.ndarray
     word: np.ndarray
-    pairs: np.ndarray
-    context: np.ndarray
     count: np.ndarray
-    doc: np.ndarray
-
-
-def _counted(hashes: np.ndarray, contexts: np.ndarray, docs: np.ndarray) -> Counted:
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = hashes[1:] != hashes[:-1]
-    rank = np.cumsum(new) - 1
-    key = (
-        rank.astype(np.uint64) << np.uint64(32)
-        | contexts[order].astype(np.uint64) << np.uint64(16)
-        | docs[order].astype(np.uint64)
-    )
-    key.sort()
-    pair = key >> np.uint64(16)
-    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-    return Counted(
-        hashes[new],
-        np.bincount((pair[first] >> np.uint64(16)).astype(np.int64), minlength=int(new.sum())),
-        (pair[first] & np.uint64(0xFFFF)).astype(np.uint16),
-        np.diff(np.append(first, len(key))),
-        (key & np.uint64(0xFFFF)).astype(np.uint16),
-    )
+    tokens: np.ndarray | None = None
+    doc: np.ndarray | None = None
+
+    def cells(self) -> list[bytes]:
+        return [self.before.tobytes(), _pack(self.runs), self.vocabulary.tobytes(), _pack(self.word), _pack(self.count)]
+
+    @staticmethod
+    def read(cells: list[bytes]) -> "Dishes":
+        return Dishes(_hashes(cells[0]), _unpack(cells[1]), _hashes(cells[2]), _unpack(cells[3]), _unpack(cells[4]))
+
+    @property
+    def house(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.before)), self.runs)
+
+    @property
+    def key(self) -> np.ndarray:
+        return self.house * max(len(self.vocabulary), 1) + self.word
+
+
+def _find(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted array, and whether the values are there."""
+    if not len(sorted_):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return at, sorted_[at] == values
 
 
-def _split(c: Counted, bits: int) -> Iterator[tuple[int, Counted]]:
-    """By the first bits of the word hash."""
-    part = (c.word >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(c.word), np.int64)
+def _sequence(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and text number of every token in order, and where each text begins."""
+    hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for w in words(column):
+        hashes.append(w.hashes())
+        docs.append(w.doc)
+    own, doc = np.concatenate(hashes), np.concatenate(docs)
+    lengths = np.bincount(doc, minlength=len(column)) + 1
+    sequence = np.full(len(own) + len(column), _END)
+    sequence[np.arange(len(own)) + doc] = own
+    return sequence, np.repeat(np.arange(len(column)), lengths), np.cumsum(lengths) - lengths
+
+
+def dishes(column: pa.Array, train: np.ndarray, spread: Spread) -> Iterator[tuple[int, Dishes]]:
+    """The dishes of some texts by part; customers are the tokens of training texts."""
+    sequence, doc, begins = _sequence(column)
+    if not len(sequence):
+        return
+    vocabulary, place = np.unique(np.append(sequence, _START), return_inverse=True)
+    word = place[:-1]
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[begins] = place[-1]
+    order = np.argsort(before * len(vocabulary) + word, kind="stable")
+    part = spread.part(vocabulary, before[order], word[order])
+    if spread.parts > 1:
+        again = np.argsort(part, kind="stable")
+        order, part = order[again], part[again]
+    before, word, doc = before[order], word[order], doc[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (before[1:] != before[:-1]) | (word[1:] != word[:-1])
+    first = np.flatnonzero(new)
+    count = np.add.reduceat(train[doc].astype(np.int64), first)
+    tokens = np.diff(np.append(first, len(order)))
+    before, word, part = before[first], word[first], part[first]
+    ends = np.append(first, len(order))
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-    pair_at = np.concatenate([[0], np.cumsum(c.pairs)])
-    token_at = np.concatenate([[0], np.cumsum(c.count)])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        i, j = pair_at[a], pair_at[b]
-        yield int(part[a]), Counted(
-            c.word[a:b], c.pairs[a:b], c.context[i:j], c.count[i:j], c.doc[token_at[i] : token_at[j]]
+        starts = a + np.flatnonzero(np.concatenate([[True], before[a + 1 : b] != before[a : b - 1]]))
+        own, at = np.unique(word[a:b], return_inverse=True)
+        yield int(part[a]), Dishes(
+            vocabulary[before[starts]], np.diff(np.append(starts, b)), vocabulary[own], at,
+            count[a:b], tokens[a:b], doc[ends[a] : ends[b]],
         )
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Counts, most of them one, as a short cell."""
-    return zlib.compress(values.astype(np.uint32).tobytes(), 1)
-
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in blocks of bounded bytes."""
+    _, offsets = column_bytes(batch.column("text"))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1
+        to = min(max(to, at + 1), at + BLOCK_TEXTS, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
 
-def _unpack(cell: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(cell), np.uint32)
 
+_FREQUENT = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
-_SENT = "part int, block long, word binary, pairs binary, context binary, n binary, doc binary, keys array<long>"
-_SENT_SCHEMA = pa.schema(
-    [("part", pa.int32()), ("block", pa.int64()), ("word", pa.binary()), ("pairs", pa.binary()),
-     ("context", pa.binary()), ("n", pa.binary()), ("doc", pa.binary()), ("keys", pa.list_(pa.int64()))]
-)
 
+def _frequent(parts: int):
+    """Words with at least their share of a block's tokens, and its starts.
 
-def _part_of_end(bits: int) -> int:
-    return int(_END) >> (64 - bits) if bits else 0
-
+    A context with a share of all tokens has it in one block at least.
+    """
 
-def _sent(bits: int, with_texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_TEXTS):
-                some = batch.slice(at, BLOCK_TEXTS)
-                counted = _counted(*_tokens(some.column("text")))
-                rows = []
-                for part, c in _split(counted, bits):
-                    # The ids travel once, with the ends, which every text has.
-                    keys = some.column("doc_id").to_pylist() if with_texts and part == _part_of_end(bits) else None
-                    rows.append(
-                        {
-                            "part": part,
-                            "block": block,
-                            "word": c.word.tobytes(),
-                            "pairs": _pack(c.pairs),
-                            "context": c.context.tobytes(),
-                            "n": _pack(c.count),
-                            "doc": c.doc.tobytes() if with_texts else None,
-                            "keys": keys,
-                        }
-                    )
-                yield pa.RecordBatch.from_pylist(rows, schema=_SENT_SCHEMA)
-                block += 1
-                del counted, rows
-                trim()
+            for some in _blocks(batch):
+                sequence, _, begins = _sequence(some.column("text"))
+                word, n = np.unique(sequence[sequence != _END], return_counts=True)
+                keep = n * parts >= len(sequence)
+                word, n = np.append(word[keep], _START), np.append(n[keep], len(begins))
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], schema=_FREQUENT)
+            trim()
 
     return run
 
 
-_STATE = "part int, word binary, pairs binary, context binary, n binary, tables array<binary>"
-_STATE_SCHEMA = pa.schema(
-    [("part", pa.int32()), ("word", pa.binary()), ("pairs", pa.binary()), ("context", pa.binary()),
-     ("n", pa.binary()), ("tables", pa.list_(pa.binary()))]
+def _spread(texts: DataFrame, part_tokens: int) -> Spread:
+    size = texts.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0
+    parts = max(1, -(-size // (6 * part_tokens)))
+    if parts == 1:
+        return Spread()
+    counted = texts.mapInArrow(_frequent(parts), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # No more rows than there are parts.
+    hot = counted.filter(F.col("n") > size / 6 / parts).toArrow()
+    word = hot.column("word").to_numpy().astype(np.int64).view(np.uint64)
+    over = np.minimum(-(-hot.column("n").to_numpy() * parts * 6 // size) + 1, parts).astype(np.int64)
+    order = np.argsort(word)
+    return Spread(parts, word[order], over[order])
+
+
+#: A cell of state or a message: kind, receiver (part or range of words), sender.
+_CELL = "kind int, place int, tag long, data array<binary>, sums array<double>"
+_CELL_SCHEMA = pa.schema(
+    [("kind", pa.int32()), ("place", pa.int32()), ("tag", pa.int64()), ("data", pa.list_(pa.binary())),
+     ("sums", pa.list_(pa.float64()))]
 )
+_DISHES, _TABLES, _UP, _ROOT, _DOWN, _TOTAL, _HOT = range(7)
 
 
-class State:
-    """The words of a partition: restaurants, customers and tables on three levels."""
+def _cells(rows: list[tuple]) -> pa.Table:
+    names = _CELL_SCHEMA.names
+    return pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=_CELL_SCHEMA)
 
-    def __init__(self, word: np.ndarray, pairs: np.ndarray, context: np.ndarray, count: np.ndarray):
-        self.word, self.pairs, self.context, self.count = word, pairs, context, count
-        owner = np.repeat(np.arange(len(word)), pairs)
-        self.key2 = owner.astype(np.int64) << 16 | context
-        key1 = self.key2 >> 8
-        first = np.flatnonzero(np.concatenate([[True], key1[1:] != key1[:-1]])) if len(key1) else np.zeros(0, np.int64)
-        self.key1 = key1[first]
-        self.up2 = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key1))))
-        self.up1 = self.key1 >> 8
-        self.house = (context.astype(np.int64), self.key1 & 0xFF, np.zeros(len(word), np.int64))
 
-    @staticmethod
-    def read(row: dict) -> "State":
-        return State(
-            np.frombuffer(row["word"], np.uint64), _unpack(row["pairs"]),
-            np.frombuffer(row["context"], np.uint16), _unpack(row["n"]).astype(np.int64),
-        )
+def _cells_sent(spread: Spread):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _blocks(batch):
+                train = some.column("train").to_numpy(zero_copy_only=False)
+                rows = [(_DISHES, p, 0, d.cells(), None) for p, d in dishes(some.column("text"), train, spread)]
+                yield from _cells(rows).to_batches()
+                del rows
+                trim()
+
+    return run
 
-    def customers(self, tables: list[np.ndarray]) -> list[np.ndarray]:
-        one = np.bincount(self.up2, tables[0], len(self.key1)).astype(np.int64)
-        root = np.bincount(self.up1, tables[1], len(self.word)).astype(np.int64)
-        return [self.count, one, root]
 
-    def first_tables(self) -> list[np.ndarray]:
-        return [np.ones(n, np.uint32) for n in (len(self.key2), len(self.key1), len(self.word))]
+def merged(some: list[Dishes]) -> Dishes:
+    vocabulary = np.unique(np.concatenate([d.vocabulary for d in some]))
+    contexts = np.unique(np.concatenate([d.before for d in some]))
+    width = max(len(vocabulary), 1)
+    key = np.concatenate(
+        [
+            np.searchsorted(contexts, d.before)[d.house] * width + np.searchsorted(vocabulary, d.vocabulary)[d.word]
+            for d in some
+        ]
+    )
+    key, inverse = np.unique(key, return_inverse=True)
+    count = np.bincount(inverse, np.concatenate([d.count for d in some]), len(key)).astype(np.int64)
+    return Dishes(contexts, np.bincount(key // width, minlength=len(contexts)), vocabulary, key % width, count)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All dishes of one part, merged as they come."""
+    held, waiting, size, place = None, [], 0, 0
+    for batch in batches:
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+            place = row["place"]
+            waiting.append(Dishes.read(row["data"]))
+            size += len(waiting[-1].word)
+            if size > max(MERGED, 0 if held is None else len(held.word)):
+                held = merged([held, *waiting] if held else waiting)
+                waiting, size = [], 0
+    held = merged([held, *waiting] if held else waiting)
+    yield from _cells([(_DISHES, place, 0, held.cells(), None)]).to_batches()
+    trim()
 
 
 @dataclass
 class Totals:
-    """Customers and tables of every restaurant by level, and the parameters."""
+    """The root's customers and tables, restaurants of frequent contexts, parameters."""
 
-    customers: list[np.ndarray]
-    tables: list[np.ndarray]
-    discount: tuple[float, float, float]
+    customers: float
+    tables: float
+    discount: tuple[float, float]
     base: float
-
-    def predict(self, level: int, house, customers, tables, parent):
-        """Probability of dishes with these customers and tables, given the parent's."""
-        d, s = self.discount[level], STRENGTH[level]
-        rest = (s + d * self.tables[level][house]) * parent
-        return (customers - d * tables + rest) / (s + self.customers[level][house])
-
-    def down(self, state: State, customers, tables) -> tuple[np.ndarray, np.ndarray]:
-        """The root's and the one-byte restaurants' probabilities of their dishes."""
-        root = self.predict(2, state.house[2], customers[2], tables[2], self.base)
-        one = self.predict(1, state.house[1], customers[1], tables[1], root[state.up1])
-        return root, one
+    hot: np.ndarray
+    hot_tables: np.ndarray
+    hot_customers: np.ndarray
+
+    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        d, s = self.discount[1], STRENGTH[1]
+        return (customers - d * tables + (s + d * self.tables) * self.base) / (s + self.customers)
+
+    def houses(self, own: Dishes, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of the contexts, whole ones of those spread over parts."""
+        house, n = own.house, len(own.before)
+        sums = np.bincount(house, own.count, n), np.bincount(house, tables, n)
+        at, there = _find(self.hot, own.before)
+        for total, whole in zip(sums, (self.hot_customers, self.hot_tables), strict=True):
+            total[there] = whole[at[there]]
+        return sums
+
+    def dishes(self, own: Dishes, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Probability of every dish in its context; ``parent`` is the root's, by word."""
+        customers, total = self.houses(own, tables)
+        d, s, house = self.discount[0], STRENGTH[0], own.house
+        rest = (s + d * total[house]) * parent[own.word]
+        return (own.count - d * tables + rest) / (s + customers[house])
 
 
 def seat(rng: np.random.Generator, customers: np.ndarray, others: np.ndarray, weight: np.ndarray, d: float) -> np.ndarray:
@@ -253,205 +331,232 @@ def seat(rng: np.random.Generator, customers: np.ndarray, others: np.ndarray, we
         more = seated[open_] <= customers[open_]
         tables[open_[more]] += 1
         open_ = open_[more & (seated[open_] < customers[open_])]
-    return tables
-
-
-def sweep(rng: np.random.Generator, state: State, totals: Totals, tables: list[np.ndarray]) -> list[np.ndarray]:
-    """Reseat all dishes once, from the leaves to the root."""
-    now = [t.astype(np.int64) for t in tables]
-    for level in range(3):
-        customers = state.customers(now)
-        root, one = totals.down(state, customers, now)
-        parent = (one[state.up2] if len(one) else root[:0], root[state.up1], np.full(len(state.word), totals.base))[level]
-        d = totals.discount[level]
-        # Restaurants that the sweep before has not seen yet count their own tables.
-        others = np.maximum(totals.tables[level][state.house[level]] - tables[level], 0)
-        now[level] = seat(rng, customers[level], (STRENGTH[level] + d * others) * parent, d * parent, d)
-    return [t.astype(np.uint32) for t in now]
-
-
-def _merged(table: pa.Table) -> pa.Table:
-    """All counts of one partition."""
-    rows = table.to_pylist()
-    word = np.concatenate([np.frombuffer(r["word"], np.uint64) for r in rows])
-    pairs = np.concatenate([_unpack(r["pairs"]) for r in rows])
-    context = np.concatenate([np.frombuffer(r["context"], np.uint16) for r in rows])
-    count = np.concatenate([_unpack(r["n"]) for r in rows])
-    distinct, rank = np.unique(word, return_inverse=True)
-    key = np.repeat(rank.astype(np.uint64), pairs) << np.uint64(16) | context.astype(np.uint64)
-    key, inverse = np.unique(key, return_inverse=True)
-    state = State(
-        distinct,
-        np.bincount((key >> np.uint64(16)).astype(np.int64), minlength=len(distinct)),
-        (key & np.uint64(0xFFFF)).astype(np.uint16),
-        np.bincount(inverse, count, len(key)).astype(np.int64),
-    )
-    return pa.Table.from_pylist([_stored(rows[0]["part"], state, [state.first_tables()])], schema=_STATE_SCHEMA)
+    return np.minimum(tables, customers)
+
 
+def sweep(rng: np.random.Generator, own: Dishes, totals: Totals, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Reseat the dishes of all contexts of a part once."""
+    d, p = totals.discount[0], parent[own.word]
+    others = np.maximum(totals.houses(own, tables)[1][own.house] - tables, 0)
+    return seat(rng, own.count, (STRENGTH[0] + d * others) * p, d * p, d)
 
-def _stored(part: int, state: State, tables: list[list[np.ndarray]]) -> dict:
-    return {
-        "part": part,
-        "word": state.word.tobytes(),
-        "pairs": _pack(state.pairs),
-        "context": state.context.tobytes(),
-        "n": _pack(state.count),
-        "tables": [_pack(t) for sample in tables for t in sample],
-    }
 
+def sweep_root(rng: np.random.Generator, totals: Totals, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    d, p = totals.discount[1], np.full(len(customers), totals.base)
+    others = np.maximum(totals.tables - tables, 0)
+    return seat(rng, customers, (STRENGTH[1] + d * others) * p, d * p, d)
 
-def _samples(row: dict) -> list[list[np.ndarray]]:
-    arrays = [_unpack(t) for t in row["tables"]]
-    return [arrays[i : i + 3] for i in range(0, len(arrays), 3)]
+
+def _upward(place: int, own: Dishes, tables: np.ndarray, ranges: int, spread: Spread) -> list[tuple]:
+    """The tables of a part's words for the root, its own tables, and totals."""
+    n = len(own.vocabulary)
+    sent, count = np.bincount(own.word, tables, n).astype(np.int64), np.bincount(own.word, own.count, n).astype(np.int64)
+    rows = [(_TABLES, place, 0, [_pack(tables)], None)]
+    to = _range(own.vocabulary, ranges)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [n]])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        rows.append((_UP, int(to[a]), place, [own.vocabulary[a:b].tobytes(), _pack(sent[a:b]), _pack(count[a:b])], None))
+    ones = [float((own.count == 1).sum()), float((own.count == 2).sum())]
+    rows.append((_TOTAL, place, 0, None, [*ones, float(own.count.sum())]))
+    customers, total = np.bincount(own.house, own.count, len(own.before)), np.bincount(own.house, tables, len(own.before))
+    for i in np.flatnonzero(_find(spread.hot, own.before)[1]):
+        rows.append((_HOT, place, int(own.before[i : i + 1].view(np.int64)[0]), None, [float(total[i]), float(customers[i])]))
+    return rows
 
 
-def _swept(totals: Totals, number: int, keep: bool):
+def _first(spread: Spread, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                state, samples = State.read(row), _samples(row)
-                new = sweep(np.random.default_rng((number, row["part"])), state, totals, samples[-1])
-                kept = [*samples, new] if keep else [*samples[:-1], new]
-                yield pa.RecordBatch.from_pylist([_stored(row["part"], state, kept)], schema=_STATE_SCHEMA)
-                del state, samples, new, kept
-                trim()
+                own = Dishes.read(row["data"])
+                yield from _cells(_upward(row["place"], own, np.minimum(own.count, 1), ranges, spread)).to_batches()
 
     return run
 
 
-_TOTAL_SCHEMA = pa.schema([("kind", pa.int32()), ("house", pa.int64()), ("n", pa.int64())])
+def _root_values(rows: list[dict]) -> np.ndarray:
+    """Customers, tables and tokens of a part's words, from all ranges, in their order."""
+    cells = [r["data"] for r in sorted((r for r in rows if r["kind"] == _DOWN), key=lambda r: r["tag"])]
+    return np.array([np.concatenate([_unpack(c[i]) for c in cells]) for i in range(3)])
 
 
-def _totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Customers (0 to 2) and tables (3 to 5) by level, ones and twos of the counts
-    (6 to 8: dishes with one and two customers), words (9)."""
-    sums = [np.zeros(n, np.int64) for n in (*_LEVELS, *_LEVELS, 2, 2, 2, 1)]
-    for batch in batches:
-        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-            state, tables = State.read(row), _samples(row)[-1]
-            for level, customers in enumerate(state.customers(tables)):
-                size = _LEVELS[level]
-                sums[level] += np.bincount(state.house[level], customers, size).astype(np.int64)
-                sums[3 + level] += np.bincount(state.house[level], tables[level], size).astype(np.int64)
-                sums[6 + level] += [int((customers == 1).sum()), int((customers == 2).sum())]
-            sums[9] += len(state.word)
-    for kind, values in enumerate(sums):
-        used = np.flatnonzero(values)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(used), kind, np.int32)), pa.array(used), pa.array(values[used])], schema=_TOTAL_SCHEMA
-        )
+def _swept(totals: Totals, number: int, spread: Spread, ranges: int):
+    def run(written: pa.Table, sent: pa.Table) -> pa.Table:
+        own, rows = Dishes.read(written.column("data")[0].as_py()), sent.to_pylist()
+        place = written.column("place")[0].as_py()
+        tables = _unpack(next(r["data"] for r in rows if r["kind"] == _TABLES)[0])
+        values = _root_values(rows)
+        rng = np.random.default_rng((number, 0, place))
+        new = sweep(rng, own, totals, tables, totals.root(values[0], values[1]))
+        out = _cells(_upward(place, own, new, ranges, spread))
+        trim()
+        return out
 
+    return run
 
-def _totals(state: DataFrame, discount: tuple | None = None) -> tuple[Totals, int, int]:
-    """Totals, tokens and words; discounts are estimated from the dishes with one
-    and two customers unless given.  At most 131,000 rows come to the driver."""
-    rows = state.mapInArrow(_totalled, "kind int, house long, n long").groupBy("kind", "house").agg(F.sum("n").alias("n"))
-    sums = [np.zeros(n, np.int64) for n in (*_LEVELS, *_LEVELS, 2, 2, 2, 1)]
-    for r in rows.toArrow().to_pylist():
-        sums[r["kind"]][r["house"]] = r["n"]
-    if discount is None:
-        discount = tuple(
-            float(np.clip(one / (one + 2 * two), 0.1, 0.9)) if one + two else 0.5 for one, two in sums[6:9]
+
+def _rooted(totals: Totals | None, number: int):
+    """Reseat one range of the root's dishes and answer the parts."""
+
+    def run(sent: pa.Table, kept: pa.Table) -> pa.Table:
+        rows = sorted(sent.to_pylist(), key=lambda r: r["tag"])
+        place = rows[0]["place"]
+        word, inverse = np.unique(np.concatenate([_hashes(r["data"][0]) for r in rows]), return_inverse=True)
+        customers, count = (
+            np.bincount(inverse, np.concatenate([_unpack(r["data"][i]) for r in rows]), len(word)).astype(np.int64)
+            for i in (1, 2)
         )
-    known = int(sums[9][0])
-    return Totals(sums[0:3], sums[3:6], discount, 1 / (known + 1)), int(sums[0].sum()), known
+        if totals is None:
+            tables = np.minimum(customers, 1)
+        else:
+            before = _unpack(kept.column("data")[0].as_py()[0])
+            tables = sweep_root(np.random.default_rng((number, 1, place)), totals, customers, before)
+        sums = [customers.sum(), tables.sum(), (count > 0).sum(), (customers == 1).sum(), (customers == 2).sum()]
+        out = [(_ROOT, place, 0, [_pack(tables)], [float(v) for v in sums])]
+        at = 0
+        for r in rows:
+            own = inverse[at : at + len(r["data"][0]) // 8]
+            at += len(own)
+            out.append((_DOWN, r["tag"], place, [_pack(v[own]) for v in (customers, tables, count)], None))
+        return _cells(out)
+
+    return run
+
+
+def _sums(cells: DataFrame, kind: int) -> list[float]:
+    each = cells.filter(F.col("kind") == kind).select(F.posexplode("sums").alias("i", "v"))
+    return [r[1] for r in sorted(each.groupBy("i").agg(F.sum("v")).collect())]
+
+
+def _whole(up: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Totals of the contexts that are spread over parts: at most one a part."""
+    hot = up.filter(F.col("kind") == _HOT).groupBy("tag")
+    rows = hot.agg(F.sum(F.col("sums")[0]).alias("t"), F.sum(F.col("sums")[1]).alias("c")).toArrow()
+    word = rows.column("tag").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(word)
+    return word[order], rows.column("t").to_numpy()[order], rows.column("c").to_numpy()[order]
+
+
+def _discount(one: float, two: float) -> float:
+    return float(np.clip(one / (one + 2 * two), 0.1, 0.9)) if one + two else 0.5
 
 
 @dataclass
 class Model:
-    state: DataFrame
-    totals: list[Totals]
+    """The parts' dishes, for each sample tables and root values, and totals."""
+
+    written: DataFrame
+    samples: list[tuple[DataFrame, DataFrame, Totals]]
     tokens: int
     words: int
-    bits: int
+    spread: Spread
+
+
+def _bucketed(cells: DataFrame, parts: int) -> DataFrame:
+    """Write cells once, bucketed by receiver, so that cogroups need not shuffle them."""
+    spark, name = cells.sparkSession, f"lm_{uuid.uuid4().hex}"
+    writer = cells.write.format("parquet").option("path", shared_path(spark, "lm-dishes")).option("compression", "zstd")
+    writer.bucketBy(min(parts, 10_000), "place").saveAsTable(name)
+    return spark.table(name)
 
 
 def fit(texts: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, part_tokens: int = PART_TOKENS) -> Model:
-    """Sample seatings from ``texts`` (columns doc_id, text)."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(1, size / 6 / part_tokens)))))
-    sent = texts.mapInArrow(_sent(bits, False), _SENT)
-    state = sent.drop("keys", "doc", "block").groupBy("part").applyInArrow(_merged, _STATE)
-    state = materialize(state, "lm-state", "zstd")
-    totals, tokens, known = _totals(state)
-    kept = []
-    for number in range(burn_in + samples):
-        swept = state.mapInArrow(_swept(totals, number, number > burn_in), _STATE)
-        before, state = state, materialize(swept, "lm-state", "zstd")
-        release(before)
-        totals, _, _ = _totals(state, totals.discount)
-        if number >= burn_in:
-            kept.append(totals)
-    return Model(state, kept, tokens, known, bits)
-
-
-_SUMS = pa.schema(
-    [("block", pa.int64()), ("part", pa.int32()), ("doc", pa.binary()), ("logs", pa.binary()), ("base", pa.binary()),
-     ("known", pa.binary()), ("tokens", pa.binary()), ("keys", pa.list_(pa.int64()))]
+    """Sample seatings from the rows of ``texts`` (doc_id, text, train) marked ``train``.
+
+    The words of the other rows get a place in the state, so that they can be scored.
+    """
+    spread = _spread(texts, part_tokens)
+    ranges = max(1, spread.parts // 4)
+    sent = texts.select("text", "train").mapInArrow(_cells_sent(spread), _CELL)
+    written = _bucketed(sent.groupBy("place").applyInArrow(_merged, _CELL), spread.parts)
+    up = materialize(written.mapInArrow(_first(spread, ranges), _CELL), "lm-up", "zstd")
+    totals, root, kept = None, None, []
+    for number in range(burn_in + samples + 1):
+        if number:
+            inbox = up.filter(F.col("kind") == _TABLES).unionByName(root.filter(F.col("kind") == _DOWN))
+            swept = written.groupBy("place").cogroup(inbox.groupBy("place")).applyInArrow(
+                _swept(totals, number, spread, ranges), _CELL
+            )
+            swept = materialize(swept, "lm-up", "zstd")
+        else:
+            swept = up
+        asked = swept.filter(F.col("kind") == _UP)
+        own = (root if number else up.limit(0)).filter(F.col("kind") == _ROOT)
+        seated = asked.groupBy("place").cogroup(own.groupBy("place")).applyInArrow(_rooted(totals, number), _CELL)
+        seated = materialize(seated, "lm-root", "zstd")
+        if number and number - 1 <= burn_in:  # those before were no sample
+            release(up)
+            release(root)
+        up, root = swept, seated
+        sums = _sums(root, _ROOT) or [0.0] * 5
+        if totals is None:
+            ones = _sums(up, _TOTAL) or [0.0] * 3
+            discount, known, tokens = (_discount(*ones[:2]), _discount(*sums[3:])), int(sums[2]), int(ones[2])
+        totals = Totals(sums[0], sums[1], discount, 1 / (known + 1), *_whole(up))
+        if number > burn_in:
+            kept.append((up, root, totals))
+    return Model(written, kept, tokens, known, spread)
+
+
+_SENT = "place int, block long, data array<binary>, keys array<long>"
+_SENT_SCHEMA = pa.schema(
+    [("place", pa.int32()), ("block", pa.int64()), ("data", pa.list_(pa.binary())), ("keys", pa.list_(pa.int64()))]
 )
-_SUMS_DDL = "block long, part int, doc binary, logs binary, base binary, known binary, tokens binary, keys array<long>"
 
 
-def _find(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a sorted array, and whether the values are there."""
-    if not len(sorted_):
-        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
-    return at, sorted_[at] == values
+def _sent(spread: Spread):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for some in _blocks(batch):
+                rows, none = [], np.zeros(some.num_rows, bool)
+                for part, d in dishes(some.column("text"), none, spread):
+                    # The ids travel once, with the block's first part.
+                    keys = None if rows else some.column("doc_id").to_pylist()
+                    d.count = d.tokens
+                    rows.append({"place": part, "block": block, "data": [*d.cells(), _pack(d.doc)], "keys": keys})
+                yield from pa.Table.from_pylist(rows, schema=_SENT_SCHEMA).to_batches()
+                block += 1
+                del rows
+                trim()
+
+    return run
+
+
+_SUMS_SCHEMA = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("data", pa.list_(pa.binary())), ("keys", pa.list_(pa.int64()))])
+_SUMS = "block long, place int, data array<binary>, keys array<long>"
 
 
 def _scored(totals: list[Totals], tokens: int, known: int):
     def run(sent: pa.Table, model: pa.Table) -> pa.Table:
-        stored = model.to_pylist()
-        if stored:
-            state, samples = State.read(stored[0]), _samples(stored[0])
-        else:
-            state = State(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(0, np.int64))
-            samples = [state.first_tables() for _ in totals]
-        ready = []
-        for total, tables in zip(totals, samples, strict=True):
-            customers = state.customers(tables)
-            ready.append((total, customers, tables, *total.down(state, customers, tables)))
-        root_count = np.bincount(state.key2 >> 16, state.count, len(state.word))
-        out = []
+        rows = model.to_pylist()
+        own = Dishes.read(next(r["data"] for r in rows if r["kind"] == _DISHES))
+        probability = np.zeros(len(own.word))
+        for i, total in enumerate(totals):
+            some = [r for r in rows if r["sample"] == i]
+            tables = _unpack(next(r["data"] for r in some if r["kind"] == _TABLES)[0])
+            values = _root_values(some)
+            probability += total.dishes(own, tables, total.root(values[0], values[1]))
+        count = values[2]
+        log = np.log10(probability / len(totals))
+        base = np.log10((count + 0.1) / (tokens + 0.1 * (known + 1)))
+        key, out = own.key, []
+        del rows
         for row in (sent.slice(i, 1).to_pylist()[0] for i in range(sent.num_rows)):
-            word = np.frombuffer(row["word"], np.uint64)
-            pairs = _unpack(row["pairs"])
-            context = np.frombuffer(row["context"], np.uint16).astype(np.int64)
-            count = _unpack(row["n"])
-            doc = np.frombuffer(row["doc"], np.uint16)
-            at, there = _find(state.word, word)
-            w = np.repeat(at, pairs)
-            known_word = np.repeat(there, pairs)
-            i1, in1 = _find(state.key1, w << 8 | context >> 8)
-            i2, in2 = _find(state.key2, w << 16 | context)
-            in1, in2 = in1 & known_word, in2 & known_word
-            probability = np.zeros(len(context))
-            for total, customers, tables, root, one in ready:
-                p0 = np.full(len(context), total.predict(2, 0, 0, 0, total.base))
-                p0[known_word] = root[w[known_word]]
-                p1 = total.predict(1, context >> 8, 0, 0, p0)
-                p1[in1] = one[i1[in1]]
-                c2, t2 = np.zeros(len(context)), np.zeros(len(context))
-                c2[in2], t2[in2] = customers[0][i2[in2]], tables[0][i2[in2]]
-                probability += total.predict(0, context, c2, t2, p1)
-            logs = np.log10(probability / len(ready))
-            c = np.zeros(len(context))
-            c[known_word] = root_count[w[known_word]]
-            base = np.log10((c + 0.1) / (tokens + 0.1 * (known + 1)))
+            asked, doc = Dishes.read(row["data"]), _unpack(row["data"][5])
+            word = np.searchsorted(own.vocabulary, asked.vocabulary)[asked.word]
+            house = np.searchsorted(own.before, asked.before)[asked.house]
+            at = np.searchsorted(key, house * max(len(own.vocabulary), 1) + word)
             n = int(doc.max()) + 1
-            used = np.flatnonzero(np.bincount(doc, minlength=n))
-            sums = [np.bincount(doc, np.repeat(v, count), n)[used] for v in (logs, base, c > 0)]
-            out.append(
-                {
-                    "block": row["block"], "part": row["part"], "doc": used.astype(np.uint16).tobytes(),
-                    "logs": sums[0].tobytes(), "base": sums[1].tobytes(),
-                    "known": sums[2].astype(np.uint32).tobytes(),
-                    "tokens": np.bincount(doc, minlength=n)[used].astype(np.uint32).tobytes(), "keys": row["keys"],
-                }
-            )
+            sums = [np.bincount(doc, np.repeat(v, asked.count), n) for v in (log[at], base[word], count[word] > 0)]
+            each = np.bincount(doc, minlength=n)
+            used = np.flatnonzero(each)
+            data = [_pack(used), sums[0][used].tobytes(), sums[1][used].tobytes(), _pack(sums[2][used]), _pack(each[used])]
+            out.append({"block": row["block"], "place": row["place"], "data": data, "keys": row["keys"]})
         trim()
-        return pa.Table.from_pylist(out, schema=_SUMS)
+        return pa.Table.from_pylist(out, schema=_SUMS_SCHEMA)
 
     return run
 
@@ -463,53 +568,65 @@ _RESULT = pa.schema(
 
 def _gathered(table: pa.Table) -> pa.Table:
     """The sums of one block's texts."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+    rows = sorted(table.to_pylist(), key=lambda r: r["place"])
     keys = next(r["keys"] for r in rows if r["keys"] is not None)
     logs, base = np.zeros(len(keys)), np.zeros(len(keys))
     known, tokens = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     for r in rows:
-        doc = np.frombuffer(r["doc"], np.uint16)
-        logs[doc] += np.frombuffer(r["logs"], np.float64)
-        base[doc] += np.frombuffer(r["base"], np.float64)
-        known[doc] += np.frombuffer(r["known"], np.uint32)
-        tokens[doc] += np.frombuffer(r["tokens"], np.uint32)
+        doc = _unpack(r["data"][0])
+        logs[doc] += np.frombuffer(r["data"][1], np.float64)
+        base[doc] += np.frombuffer(r["data"][2], np.float64)
+        known[doc] += _unpack(r["data"][3])
+        tokens[doc] += _unpack(r["data"][4])
     return pa.Table.from_arrays([pa.array(keys, pa.int64()), *map(pa.array, (tokens, known, base, logs))], schema=_RESULT)
 
 
-def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of each partition."""
-    for batch in batches:
-        n = [int(_unpack(b.as_py()).sum(dtype=np.int64)) for b in batch.column("n")]
-        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(n, pa.int64())], names=["part", "n"])
-
-
 def scored(texts: DataFrame, model: Model, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score`` of every row of ``texts``."""
-    # One row per partition of words: how many tasks share its texts.
-    load = model.state.select("part", "n").mapInArrow(_loads, "part int, n long")
-    tasks = {r["part"]: -(-r["n"] // part_tokens) for r in load.filter(F.col("n") > part_tokens).collect()}
-    of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in tasks.items() for x in kv]), F.col("part")), F.lit(1)) if tasks else F.lit(1)
-    sent = texts.mapInArrow(_sent(model.bits, True), _SENT).withColumn("turn", F.pmod(F.col("block"), of).cast("int"))
-    copies = model.state.withColumn("turn", F.explode(F.sequence(F.lit(0), of - 1)))
-    pieces = sent.groupBy("part", "turn").cogroup(copies.groupBy("part", "turn"))
-    run = _scored(model.totals, model.tokens, model.words)
-    return pieces.applyInArrow(run, _SUMS_DDL).groupBy("block").applyInArrow(
+    """``doc_id, n_tokens, n_known, base_score, score`` of every row the model was made with."""
+    # One row a part: how many tasks share its texts.
+    load = model.samples[0][0].filter(F.col("kind") == _TOTAL).select("place", F.col("sums")[2].alias("n"))
+    tasks = {r["place"]: int(-(-r["n"] // part_tokens)) for r in load.filter(F.col("n") > 2 * part_tokens).collect()}
+    of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in tasks.items() for x in kv]), F.col("place")), F.lit(1)) if tasks else F.lit(1)
+    sent = texts.select("doc_id", "text").mapInArrow(_sent(model.spread), _SENT)
+    sent = sent.withColumn("turn", F.pmod(F.col("block"), of).cast("int"))
+    known = model.written.select("place", "kind", "tag", "data", F.lit(-1).alias("sample"))
+    for i, (up, root, _) in enumerate(model.samples):
+        for cells, kind in ((up, _TABLES), (root, _DOWN)):
+            known = known.unionByName(
+                cells.filter(F.col("kind") == kind).select("place", "kind", "tag", "data", F.lit(i).alias("sample"))
+            )
+    copies = known.withColumn("turn", F.explode(F.sequence(F.lit(0), of - 1)))
+    run = _scored([t for _, _, t in model.samples], model.tokens, model.words)
+    pieces = sent.groupBy("place", "turn").cogroup(copies.groupBy("place", "turn"))
+    return pieces.applyInArrow(_asked(run), _SUMS).groupBy("block").applyInArrow(
         _gathered, "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
 
 
+def _asked(run):
+    """Only where there are texts: a turn may get none."""
+
+    def guarded(sent: pa.Table, model: pa.Table) -> pa.Table:
+        return run(sent, model) if sent.num_rows else _SUMS_SCHEMA.empty_table()
+
+    return guarded
+
+
 def likelihoods(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     The model learns from the rows that are not held out.  Null texts count as
     empty and have one token, the end.  Without training rows every token has the
     base probability.  Repeated rows are learnt and scored one by one; other columns
-    are ignored; an empty table gives an empty result.
+    are ignored; an empty table gives an empty result.  Texts of any length are whole:
+    one longer than a block is a block of its own.
     """
+    own = F.col(key).cast("long")
     texts = docs.select(
-        F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
+        own.alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        (~held_out(own, folds)).alias("train"),
     )
-    model = fit(texts.filter(~held_out(F.col("doc_id"), folds)))
+    model = fit(texts)
     return scored(texts, model).select(
         "doc_id",
         held_out(F.col("doc_id"), folds).alias("held_out"),

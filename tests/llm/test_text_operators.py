@@ -424,35 +424,156 @@ def test_language_model_without_training_rows(spark):
 def test_predictive_probabilities_add_up():
     """Over all known words and one unknown, in a context seen and one not."""
     texts = pa.array(["a b a c", "b a b b", "c c a", "a b"])
-    counted = pitman_yor._counted(*pitman_yor._tokens(texts))
-    state = pitman_yor.State(counted.word, counted.pairs, counted.context, counted.count)
-    tables = state.first_tables()
+    ((_, own),) = pitman_yor.dishes(texts, np.ones(4, bool), pitman_yor.Spread())
+    size = len(own.vocabulary)
+    tables, served, whole = np.minimum(own.count, 1), np.ones(size, np.int64), np.zeros(0)
 
-    def totals():
-        customers = state.customers(tables)
+    def totals(customers):
         return pitman_yor.Totals(
-            [np.bincount(h, c, n) for h, c, n in zip(state.house, customers, pitman_yor._LEVELS, strict=True)],
-            [np.bincount(h, t, n) for h, t, n in zip(state.house, tables, pitman_yor._LEVELS, strict=True)],
-            (0.6, 0.5, 0.4), 1 / (len(state.word) + 1),
+            customers.sum(), served.sum(), (0.6, 0.4), 1 / (size + 1), np.zeros(0, np.uint64), whole, whole
         )
 
     for number in range(5):
-        tables = pitman_yor.sweep(np.random.default_rng(number), state, totals(), tables)
-        customers = state.customers(tables)
-        for c, t in zip(customers, tables, strict=True):
+        total = totals(np.bincount(own.word, tables, size))
+        parent = total.root(np.bincount(own.word, tables, size), served)
+        tables = pitman_yor.sweep(np.random.default_rng(number), own, total, tables, parent)
+        customers = np.bincount(own.word, tables, size).astype(np.int64)
+        served = pitman_yor.sweep_root(np.random.default_rng(number), total, customers, served)
+        for c, t in ((own.count, tables), (customers, served)):
             assert (t >= 1).all() and (t <= c).all()
-    total, customers = totals(), state.customers(tables)
-    root, one = total.down(state, customers, tables)
-    for context in (0, ord("a") << 8, ord("z") << 8):
-        mass = 0.0
-        for w in range(len(state.word) + 1):
-            p0 = root[w] if w < len(root) else total.predict(2, 0, 0, 0, total.base)
-            k1 = np.flatnonzero(state.key1 == (w << 8 | context >> 8))
-            p1 = one[k1[0]] if len(k1) else total.predict(1, context >> 8, 0, 0, p0)
-            k2 = np.flatnonzero(state.key2 == (w << 16 | context))
-            c, t = (state.count[k2[0]], tables[0][k2[0]]) if len(k2) else (0, 0)
-            mass += total.predict(0, context, c, t, p1)
-        assert math.isclose(mass, 1, rel_tol=1e-9)
+    total = totals(customers)
+    root, unknown = total.root(customers, served), total.root(np.zeros(1), np.zeros(1))[0]
+    assert math.isclose(root.sum() + unknown, 1, rel_tol=1e-9)
+    dishes = total.dishes(own, tables, root)
+    held, opened = total.houses(own, tables)
+    for house in range(len(own.before)):
+        at = np.flatnonzero(own.house == house)
+        fresh = (2.0 + 0.6 * opened[house]) / (2.0 + held[house])
+        others = np.setdiff1d(np.arange(size), own.word[at])
+        assert math.isclose(dishes[at].sum() + fresh * (root[others].sum() + unknown), 1, rel_tol=1e-9)
+
+
+def _stored_seats(model, sample):
+    """Customers and tables by context and word, and the root's by word, over all parts."""
+    up, root, total = model.samples[sample]
+    tables = {r.place: pitman_yor._unpack(r.data[0]) for r in up.filter("kind = 1").collect()}
+    down = {}
+    for r in root.filter("kind = 4").orderBy("tag").collect():
+        down.setdefault(r.place, []).append([pitman_yor._unpack(c) for c in r.data])
+    seats, top = {}, {}
+    for r in model.written.collect():
+        own = pitman_yor.Dishes.read(r.data)
+        for b, w, n, t in zip(own.before[own.house], own.vocabulary[own.word], own.count, tables[r.place], strict=True):
+            assert (b, w) not in seats  # a dish has one part
+            seats[b, w] = (n, t)
+        values = [np.concatenate(v) for v in zip(*down[r.place], strict=True)]
+        for w, *v in zip(own.vocabulary, *values, strict=True):
+            assert top.setdefault(w, v) == v  # every part hears the same of a word
+    return seats, top, total
+
+
+@pytest.mark.parametrize("part_tokens", [1 << 20, 300])
+def test_scores_are_those_of_the_stored_seatings(spark, part_tokens):
+    """Against dictionaries of all seats; with small parts "the" is spread over several."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join("the" if x % 3 == 0 else f"w{x}" for x in rng.zipf(1.4, i % 50) % 300), i % 7 > 0) for i in range(200)]
+    rows += [(500, "the " * 400, True), (501, "never seen the w1", False), (502, "", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    model = pitman_yor.fit(docs, 1, 2, part_tokens)
+    assert (model.spread.parts > 5) == (part_tokens == 300)
+    got = {r.doc_id: r for r in pitman_yor.scored(docs, model, part_tokens).collect()}
+    assert len(got) == len(rows)
+    if part_tokens == 300:
+        assert len(model.spread.hot) and model.spread.over.max() > 2
+    seen = {}
+    for _, text, train in rows:
+        for a, b in zip(["<start>", *slow_tokens(text)], slow_tokens(text), strict=False):
+            seen[a, b] = seen.get((a, b), 0) + train
+    hashed = {w: pitman_yor._sequence(pa.array([w]))[0][0] for ab in seen for w in ab}
+    hashed |= {"<start>": pitman_yor._START, "<end>": pitman_yor._END}
+    probability = {}
+    for sample in range(2):
+        seats, top, total = _stored_seats(model, sample)
+        assert {k: n for k, (n, _) in seats.items()} == {(hashed[a], hashed[b]): n for (a, b), n in seen.items()}
+        (d1, d0), customers, opened, sums = total.discount, {}, {}, {}
+        for (b, w), (n, t) in seats.items():
+            customers[b], opened[b] = customers.get(b, 0) + n, opened.get(b, 0) + t
+            sums[w] = sums.get(w, 0) + t
+        assert sums == {w: v[0] for w, v in top.items()}
+        held, served = sum(sums.values()), sum(v[1] for v in top.values())
+        known = sum(v[2] > 0 for v in top.values())
+        for (b, w), (n, t) in seats.items():
+            root = (top[w][0] - d0 * top[w][1] + (2 + d0 * served) / (known + 1)) / (2 + held)
+            p = (n - d1 * t + (2 + d1 * opened[b]) * root) / (2 + customers[b])
+            probability[b, w] = probability.get((b, w), 0) + p / 2
+    for key, text, _ in rows:
+        own = slow_tokens(text)
+        expected = sum(math.log10(probability[hashed[a], hashed[b]]) for a, b in zip(["<start>", *own], own, strict=False))
+        assert math.isclose(got[key].score, expected, rel_tol=1e-9), key
+
+
+def test_seatings_against_customer_by_customer_sampling(spark):
+    """Mean predictive probabilities against a plain Gibbs sampler of single customers."""
+    texts = ["a b a b c", "a b", "c a b a", "b b a", "a b a b", "c c b a"] * 3
+    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    model = pitman_yor.fit(docs, 3, 12)
+    got = {r.doc_id: r.score for r in pitman_yor.scored(docs, model).collect()}
+    d1, d0 = model.samples[0][2].discount
+    rng = np.random.default_rng(2)
+    pairs = [p for t in texts for p in zip(["<start>", *slow_tokens(t)], slow_tokens(t), strict=False)]
+    words = sorted({w for _, w in pairs})
+    seats, root = {b: {} for b, _ in pairs}, {}  # word to the sizes of its tables
+
+    def root_p(w):
+        own, n = root.get(w, []), sum(map(sum, root.values()))
+        return (sum(own) - d0 * len(own) + (2 + d0 * sum(map(len, root.values()))) / (len(words) + 1)) / (2 + n)
+
+    def leaf_p(b, w):
+        own, house = seats[b].get(w, []), seats[b]
+        return (sum(own) - d1 * len(own) + (2 + d1 * sum(map(len, house.values()))) * root_p(w)) / (2 + sum(map(sum, house.values())))
+
+    def sit(tables, new, d):
+        weights = np.array([s - d for s in tables] + [new])
+        at = rng.choice(len(weights), p=weights / weights.sum())
+        if at == len(tables):
+            tables.append(0)
+        tables[at] += 1
+        return tables[at] == 1
+
+    def leave(tables):
+        at = rng.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[at] -= 1
+        if not tables[at]:
+            del tables[at]
+            return True
+        return False
+
+    def add(b, w):
+        if sit(seats[b].setdefault(w, []), (2 + d1 * sum(map(len, seats[b].values()))) * root_p(w), d1):
+            sit(root.setdefault(w, []), (2 + d0 * sum(map(len, root.values()))) / (len(words) + 1), d0)
+
+    for b, w in pairs:
+        add(b, w)
+    mean = {}
+    for turn in range(120):
+        for b, w in pairs:
+            if leave(seats[b][w]):
+                leave(root[w])
+            add(b, w)
+        if turn >= 20:
+            for b, w in set(pairs):
+                mean[b, w] = mean.get((b, w), 0) + leaf_p(b, w) / 100
+    for i, t in enumerate(texts[:6]):
+        own = slow_tokens(t)
+        expected = sum(math.log10(mean[a, b]) for a, b in zip(["<start>", *own], own, strict=False))
+        assert abs(got[i] - expected) < 0.06 * len(own), (t, got[i], expected)
+
+
+def test_language_model_learns_whole_words_before(spark):
+    """Words before that end alike are different contexts."""
+    rows = [(i, "xxed one yyed two " * 8, "a") for i in range(1, 60)] + [(60 + i, "xxed two yyed one " * 8, "a") for i in range(3)]
+    got = {r.doc_id: r.score for r in pitman_yor.likelihoods(frame(spark, rows)).collect()}
+    assert got[1] > got[60] + 10 and got[1] > got[61] + 10
 
 
 def test_seats_follow_the_restaurant_process():
