@@ -11,8 +11,9 @@ spread over several parts by the next word; only the totals of such restaurants,
 one for each part there is, are added up in the driver.  The dishes of the root are
 partitioned by word.  Parts and root exchange table counts in each sweep: parts send the
 tables of each word upward, where they are the root's customers, and get the root's
-customers and tables of their words back.  The parts' dishes are written once as a table
-bucketed by part, so a sweep shuffles table counts only.
+customers and tables of their words back.  The parts' dishes and the words that each part
+asks the root for are written once, bucketed by receiver, so a sweep shuffles table counts
+only.
 
 Seating is sampled by Gibbs: a sweep reseats all customers of every dish in the contexts,
 then in the root.  A dish is reseated given the tables of all other dishes as the sweep
@@ -26,6 +27,7 @@ are not learnt from are dishes without customers.
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,7 +49,7 @@ STRENGTH = (2.0, 2.0)
 #: Tokens of a part; a part with more is scored by several tasks.
 PART_TOKENS = 2 << 20
 #: Texts and bytes of a block; a longer text is a block of its own.
-BLOCK_TEXTS, BLOCK_BYTES = 4096, 8 << 20
+BLOCK_TEXTS, BLOCK_BYTES = 8192, 16 << 20
 #: Dishes that are merged at once.
 MERGED = 4 << 20
 
@@ -227,7 +229,7 @@ _CELL_SCHEMA = pa.schema(
     [("kind", pa.int32()), ("place", pa.int32()), ("tag", pa.int64()), ("data", pa.list_(pa.binary())),
      ("sums", pa.list_(pa.float64()))]
 )
-_DISHES, _TABLES, _UP, _ROOT, _DOWN, _TOTAL, _HOT = range(7)
+_DISHES, _TABLES, _UP, _ROOT, _DOWN, _TOTAL, _HOT, _ASKED = range(8)
 
 
 def _cells(rows: list[tuple]) -> pa.Table:
@@ -347,15 +349,19 @@ def sweep_root(rng: np.random.Generator, totals: Totals, customers: np.ndarray,
     return seat(rng, customers, (STRENGTH[1] + d * others) * p, d * p, d)
 
 
-def _upward(place: int, own: Dishes, tables: np.ndarray, ranges: int, spread: Spread) -> list[tuple]:
-    """The tables of a part's words for the root, its own tables, and totals."""
+def _upward(place: int, own: Dishes, tables: np.ndarray, ranges: int, spread: Spread, first: bool) -> list[tuple]:
+    """The tables of a part's words for the root, its own tables, and totals.
+
+    The words themselves and their tokens are sent the first time only.
+    """
     n = len(own.vocabulary)
     sent, count = np.bincount(own.word, tables, n).astype(np.int64), np.bincount(own.word, own.count, n).astype(np.int64)
     rows = [(_TABLES, place, 0, [_pack(tables)], None)]
     to = _range(own.vocabulary, ranges)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [n]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        rows.append((_UP, int(to[a]), place, [own.vocabulary[a:b].tobytes(), _pack(sent[a:b]), _pack(count[a:b])], None))
+        words_too = [own.vocabulary[a:b].tobytes(), _pack(count[a:b])] if first else []
+        rows.append((_UP, int(to[a]), place, [_pack(sent[a:b]), *words_too], None))
     ones = [float((own.count == 1).sum()), float((own.count == 2).sum())]
     rows.append((_TOTAL, place, 0, None, [*ones, float(own.count.sum())]))
     customers, total = np.bincount(own.house, own.count, len(own.before)), np.bincount(own.house, tables, len(own.before))
@@ -369,15 +375,15 @@ def _first(spread: Spread, ranges: int):
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 own = Dishes.read(row["data"])
-                yield from _cells(_upward(row["place"], own, np.minimum(own.count, 1), ranges, spread)).to_batches()
+                yield from _cells(_upward(row["place"], own, np.minimum(own.count, 1), ranges, spread, True)).to_batches()
 
     return run
 
 
-def _root_values(rows: list[dict]) -> np.ndarray:
-    """Customers, tables and tokens of a part's words, from all ranges, in their order."""
+def _root_values(rows: list[dict], n: int = 2) -> np.ndarray:
+    """Customers and tables (and tokens) of a part's words, from all ranges, in order."""
     cells = [r["data"] for r in sorted((r for r in rows if r["kind"] == _DOWN), key=lambda r: r["tag"])]
-    return np.array([np.concatenate([_unpack(c[i]) for c in cells]) for i in range(3)])
+    return np.array([np.concatenate([_unpack(c[i]) for c in cells]) for i in range(n)])
 
 
 def _swept(totals: Totals, number: int, spread: Spread, ranges: int):
@@ -388,7 +394,7 @@ def _swept(totals: Totals, number: int, spread: Spread, ranges: int):
         values = _root_values(rows)
         rng = np.random.default_rng((number, 0, place))
         new = sweep(rng, own, totals, tables, totals.root(values[0], values[1]))
-        out = _cells(_upward(place, own, new, ranges, spread))
+        out = _cells(_upward(place, own, new, ranges, spread, False))
         trim()
         return out
 
@@ -398,26 +404,29 @@ def _swept(totals: Totals, number: int, spread: Spread, ranges: int):
 def _rooted(totals: Totals | None, number: int):
     """Reseat one range of the root's dishes and answer the parts."""
 
-    def run(sent: pa.Table, kept: pa.Table) -> pa.Table:
-        rows = sorted(sent.to_pylist(), key=lambda r: r["tag"])
+    def run(roster: pa.Table, sent: pa.Table) -> pa.Table:
+        rows = sorted(roster.to_pylist(), key=lambda r: r["tag"])
         place = rows[0]["place"]
-        word, inverse = np.unique(np.concatenate([_hashes(r["data"][0]) for r in rows]), return_inverse=True)
+        word, inverse = np.unique(np.concatenate([_hashes(r["data"][1]) for r in rows]), return_inverse=True)
+        messages = sent.to_pylist()
+        new = {r["tag"]: r["data"] for r in (messages if number else rows) if r["kind"] == _UP}
         customers, count = (
-            np.bincount(inverse, np.concatenate([_unpack(r["data"][i]) for r in rows]), len(word)).astype(np.int64)
-            for i in (1, 2)
+            np.bincount(inverse, np.concatenate(v), len(word)).astype(np.int64)
+            for v in ([_unpack(new[r["tag"]][0]) for r in rows], [_unpack(r["data"][2]) for r in rows])
         )
         if totals is None:
             tables = np.minimum(customers, 1)
         else:
-            before = _unpack(kept.column("data")[0].as_py()[0])
+            before = _unpack(next(r["data"] for r in messages if r["kind"] == _ROOT)[0])
             tables = sweep_root(np.random.default_rng((number, 1, place)), totals, customers, before)
         sums = [customers.sum(), tables.sum(), (count > 0).sum(), (customers == 1).sum(), (customers == 2).sum()]
         out = [(_ROOT, place, 0, [_pack(tables)], [float(v) for v in sums])]
         at = 0
         for r in rows:
-            own = inverse[at : at + len(r["data"][0]) // 8]
+            own = inverse[at : at + len(r["data"][1]) // 8]
             at += len(own)
-            out.append((_DOWN, r["tag"], place, [_pack(v[own]) for v in (customers, tables, count)], None))
+            values = (customers, tables) if number else (customers, tables, count)
+            out.append((_DOWN, r["tag"], place, [_pack(v[own]) for v in values], None))
         return _cells(out)
 
     return run
@@ -443,9 +452,10 @@ def _discount(one: float, two: float) -> float:
 
 @dataclass
 class Model:
-    """The parts' dishes, for each sample tables and root values, and totals."""
+    """The parts' dishes, tokens of their words, for each sample tables, root values, totals."""
 
     written: DataFrame
+    counts: DataFrame
     samples: list[tuple[DataFrame, DataFrame, Totals]]
     tokens: int
     words: int
@@ -460,6 +470,15 @@ def _bucketed(cells: DataFrame, parts: int) -> DataFrame:
     return spark.table(name)
 
 
+def _forget(df: DataFrame) -> None:
+    """Have Spark remove the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner does so after the driver's garbage collection, which may be long in coming.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def fit(texts: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, part_tokens: int = PART_TOKENS) -> Model:
     """Sample seatings from the rows of ``texts`` (doc_id, text, train) marked ``train``.
 
@@ -470,23 +489,27 @@ def fit(texts: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, part_t
     sent = texts.select("text", "train").mapInArrow(_cells_sent(spread), _CELL)
     written = _bucketed(sent.groupBy("place").applyInArrow(_merged, _CELL), spread.parts)
     up = materialize(written.mapInArrow(_first(spread, ranges), _CELL), "lm-up", "zstd")
-    totals, root, kept = None, None, []
+    roster = _bucketed(up.filter(F.col("kind") == _UP), ranges)
+    del sent
+    _forget(texts)
+    totals, root, counts, kept = None, None, None, []
     for number in range(burn_in + samples + 1):
+        swept, asked, inbox = up, up.limit(0), None
         if number:
             inbox = up.filter(F.col("kind") == _TABLES).unionByName(root.filter(F.col("kind") == _DOWN))
             swept = written.groupBy("place").cogroup(inbox.groupBy("place")).applyInArrow(
                 _swept(totals, number, spread, ranges), _CELL
             )
             swept = materialize(swept, "lm-up", "zstd")
-        else:
-            swept = up
-        asked = swept.filter(F.col("kind") == _UP)
-        own = (root if number else up.limit(0)).filter(F.col("kind") == _ROOT)
-        seated = asked.groupBy("place").cogroup(own.groupBy("place")).applyInArrow(_rooted(totals, number), _CELL)
+            asked = swept.filter(F.col("kind") == _UP).unionByName(root.filter(F.col("kind") == _ROOT))
+        seated = roster.groupBy("place").cogroup(asked.groupBy("place")).applyInArrow(_rooted(totals, number), _CELL)
         seated = materialize(seated, "lm-root", "zstd")
         if number and number - 1 <= burn_in:  # those before were no sample
             release(up)
-            release(root)
+            if number > 1:
+                release(root)
+        if not number:
+            counts = seated
         up, root = swept, seated
         sums = _sums(root, _ROOT) or [0.0] * 5
         if totals is None:
@@ -495,7 +518,9 @@ def fit(texts: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, part_t
         totals = Totals(sums[0], sums[1], discount, 1 / (known + 1), *_whole(up))
         if number > burn_in:
             kept.append((up, root, totals))
-    return Model(written, kept, tokens, known, spread)
+        del inbox, seated, asked
+        _forget(texts)
+    return Model(written, counts, kept, tokens, known, spread)
 
 
 _SENT = "place int, block long, data array<binary>, keys array<long>"
@@ -530,21 +555,24 @@ _SUMS = "block long, place int, data array<binary>, keys array<long>"
 
 
 def _scored(totals: list[Totals], tokens: int, known: int):
-    def run(sent: pa.Table, model: pa.Table) -> pa.Table:
-        rows = model.to_pylist()
-        own = Dishes.read(next(r["data"] for r in rows if r["kind"] == _DISHES))
+    def run(written: pa.Table, mixed: pa.Table) -> pa.Table:
+        rows = mixed.to_pylist()
+        asked_rows = [r for r in rows if r["kind"] == _ASKED]
+        if not asked_rows:  # a turn may get none
+            return _SUMS_SCHEMA.empty_table()
+        own = Dishes.read(written.column("data")[0].as_py())
         probability = np.zeros(len(own.word))
         for i, total in enumerate(totals):
             some = [r for r in rows if r["sample"] == i]
             tables = _unpack(next(r["data"] for r in some if r["kind"] == _TABLES)[0])
             values = _root_values(some)
             probability += total.dishes(own, tables, total.root(values[0], values[1]))
-        count = values[2]
+        count = _root_values([r for r in rows if r["sample"] < 0], 3)[2]
         log = np.log10(probability / len(totals))
         base = np.log10((count + 0.1) / (tokens + 0.1 * (known + 1)))
         key, out = own.key, []
         del rows
-        for row in (sent.slice(i, 1).to_pylist()[0] for i in range(sent.num_rows)):
+        for row in asked_rows:
             asked, doc = Dishes.read(row["data"]), _unpack(row["data"][5])
             word = np.searchsorted(own.vocabulary, asked.vocabulary)[asked.word]
             house = np.searchsorted(own.before, asked.before)[asked.house]
@@ -554,7 +582,7 @@ def _scored(totals: list[Totals], tokens: int, known: int):
             each = np.bincount(doc, minlength=n)
             used = np.flatnonzero(each)
             data = [_pack(used), sums[0][used].tobytes(), sums[1][used].tobytes(), _pack(sums[2][used]), _pack(each[used])]
-            out.append({"block": row["block"], "place": row["place"], "data": data, "keys": row["keys"]})
+            out.append({"block": row["tag"], "place": row["place"], "data": data, "keys": row["keys"]})
         trim()
         return pa.Table.from_pylist(out, schema=_SUMS_SCHEMA)
 
@@ -588,26 +616,34 @@ def scored(texts: DataFrame, model: Model, part_tokens: int = PART_TOKENS) -> Da
     tasks = {r["place"]: int(-(-r["n"] // part_tokens)) for r in load.filter(F.col("n") > 2 * part_tokens).collect()}
     of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in tasks.items() for x in kv]), F.col("place")), F.lit(1)) if tasks else F.lit(1)
     sent = texts.select("doc_id", "text").mapInArrow(_sent(model.spread), _SENT)
-    sent = sent.withColumn("turn", F.pmod(F.col("block"), of).cast("int"))
-    known = model.written.select("place", "kind", "tag", "data", F.lit(-1).alias("sample"))
+    mixed = sent.select(F.lit(_ASKED).alias("kind"), "place", F.col("block").alias("tag"), "data", "keys", F.lit(-1).alias("sample"))
+    told = [(model.counts, _DOWN, -1)]
     for i, (up, root, _) in enumerate(model.samples):
-        for cells, kind in ((up, _TABLES), (root, _DOWN)):
-            known = known.unionByName(
-                cells.filter(F.col("kind") == kind).select("place", "kind", "tag", "data", F.lit(i).alias("sample"))
-            )
-    copies = known.withColumn("turn", F.explode(F.sequence(F.lit(0), of - 1)))
+        told += [(up, _TABLES, i), (root, _DOWN, i)]
+    for cells, kind, i in told:
+        own = cells.filter(F.col("kind") == kind).select(
+            "kind", "place", "tag", "data", F.lit(None).cast("array<long>").alias("keys"), F.lit(i).alias("sample")
+        )
+        mixed = mixed.unionByName(own)
     run = _scored([t for _, _, t in model.samples], model.tokens, model.words)
-    pieces = sent.groupBy("place", "turn").cogroup(copies.groupBy("place", "turn"))
-    return pieces.applyInArrow(_asked(run), _SUMS).groupBy("block").applyInArrow(
+    calm = mixed.filter(of == 1) if tasks else mixed
+    sums = model.written.groupBy("place").cogroup(calm.groupBy("place")).applyInArrow(_known(run), _SUMS)
+    if tasks:
+        turns = F.sequence(F.lit(0), of - 1)
+        own = F.when(F.col("kind") == _ASKED, F.array(F.pmod(F.col("tag"), of).cast("int"))).otherwise(turns)
+        busy = mixed.filter(of > 1).withColumn("turn", F.explode(own))
+        copies = model.written.filter(of > 1).withColumn("turn", F.explode(turns))
+        sums = sums.unionByName(copies.groupBy("place", "turn").cogroup(busy.groupBy("place", "turn")).applyInArrow(run, _SUMS))
+    return sums.groupBy("block").applyInArrow(
         _gathered, "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
 
 
-def _asked(run):
-    """Only where there are texts: a turn may get none."""
+def _known(run):
+    """Parts that are scored by several tasks are left to those."""
 
-    def guarded(sent: pa.Table, model: pa.Table) -> pa.Table:
-        return run(sent, model) if sent.num_rows else _SUMS_SCHEMA.empty_table()
+    def guarded(written: pa.Table, mixed: pa.Table) -> pa.Table:
+        return run(written, mixed) if mixed.num_rows else _SUMS_SCHEMA.empty_table()
 
     return guarded
 

@@ -460,6 +460,9 @@ def _stored_seats(model, sample):
     down = {}
     for r in root.filter("kind = 4").orderBy("tag").collect():
         down.setdefault(r.place, []).append([pitman_yor._unpack(c) for c in r.data])
+    counts = {}
+    for r in model.counts.filter("kind = 4").orderBy("tag").collect():
+        counts.setdefault(r.place, []).append(pitman_yor._unpack(r.data[2]))
     seats, top = {}, {}
     for r in model.written.collect():
         own = pitman_yor.Dishes.read(r.data)
@@ -467,6 +470,7 @@ def _stored_seats(model, sample):
             assert (b, w) not in seats  # a dish has one part
             seats[b, w] = (n, t)
         values = [np.concatenate(v) for v in zip(*down[r.place], strict=True)]
+        values.append(np.concatenate(counts[r.place]))
         for w, *v in zip(own.vocabulary, *values, strict=True):
             assert top.setdefault(w, v) == v  # every part hears the same of a word
     return seats, top, total
