@@ -6,9 +6,11 @@ a phone without country code, cards and network addresses with other separators.
 Boosted trees judge each by format and context, and a threshold per kind, set on
 held-back examples for a given precision, selects those that are added.
 
-The trees learn from candidates of the documents (right if a base span covers them,
-wrong if a base check refuses them, the others not) and from written variants of each
-kind; both are bounded.  Every document is then judged; base spans always stay.
+The trees learn from every candidate of every document (right if a base span covers
+it, wrong if a base check refuses it, the others not) and from written variants of each
+kind, which together weigh as much.  Examples with the same codes of all features are
+one row with a count; each level of a tree is one pass over these rows.  Every document
+is then judged; base spans always stay.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.boosting import Boosted, boosted
-from citeloom.session import materialize
+from citeloom.llm.boosting import Boosted, coded, decoded, grown, sums
+from citeloom.session import materialize, release
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents, and candidates of each, that the trees learn from at most.
-SAMPLE_DOCS, SAMPLE_EACH = 4000, 16
+#: Distinct rows of examples that fit in the driver; more are summed by Spark, pass by pass.
+HELD_ROWS = 1 << 17
+#: Steps of scores that a threshold can lie at.
+STEPS = 1 << 16
 #: Written variants of each kind, right and wrong.
 VARIANTS = 400
 PRECISION = 0.99
@@ -165,6 +170,10 @@ _WORDS = (
     re.compile(r"(?i)version|release|order|invoice|isbn|article|number|\bno\b|section|build"),
 )
 N_FEATURES = 26
+#: Cuts of the features: counts and flags between whole numbers, the share of letters by 32nds.
+_COUNTS = np.concatenate([np.arange(20), [24, 32, 48, 64, 96, 128]]) + 0.5
+CUTS = [_COUNTS] * 12 + [np.arange(1, 32) / 32] + [_COUNTS] * 13
+_WIDE = max(map(len, CUTS)) + 1
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -320,34 +329,107 @@ def calibrated(score: np.ndarray, y: np.ndarray, precision: float) -> float:
     return float(max(score[order][good[-1]], 0.5)) if len(good) else 2.0
 
 
-def fit(proposed: DataFrame, docs: int = SAMPLE_DOCS, each: int = SAMPLE_EACH, precision: float = PRECISION) -> Judge:
-    """Trees and thresholds from the documents with the smallest hashes of their ids
-    and the written variants; every fourth example sets the thresholds."""
-    useful = proposed.filter(F.size("right") > 0)
-    # Only hashes low enough to be among the smallest are ranked and sent.
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    bound = int((1 << 30) * min(1, 2 * docs / max(1, useful.count())))
-    rows = (
-        useful.filter(spread < bound)
-        .select(
-            "doc_id", spread.alias("spread"), F.slice("right", 1, each).alias("right"),
-            F.substring("features", 1, 4 * N_FEATURES * each).alias("features"),
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled candidates by the codes of their features."""
+    for batch in batches:
+        right = batch.column("right")
+        x = np.frombuffer(b"".join(batch.column("features").to_pylist()), np.float32).reshape(-1, N_FEATURES)
+        y = right.flatten().to_numpy(zero_copy_only=False)
+        held = np.repeat(batch.column("held").to_numpy(zero_copy_only=False), pa.compute.list_value_length(right))
+        known = y >= 0
+        keys, n = np.unique(
+            np.column_stack([coded(x[known], CUTS), y[known], held[known]]).astype(np.uint8), axis=0, return_counts=True
         )
-        .orderBy("spread", "doc_id", "features")
-        .limit(docs)
-        .collect()
-    )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(n.astype(np.int64))], names=["example", "n"]
+        )
+
+
+def _matrix(examples: pa.Array) -> np.ndarray:
+    """Codes of the features, label and whether it is held back, a row each."""
+    return np.frombuffer(b"".join(examples.to_pylist()), np.uint8).reshape(-1, N_FEATURES + 2).astype(np.int64)
+
+
+def examples(proposed: DataFrame) -> DataFrame:
+    """``example, n`` of all labelled candidates and the written variants; a quarter of
+    the documents, and every fourth variant, is held back."""
+    useful = proposed.filter(F.size("right") > 0)
+    held = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 3).alias("held")
+    found = useful.select("right", "features", held).mapInArrow(_examples, "example binary, n long")
+    found = materialize(found.groupBy("example").agg(F.sum("n").alias("n")), "pii-found")
     x, y = variants()
-    if rows:
-        x = np.concatenate([x, *(np.frombuffer(r["features"], np.float32).reshape(-1, N_FEATURES) for r in rows)])
-        y = np.concatenate([y, *(np.array(r["right"], np.float64) for r in rows)])
-        x, y = x[y >= 0], y[y >= 0]
-    held = np.arange(len(y)) % 4 == 3
-    trees = boosted(x[~held], y[~held])
-    score = trees.probability(x[held])
-    kinds = x[held][:, 0]
-    thresholds = [calibrated(score[kinds == k], y[held][kinds == k], precision) for k in range(len(KINDS))]
-    return Judge(trees, np.array(thresholds))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    rows = np.column_stack([coded(x, CUTS), y, np.arange(len(y)) % 4 == 3]).astype(np.uint8)
+    written = proposed.sparkSession.createDataFrame(
+        [(bytearray(r.tobytes()), max(1, round(total / len(y)))) for r in rows], "example binary, n long"
+    )
+    return materialize(found.unionByName(written).groupBy("example").agg(F.sum("n").alias("n")), "pii-examples")
+
+
+def _passes(rows: DataFrame):
+    """Sums of a level over all rows: one pass, whose bounded sums come to the driver."""
+
+    def histogram(model: Boosted, feature: np.ndarray, cut: np.ndarray, level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, 2**level * N_FEATURES * _WIDE), np.int64)
+            for batch in batches:
+                m = _matrix(batch.column("example"))
+                own = sums(model, feature, cut, level, m[:, :N_FEATURES], m[:, -2], batch.column("n").to_numpy(), _WIDE)
+                total += np.stack([v.ravel() for v in own])
+            cell = np.flatnonzero(total.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (cell, *total[:, cell])], names=["cell", "s", "b"])
+
+        parts = rows.mapInArrow(run, "cell long, s long, b long")
+        found = parts.groupBy("cell").agg(F.sum("s").alias("s"), F.sum("b").alias("b")).toArrow()
+        out = np.zeros((2, 2**level * N_FEATURES * _WIDE), np.int64)
+        out[:, found.column("cell").to_numpy()] = [found.column(c).to_numpy() for c in ("s", "b")]
+        return out.reshape(2, 2**level, N_FEATURES, _WIDE)
+
+    return histogram
+
+
+def _scored(trees: Boosted):
+    """Examples, and right ones, by kind and step of their score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _matrix(batch.column("example"))
+            step = np.floor(trees.probability(m[:, :N_FEATURES]) * STEPS).astype(np.int64)
+            n = batch.column("n").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(m[:, 0]), pa.array(step), pa.array(n), pa.array(n * m[:, -2])], names=["kind", "step", "n", "good"]
+            )
+
+    return run
+
+
+def stepped(step: np.ndarray, n: np.ndarray, good: np.ndarray, precision: float) -> float:
+    """``calibrated`` for examples counted by step."""
+    order = np.argsort(-step)
+    share = np.cumsum(good[order]) / np.maximum(np.cumsum(n[order]), 1)
+    fine = np.flatnonzero(share >= precision)
+    return float(max(step[order][fine[-1]] / STEPS, 0.5)) if good.any() and len(fine) else 2.0
+
+
+def fit(proposed: DataFrame, precision: float = PRECISION, held_rows: int = HELD_ROWS) -> Judge:
+    """Trees of all examples that are not held back, and thresholds of those that are."""
+    rows = examples(proposed)
+    back = F.substring("example", N_FEATURES + 2, 1) == F.lit(b"\x01")
+    learnt, held = rows.filter(~back), rows.filter(back)
+    label = (F.substring("example", N_FEATURES + 1, 1) == F.lit(b"\x01")).cast("long")
+    many, n, right = learnt.agg(F.count("*"), F.sum("n"), F.sum(label * F.col("n"))).first()
+    histogram = _passes(learnt)
+    if many <= held_rows:
+        table = learnt.toArrow()
+        m, times = _matrix(table.column("example")), table.column("n").to_numpy()
+        histogram = lambda *at: sums(*at, m[:, :N_FEATURES], m[:, -2], times, _WIDE)
+    trees = grown(histogram, right / n, [len(c) + 1 for c in CUTS])
+    scored = held.mapInArrow(_scored(trees), "kind long, step long, n long, good long")
+    counted = scored.groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).toArrow()
+    kind, *by = (counted.column(c).to_numpy() for c in ("kind", "step", "n", "good"))
+    thresholds = [stepped(*(v[kind == k] for v in by), precision) for k in range(len(KINDS))]
+    release(rows)
+    return Judge(decoded(trees, CUTS), np.array(thresholds))
 
 
 def chosen(base: list[Span], proposed: list[Span], score: np.ndarray, threshold: np.ndarray) -> list[Span]:
