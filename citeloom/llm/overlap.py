@@ -1,7 +1,11 @@
-"""Groups of texts whose five-word shingles overlap, by an exact set-similarity join.
+"""Groups of texts whose five-word shingles overlap: fingerprints, then an exact join.
 
 Two texts are linked if the Jaccard similarity of their shingle sets is 4/5 or more.
-Such sets of sizes m and n share one of the first n - ceil(4n/5) + 1 shingles of each
+Operator 1's fingerprints, of five words here, come first: what its anchors link is
+verified with the whole sets.  They do not reach all pairs of that similarity; an exact
+set-similarity join finds the rest, between texts that they leave apart.
+
+Linked sets of sizes m and n share one of the first n - ceil(4n/5) + 1 shingles of each
 in any order common to all, so texts meet at those.  The order puts shingles that are
 frequent in a sample last; it decides how many texts meet, not which are linked.
 
@@ -24,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.llm import simhash
 from citeloom.llm.components import components
 from citeloom.llm.simhash import _join, shingle_hashes
 from citeloom.llm.textscan import mix
@@ -193,10 +198,9 @@ def _meeting(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different labels that may be linked, all or a forest that joins them;
     two whose parities both are folded are left to their own number of classes."""
-    parent = np.unique(label, return_inverse=True)[1]
+    _, first, own = np.unique(label, return_index=True, return_inverse=True)
+    parent = first[own]
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    if forest:
-        parent = np.arange(len(n))
     for i in range(0, len(n), 128):
         rows = np.arange(i, min(i + 128, len(n)))
         for j in range(i, len(n), 512):
@@ -274,9 +278,29 @@ def _verified(texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def fingerprinted(texts: DataFrame) -> DataFrame:
+    """Verified links ``a, b`` of what operator 1's anchors link: texts of one
+    fingerprint, and the first texts of linked fingerprints."""
+    rows = simhash.fingers(texts, "node", k=WORDS).withColumnRenamed("doc_id", "node").distinct()
+    rows = materialize(rows, "overlap-fingers")
+    firsts = materialize(rows.groupBy("finger").agg(F.min("node").alias("first")), "overlap-firsts")
+    edges = simhash.links(firsts.select("finger"))
+    for end in ("a", "b"):
+        of = firsts.select(F.col("finger").alias(end), F.col("first").alias(f"{end}_first"))
+        edges = edges.join(of, end)
+    same = rows.join(firsts, "finger").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    both = edges.select(F.col("a_first").alias("a"), F.col("b_first").alias("b")).union(same).filter("a <> b")
+    found = _verified(texts, both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "overlap-fingered")
+    for written in (rows, firsts):
+        release(written)
+    return found
+
+
 def links(docs: DataFrame, text: str = "text", cell: int = CELL, sample: int = SAMPLE_TEXTS) -> DataFrame:
     """Edges ``a, b`` with the components of the links between different texts."""
     texts = docs.select(node(text).alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    near = fingerprinted(texts)
+    known = materialize(components(near).withColumnRenamed("root", "label"), "overlap-known")
     share = max(1, docs.count() // sample)
     some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).dropDuplicates(["node"])
     often = some.mapInArrow(_each, "shingle long").groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
@@ -297,6 +321,9 @@ def links(docs: DataFrame, text: str = "text", cell: int = CELL, sample: int = S
     other = signed.select(F.col("node").alias("b"), "n", F.col("odd").alias("y"))
     fitting = F.arrow_udf(_fitting, "boolean")
     apart = apart.join(one, "a").join(other, "b").filter(fitting("n", "m", "x", "y")).select("a", "b")
+    for end in ("a", "b"):
+        apart = apart.join(known.toDF(end, f"{end}_label"), end, "left")
+    apart = apart.filter("coalesce(a_label, a) <> coalesce(b_label, b)").select("a", "b")
 
     # Rows divided by the cell at most.
     large = members.groupBy("meeting").count().filter(F.col("count") > cell)
@@ -315,13 +342,15 @@ def links(docs: DataFrame, text: str = "text", cell: int = CELL, sample: int = S
         dealt = placed.repartition("meeting", "i", "j").sortWithinPartitions("meeting", "i", "j")
         return dealt.mapInArrow(_pairs(forest), "a long, b long")
 
-    first = _verified(texts, apart.union(pairs(members.withColumn("label", F.col("node")), True)), "overlap-first")
-    roots = components(first).withColumnRenamed("root", "label")
-    named = members.join(roots, "node", "left").select("meeting", "node", F.coalesce("label", "node").alias("label"))
+    def named_by(roots: DataFrame) -> DataFrame:
+        return members.join(roots, "node", "left").select("meeting", "node", F.coalesce("label", "node").alias("label"))
+
+    first = near.unionByName(_verified(texts, apart.union(pairs(named_by(known), True)), "overlap-first"))
+    named = named_by(components(first).withColumnRenamed("root", "label"))
     # Most meetings are of one label by now.
     open_ = named.groupBy("meeting").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     second = _verified(texts, pairs(named.join(open_.select("meeting"), "meeting", "left_semi"), False), "overlap-second")
-    for written in (shared, signed):
+    for written in (shared, signed, known):
         release(written)
     frequent.unpersist()
     return first.unionByName(second)

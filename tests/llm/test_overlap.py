@@ -71,3 +71,19 @@ def test_parities_never_refuse_a_linked_pair():
             shared = len(np.intersect1d(a, b))
             ok = overlap._fitting(*(pa.array([v]) for v in (len(a), len(b), overlap.parities(a), overlap.parities(b))))[0].as_py()
             assert ok or 5 * shared < 4 * (len(a) + len(b) - shared)
+
+
+def test_fingerprints_come_first_and_are_verified(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+    near = base[:-1] + ["changed"]
+    few = ["a b c d e", "a b c d e f g h"]  # fingerprints may be near, sets are not
+    texts = [" ".join(base), " ".join(near), " ".join(rng.sample(base, 400)), *few]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = docs.select(overlap.node().alias("node"), "text")
+    node = {r.text: r.node for r in rows.collect()}
+    found = {frozenset((r.a, r.b)) for r in overlap.fingerprinted(rows).collect()}
+    assert found == {frozenset((node[texts[0]], node[texts[1]]))}
+    # The exact join brings the others; what is known is not found again.
+    again = overlap.links(docs).collect()
+    assert [frozenset((r.a, r.b)) for r in again] == list(found)
