@@ -623,7 +623,9 @@ def add(reg) -> None:
             .otherwise(F.lit("[] nothing {"))
         )
         parsed = tasks.parsed_questions(raw, F.lit("short_answer"), F.lit(1))
-        return t.table(spark, sf, "part").select("p_partkey", F.get(parsed, F.lit(0))["stem"].alias("stem"))
+        # Parsing takes far longer than reading: few files must not mean few tasks.
+        part = t.table(spark, sf, "part").select("p_partkey", "p_name")
+        return part.repartition(4 * spark.sparkContext.defaultParallelism).select("p_partkey", F.get(parsed, F.lit(0))["stem"].alias("stem"))
 
     # --- study steps --------------------------------------------------------------
 

@@ -202,3 +202,15 @@ def test_parsed_questions(spark):
 def test_tool_arguments(spark):
     a = one(spark, tasks.tool_arguments(F.lit('{"query": " x ", "page": 0, "top_k": 99, "course_id": "z"}')))
     assert (a["query"], a["page"], a["top_k"]) == ("x", 1, 20)
+
+
+def test_drafts_after_a_read_list_are_not_parsed(spark):
+    # The first readable list counts, and later brackets add nothing.
+    raw = 'see [x] {"a": 1} [{"stem": "s", "answer": "a"}] [{"stem": "t", "answer": "b"}] ' + "[" * 50
+    row = spark.createDataFrame([(raw,), ("no list",), (None,)], "raw string")
+    got = [r.d for r in row.select(tasks.first_list(F.col("raw")).alias("d")).collect()]
+    assert got[0] is not None and got[1] is None and got[2] is None
+    assert [d.stem for d in got[0]] in (["s"], [None], [])
+    # The text is stripped and cleaned once, not once a bracket.
+    plan = row.select(tasks.first_list(F.col("raw")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2
