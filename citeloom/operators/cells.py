@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.operators.joins import first_rows, join_small, row_bound
-from citeloom.operators.vector import cosine_score, norm
+from citeloom.operators.vector import FEW_QUERIES, cosine_score, nearest, norm
 from citeloom.session import materialize
 
 #: Vectors the centres are fitted on at most, those with the smallest hashes of ids.
@@ -114,7 +114,10 @@ def bounds(index: Cells, queries: DataFrame) -> DataFrame:
     )
 
 
-def _scored(index: Cells, queries: DataFrame, probes: DataFrame, rows: int | None) -> DataFrame:
+def _scored(index: Cells, queries: DataFrame, probes: DataFrame, rows: int | None, k: int) -> DataFrame:
+    """Scores of the probed cells, among them each question's best ``k``."""
+    if rows is None or rows > FEW_QUERIES:
+        return nearest(index.vectors, probes.join(queries.select("query_id", "query_vec"), "query_id"), ["course_id", "cell"], k)
     q = join_small(probes, queries.select("query_id", "query_vec", norm(F.col("query_vec")).alias("q_norm")), "query_id", rows=rows)
     pairs = join_small(index.vectors, q, ["course_id", "cell"], rows=row_bound(q))
     score = cosine_score(F.col("embedding"), F.col("query_vec"), F.col("q_norm"))
@@ -132,9 +135,9 @@ def topk(index: Cells, queries: DataFrame, k: int, probes: int | None = None, fi
     """
     rows = row_bound(queries.select("query_id", "query_vec"))
     found = materialize(bounds(index, queries), "cells-bounds")
-    nearest = first_rows(found, ["query_id"], [F.asc("near"), F.asc("cell")], probes or first)
-    nearest = materialize(nearest.select("query_id", "course_id", "cell"), "cells-probes")
-    scored = _scored(index, queries, nearest, rows)
+    probed = first_rows(found, ["query_id"], [F.asc("near"), F.asc("cell")], probes or first)
+    probed = materialize(probed.select("query_id", "course_id", "cell"), "cells-probes")
+    scored = _scored(index, queries, probed, rows, k)
     if probes is None:
         scored = materialize(scored, "cells-scored")
         least = first_rows(scored, ["query_id"], _order(), k, rank="rank").filter(F.col("rank") == k)
@@ -142,8 +145,8 @@ def topk(index: Cells, queries: DataFrame, k: int, probes: int | None = None, fi
         # Scores below zero count as zero, so a k-th score of zero excludes no cell.
         reached = F.greatest(F.lit(0.0), F.col("bound")) >= F.coalesce("least", F.lit(0.0)) - SLACK
         more = found.join(least, "query_id", "left").filter(reached).select("query_id", "course_id", "cell")
-        more = more.join(nearest, ["query_id", "cell"], "left_anti").select("query_id", "course_id", "cell")
-        scored = scored.unionByName(_scored(index, queries, materialize(more, "cells-more"), rows))
+        more = more.join(probed, ["query_id", "cell"], "left_anti").select("query_id", "course_id", "cell")
+        scored = scored.unionByName(_scored(index, queries, materialize(more, "cells-more"), rows, k))
     top = first_rows(scored, ["query_id"], _order(), k, rank="rank")
     return top.withColumn("score", F.round("score", 9))
 

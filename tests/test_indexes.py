@@ -72,3 +72,28 @@ def test_recall_of_the_nearest_cells(spark, sf):
     rows = load().queries["vector_cells_recall"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 20 = 0").count()
     assert sum(r["hits"] for r in rows) >= 0.9 * sum(r["wanted"] for r in rows)
+
+
+def test_blocks_find_what_the_jvm_finds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(240, 6)).astype(np.float32)
+    x[40:60], x[100], x[101, 2] = x[40], 0, np.nan
+    rows = [(str(i % 3), i, i % 2, [float(v) for v in x[i]]) for i in range(240)]
+    rows += [("0", 300, 0, [1.0]), ("1", 301, 0, [None] * 6), ("2", 302, 0, [])]
+    stored = spark.createDataFrame(rows, "course_id string, doc_id long, chunk_index int, embedding array<float>")
+    asked = spark.createDataFrame(
+        [(i, str(i % 3), [float(v) for v in (x[i] if i % 2 else -np.abs(x[i]))]) for i in range(0, 240, 5)]
+        + [(900, "0", None), (901, "1", [0.5]), (902, "2", [0.0] * 6)],
+        "query_id long, course_id string, query_vec array<float>",
+    )
+
+    def hits(made):
+        return sorted((r.query_id, r.rank, r.doc_id, str(r.score)) for r in made.collect())
+
+    few = hits(vector.vector_topk(stored, asked, 12, 51))
+    assert few == hits(vector.vector_topk(stored, asked, 12))
+    blocks = vector.nearest(stored, asked, ["course_id"], 12, block=20, asked=3)
+    assert few == hits(vector._ranked(blocks, 12))
+
+    own = stored.filter("doc_id % 2 = 0 AND size(embedding) = 6").selectExpr("doc_id AS query_id", "course_id", "embedding AS query_vec")
+    assert hits(vector.vector_topk(stored, own, 12, 51)) == hits(vector.vector_topk(stored, own, 12))
