@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -52,27 +53,52 @@ def vocabulary(texts: DataFrame, text: str = "text", size: int = VOCABULARY) ->
     return terms, np.log((n + 1) / (top.column("df").to_numpy() + 0.5))
 
 
-def _rows(tokens: pa.Array, terms: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, term and entry of the weighted table's entries, texts in order."""
+def _places(tokens: pa.Array, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and term of the weighted table's entries, texts in order."""
     row, term = [], []
     for i, own in enumerate(tokens.to_pylist()):
         known = [terms[t] for t in own or () if t in terms]
         term += known
         row += [i] * len(known)
-    row, term = np.array(row, np.int64), np.array(term, np.int64)
+    return np.array(row, np.int64), np.array(term, np.int64)
+
+
+def _entries(row: np.ndarray, term: np.ndarray, idf: np.ndarray) -> np.ndarray:
     value = idf[term] if len(term) else np.zeros(0)
-    size = np.sqrt(np.bincount(row, value * value, minlength=len(tokens)))
-    return row, term, value / size[row]
+    return value / np.sqrt(np.bincount(row, value * value))[row] if len(row) else value
+
+
+def _summed(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows of each key; keys are in order."""
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[starts], np.add.reduceat(rows, starts) if len(starts) else rows
+
+
+def _coded(held) -> Callable:
+    """Places of each text's known terms, looked up once for all rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, term = _places(batch.column("tokens"), held.value)
+            offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array(offsets), pa.array(term.astype(np.int32)))], names=["terms"]
+            )
+
+    return run
 
 
 def _products(held) -> Callable:
     """One task's part of the table's transpose times the table times the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf, block = held.value
+        idf, block = held.value
         total = np.zeros_like(block)
         for batch in batches:
-            row, term, value = _rows(batch.column("tokens"), terms, idf)
+            own = batch.column("terms")
+            many = pa.compute.list_value_length(own).to_numpy(zero_copy_only=False)
+            row, term = np.repeat(np.arange(len(many)), many), own.flatten().to_numpy().astype(np.int64)
+            value = _entries(row, term, idf)
             for at in range(0, len(row), 1 << 15):
                 # Cut between texts.
                 a = np.searchsorted(row, row[at]) if at else 0
@@ -80,9 +106,12 @@ def _products(held) -> Callable:
                 if a >= b:
                     continue
                 r, t, v = row[a:b] - row[a], term[a:b], value[a:b, None]
+                texts, found = _summed(v * block[t], r)
                 image = np.zeros((int(r[-1]) + 1, block.shape[1]))
-                np.add.at(image, r, v * block[t])
-                np.add.at(total, t, v * image[r])
+                image[texts] = found
+                order = np.argsort(t, kind="stable")
+                used, found = _summed((v * image[r])[order], t[order])
+                total[used] += found
         used = np.flatnonzero(total.any(axis=1))
         for at in range(0, len(used), 4096):
             part = used[at : at + 4096]
@@ -99,11 +128,14 @@ def fit(texts: DataFrame, text: str = "text", dim: int = DIM, size: int = VOCABU
     wide = min(dim + EXTRA, len(terms))
     if not wide:
         return Model({}, idf, np.zeros((0, dim)), np.zeros(dim))
-    tokens = materialize(texts.select(tokenize(text).alias("tokens")), "latent-tokens")
+    known = texts.sparkSession.sparkContext.broadcast(terms)
+    coded = texts.select(tokenize(text).alias("tokens")).mapInArrow(_coded(known), "terms array<int>")
+    coded = materialize(coded, "latent-terms")
+    known.unpersist()
     block = np.linalg.qr(np.random.default_rng(SEED).normal(size=(len(terms), wide)))[0]
     for last in [False] * rounds + [True]:
-        held = texts.sparkSession.sparkContext.broadcast((terms, idf, block))
-        parts = tokens.mapInArrow(_products(held), "term long, v array<double>")
+        held = texts.sparkSession.sparkContext.broadcast((idf, block))
+        parts = coded.mapInArrow(_products(held), "term long, v array<double>")
         summed = parts.groupBy("term").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
         # One row a term of the bounded vocabulary.
         found = summed.select("term", vector_to_array("v").alias("v")).toArrow()
@@ -115,7 +147,7 @@ def fit(texts: DataFrame, text: str = "text", dim: int = DIM, size: int = VOCABU
             keep = np.argsort(-values, kind="stable")[:dim]
             vectors = block @ turn[:, keep]
             signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(keep))])
-            release(tokens)
+            release(coded)
             return Model(terms, idf, vectors * signs, np.sqrt(np.maximum(values[keep], 0)))
         block = np.linalg.qr(image)[0]
     raise AssertionError
@@ -133,9 +165,11 @@ def with_embedding(texts: DataFrame, model: Model, text: str = "text", name: str
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = held.value
         for batch in batches:
-            row, term, value = _rows(batch.column("_tokens"), made.terms, made.idf)
+            row, term = _places(batch.column("_tokens"), made.terms)
+            value = _entries(row, term, made.idf)
             x = np.zeros((batch.num_rows, made.vectors.shape[1]))
-            np.add.at(x, row, value[:, None] * made.vectors[term])
+            texts, found = _summed(value[:, None] * made.vectors[term], row)
+            x[texts] = found
             size = np.linalg.norm(x, axis=1)
             known = size > 0
             unit = (x[known] / size[known, None]).astype(np.float32)

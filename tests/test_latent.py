@@ -41,3 +41,19 @@ def test_no_terms(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     model = latent.fit(df)
     assert [r["embedding"] for r in latent.with_embedding(df, model).collect()] == [None, None]
+
+
+def test_terms_are_looked_up_once(spark, monkeypatch):
+    # The rounds read places of terms; only the coding pass reads words.
+    written = []
+    real = latent.materialize
+    monkeypatch.setattr(latent, "materialize", lambda df, name: written.append(df.schema.simpleString()) or real(df, name))
+    texts = spark.createDataFrame([(i, f"a{i % 5} b{i % 3} c") for i in range(40)] + [(50, None), (51, "")], "doc_id long, text string")
+    model = latent.fit(texts, dim=3)
+    assert written == ["struct<terms:array<int>>"] and len(model.terms) == 9
+    table = np.zeros((40, 9))
+    for i in range(40):
+        for w in (f"a{i % 5}", f"b{i % 3}", "c"):
+            table[i, model.terms[w]] = model.idf[model.terms[w]]
+    table /= np.linalg.norm(table, axis=1, keepdims=True)
+    assert np.allclose(np.linalg.svd(table)[1][:3], model.values, atol=1e-6)
