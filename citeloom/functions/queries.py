@@ -35,6 +35,10 @@ CHINESE_ITEM = (
     r"(?m)(?:^|\n)\s*(?:[（(]\s*([一二三四五六七八九十两]{1,3})\s*[）)]|"
     r"([一二三四五六七八九十两]{1,3})\s*[、.])"
 )
+#: Either of the two: they cannot overlap, so one pass finds all of both.
+ANY_ITEM = "(?U)" + ARABIC_ITEM + "|" + CHINESE_ITEM
+#: The signs that every announced count and every cue begins or ends with.
+COUNT_SIGN, CUE_SIGN = "[个条项种步点方类]", "[综如分包归得共]"
 FIGURE_REF = r"(?i)(?:图|figure|fig\.?)\s*([0-9]+(?:[.\-][0-9]+)*)"
 DIGITS = {"一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 
@@ -79,7 +83,7 @@ def is_list_query(query: Column | str) -> Column:
 
 
 def has_list_cue(text: Column | str) -> Column:
-    return as_col(text).rlike(LIST_CUE)
+    return as_col(text).rlike(CUE_SIGN) & as_col(text).rlike(LIST_CUE)
 
 
 def _digit(ch: Column) -> Column:
@@ -105,20 +109,20 @@ def number_value(value: Column | str) -> Column:
     )
 
 
-def _all_groups(text: Column, pattern: str) -> Column:
-    one, two = (F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(i)) for i in (1, 2))
-    return F.filter(F.concat(one, two), lambda v: v != "")
-
-
 def list_item_numbers(text: Column | str) -> Column:
-    """Sorted distinct item numbers of numbered lines."""
-    t = ascii_digits(F.coalesce(as_col(text), F.lit("")))
-    arabic = F.transform(_all_groups(t, ARABIC_ITEM), lambda v: v.cast("int"))
-    chinese = F.filter(
-        F.transform(_all_groups(t, CHINESE_ITEM), chinese_number),
-        lambda n: n.isNotNull() & (n > 0),
+    """Sorted distinct item numbers of numbered lines.
+
+    The whole text is read once; digits are folded in the few signs found.
+    """
+    found = F.regexp_extract_all(F.coalesce(as_col(text), F.lit("")), F.lit(ANY_ITEM), F.lit(0))
+    signs = F.transform(found, lambda m: ascii_digits(F.regexp_extract(m, r"(?U)[\d一二三四五六七八九十两]+", 0)))
+    numbers = F.transform(
+        signs,
+        lambda v: F.when(v.rlike("^[0-9]+$"), v.try_cast("int")).otherwise(
+            F.when(chinese_number(v) > 0, chinese_number(v))
+        ),
     )
-    return F.array_sort(F.array_distinct(F.concat(arabic, chinese)))
+    return F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n.isNotNull())))
 
 
 def expected_list_count(text: Column | str) -> Column:
@@ -127,6 +131,16 @@ def expected_list_count(text: Column | str) -> Column:
     return F.array_max(F.filter(F.transform(found, number_value), lambda n: n.isNotNull()))
 
 
+def count_brief(text: Column | str) -> Column:
+    """What ``expected_list_count`` needs of a line among others.
+
+    A line without a sign that ends a count can only lend its last number to a
+    sign on a later line, so its last three characters stand for it.
+    """
+    t = F.coalesce(as_col(text), F.lit(""))
+    return F.when(t.rlike(COUNT_SIGN), t).otherwise(F.right(F.rtrim(t, F.lit(" \t\n\x0b\f\r")), F.lit(3)))
+
+
 def figure_refs(text: Column | str) -> Column:
     """Figure numbers named in a text, dots folded to dashes."""
     found = F.regexp_extract_all(F.coalesce(as_col(text), F.lit("")), F.lit(FIGURE_REF), F.lit(1))

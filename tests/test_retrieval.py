@@ -166,6 +166,14 @@ def test_list_completion_fills_gaps(spark):
     assert abs(got[(1, 2)]["score"] - (anchor - 0.005 * 3)) < 1e-9
 
 
+def test_list_windows_carry_no_texts(spark):
+    df = chunks(spark, *[chunk(1, i, f"({i}) t") for i in range(3)])
+    anchors = df.withColumns({"query_id": F.lit(1).cast("long"), "score": F.lit(0.5), "position": F.col("chunk_index")})
+    plan = expansion.expand_lists(df, anchors, ask(spark, "九步"), 2)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Aggregate" in x and "collect_list" in x and "anchors" not in x]
+    assert windows and all(" text#" not in x and "brief" in x for x in windows)
+
+
 def test_list_window_equals_brute_force(spark):
     rows = [chunk(d, i, f"t{i}", page=i // 4 + 1 if i % 3 else None) for d in (1, 2) for i in range(60)]
     df = chunks(spark, *rows)

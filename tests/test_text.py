@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,35 @@ def test_list_items(spark):
     assert one(spark, queries.has_list_cue(F.lit("综上所述有三个必要条件"))) is True
 
 
+def test_count_in_briefs_equals_count_in_texts(spark):
+    rng = random.Random(4)
+    bits = ["1", "2", "9", "三", "十二", "步", "个", "方面", "必要", "条件", "a", " ", "\t", "", "xy", "\n"]
+    lines = [["".join(rng.choices(bits, k=rng.randint(0, 7))) for _ in range(5)] for _ in range(400)] + [["a 123 ", "", "步"]]
+    df = spark.createDataFrame([(x,) for x in lines], "lines array<string>")
+    whole, brief = F.array_join("lines", "\n"), F.array_join(F.transform("lines", queries.count_brief), "\n")
+    got = df.select(queries.expected_list_count(whole).alias("w"), queries.expected_list_count(brief).alias("b")).collect()
+    assert [r["w"] for r in got] == [r["b"] for r in got] and got[-1]["b"] == 23 and None in [r["w"] for r in got]
+
+
+def test_list_items_as_two_passes(spark):
+    rng = random.Random(5)
+    bits = ["(", "（", ")", "）", "1", "２", "33", "二", "十", "、", ".", "．", "\n", " ", "\u3000", "a", "\r"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(800)]
+
+    def two(pattern):
+        found = [F.regexp_extract_all("t", F.lit("(?U)" + pattern), F.lit(i)) for i in (1, 2)]
+        return F.filter(F.concat(*found), lambda v: v != "")
+
+    arabic = F.transform(two(queries.ARABIC_ITEM), lambda v: text.ascii_digits(v).cast("int"))
+    chinese = F.filter(F.transform(two(queries.CHINESE_ITEM), queries.chinese_number), lambda n: n > 0)
+    both = F.array_sort(F.array_distinct(F.concat(arabic, chinese)))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(both.alias("two"), queries.list_item_numbers("t").alias("one")).collect()
+    assert [r["two"] for r in got] == [r["one"] for r in got] and sum(map(len, (r["one"] for r in got))) > 50
+    # A digit of another script is no number of an item; it used to end the query.
+    assert one(spark, queries.list_item_numbers(F.lit("(٣) a\n(2) b"))) == [2]
+
+
 def test_evidence_metadata(spark):
     body = "国家标准\n版本：2.1\n生效日期：2024年3月5日\n有效期至 2026-01-31\n适用范围：全体学生"
     got = one(spark, evidence.evidence_metadata(F.lit(body), F.lit("x.pdf"))).asDict()
