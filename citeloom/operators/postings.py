@@ -28,8 +28,8 @@ from citeloom.session import materialize, release, shared_path
 
 #: Document ids of a range, and partitions of the stored postings.
 SPAN, PARTS = 256, 16
-#: Tasks that the blocks of a partition are dealt to.
-SALTS = 2
+#: Tasks that the ranges are dealt to at least, and postings of a task.
+TASKS, TASK_POSTINGS = 8, 1 << 19
 #: Ranges of each question that are scored first.
 SEEDS = 4
 #: Bounds and scores are sums of rounded numbers.
@@ -52,32 +52,36 @@ def _part(parts: int) -> Column:
     return F.pmod(F.xxhash64("course_id", "token"), F.lit(parts)).cast("int")
 
 
-def build(chunks: DataFrame, path: str | None = None, span: int = SPAN, parts: int = PARTS) -> Index:
+def build(
+    chunks: DataFrame, path: str | None = None, span: int = SPAN, parts: int = PARTS, task_postings: int = TASK_POSTINGS
+) -> Index:
     """Write the index of ``chunks`` below ``path``, by default in the shared folder.
 
     Chunks whose course or document id is null are found by no question and left out.
+    A chunk travels as one row to the task of its range of ids and becomes postings there.
     """
     spark = chunks.sparkSession
     path = path or shared_path(spark, "postings")
     keyed = chunks.filter(F.col("course_id").isNotNull() & F.col("doc_id").isNotNull())
     held = materialize(tokenized(keyed), "postings-tokens")
     held.groupBy("course_id").agg(F.count("*").alias("n"), F.sum("dl").alias("total_dl")).write.parquet(f"{path}/courses")
-    posts = unnest(held, "tokens", "token", "course_id", "doc_id", "chunk_index", "dl")
+    total = spark.read.schema("total_dl long").parquet(f"{path}/courses").agg(F.sum("total_dl")).first()[0] or 0
+    # Ranges are dealt, not tokens, so the blocks of a common token go to all tasks.
     block = F.floor(F.col("doc_id") / span).cast("long")
-    rows = posts.groupBy("course_id", "token", block.alias("block")).agg(
+    ranges = held.withColumn("block", block).repartition(max(TASKS, -(-total // task_postings)), "block")
+    posts = unnest(ranges, "tokens", "token", "course_id", "block", "doc_id", "chunk_index", "dl")
+    rows = posts.groupBy("course_id", "token", "block").agg(
         F.count("*").alias("n"),
         F.min("dl").alias("min_dl"),
         F.array_sort(F.collect_list(F.struct("doc_id", "chunk_index", "dl"))).alias("rows"),
     )
-    packed = rows.select(
+    dealt = rows.select(
         "course_id", "token", "block", "n", "min_dl",
         F.transform("rows", lambda r: (r["doc_id"] - F.col("block") * span).cast("int")).alias("docs"),
         F.transform("rows", lambda r: r["chunk_index"]).alias("chunks"),
         F.transform("rows", lambda r: r["dl"]).alias("dls"),
         _part(parts).alias("part"),
-    )
-    # The blocks of a common token go to as many tasks as there are salts.
-    dealt = packed.repartition("part", F.pmod("block", F.lit(SALTS))).sortWithinPartitions("part", "course_id", "token", "block")
+    ).sortWithinPartitions("part", "course_id", "token", "block")
     dealt.write.partitionBy("part").parquet(f"{path}/blocks")
     release(held)
     opened = spark.read.schema(dealt.schema).parquet(f"{path}/blocks")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from citeloom.operators import cells, lexical, postings, vector
+from citeloom.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +39,23 @@ def test_indexed_search_equals_bm25(spark, chunks):
     assert 0 < kept.count() < ranges.count()
 
 
+def shuffled_records(spark):
+    context = spark.sparkContext
+    nothing = context._jvm.java.util.ArrayList()
+    store = context._jsc.sc().statusStore()
+    stages = store.stageList(nothing, False, False, context._gateway.new_array(context._jvm.double, 0), nothing)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_postings_are_not_shuffled(spark, chunks):
+    stored = materialize(chunks.dropna(subset=["text"]), "chunks")
+    before = shuffled_records(spark)
+    index = postings.build(stored, span=16, parts=4, task_postings=1000)
+    moved = shuffled_records(spark) - before
+    # One row a chunk and the partial counts of terms; it was each posting, twice.
+    assert moved < 0.8 * index.terms.agg({"df": "sum"}).first()[0]
+
+
 def test_index_without_rows(spark, chunks):
     queries = spark.createDataFrame([(1, "a", "w1")], "query_id long, course_id string, query_text string")
     assert postings.topk(postings.build(chunks.filter("doc_id = 10000000")), queries, 3).count() == 0
