@@ -79,11 +79,10 @@ def shingles(value: Column | str, size: int = 5) -> Column:
     """Distinct non-overlapping character shingles of the whole whitespace-free text."""
     norm = F.lower(squeeze(F.coalesce(as_col(value), F.lit(""))))
     # Consecutive matches of a fixed length are the non-overlapping pieces; a
-    # lambda over start positions would evaluate the text once per piece.
-    pieces = F.array_distinct(F.regexp_extract_all(norm, F.lit(f"(?s).{{{size}}}"), F.lit(0)))
-    return F.when(norm == "", F.array().cast("array<string>")).otherwise(
-        F.when(F.size(pieces) == 0, F.array(norm)).otherwise(pieces)
-    )
+    # lambda over start positions would evaluate the text once per piece.  A
+    # shorter text is a match as a whole, so the text is cut once.
+    short = f"|\\A.{{1,{size - 1}}}\\z" if size > 1 else ""
+    return F.array_distinct(F.regexp_extract_all(norm, F.lit(f"(?s).{{{size}}}{short}"), F.lit(0)))
 
 
 def stem_key(value: Column | str) -> Column:

@@ -65,56 +65,54 @@ def similar_earlier(
     * a pair needs sizes within a factor ``t`` and enough common shingles in the
       prefixes to reach ``t`` at all; only such pairs are verified on full sets.
 
+    Pairs are found by a hash of family and shingle and by row numbers, so no text is
+    shuffled for that.  A collision can only add pairs: shingles of one hash have one
+    rank.  Pairs are verified on the shingles and the family itself.
+
     Output: doc_id, best_doc, similarity (NULL without a match at ``threshold``).
     """
     # The sets feed several joins; they are cut once and read back by column.
-    sets = materialize(shingle_sets(docs, keys), "shingles")
+    sets = materialize(shingle_sets(docs, keys).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    known = sets.dropna(subset=keys)
     reps = distinct_sets(sets, keys)
     members = sets.select(*keys, "doc_id", "n", "sig", "sig2")
-    owned = sets.join(reps.select(*keys, F.col("rep").alias("doc_id")), [*keys, "doc_id"], "left_semi")
-    tokens = unnest(owned, "set", "shingle", *keys, F.col("doc_id").alias("rep"), "n")
-    freq = tokens.groupBy(*keys, "shingle").agg(F.count("*").alias("df"))
-    # A shingle found in one set only cannot link two sets; it still counts in
-    # the rank, which the sizes below account for.
-    shared = freq.filter("df > 1")
-    linked = tokens.join(shared, [*keys, "shingle"])
-    singles = F.col("n") - F.count("*").over(Window.partitionBy(*keys, "rep"))
-    place = F.row_number().over(
-        Window.partitionBy(*keys, "rep").orderBy("df", "shingle")
-    )
+    firsts = known.filter("n > 0").groupBy(*keys, "n", "sig", "sig2").agg(F.min(F.struct("doc_id", "row")).alias("f"))
+    owned = known.select(*keys, "row", "doc_id", "n", "set").join(firsts.select("f.row"), "row", "left_semi")
+    # A shingle found in one set only cannot link two sets, but has a rank: the
+    # rarest come first, so ranks are counted from the end.
+    df = F.count("*").over(Window.partitionBy("mark"))
+    tokens = unnest(owned, "set", "shingle", *keys, "row", F.col("doc_id").alias("rep"), "n")
+    marked = tokens.select(F.xxhash64(*keys, "shingle").alias("mark"), "row", "rep", "n")
+    linked = marked.withColumn("df", df).filter("df > 1")
+    back = Window.partitionBy("row").orderBy(F.desc("df"), F.desc("mark"))
+    from_end = F.count("*").over(back.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     prefix = (
-        linked.withColumn("place", place + singles)
-        .filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-        .select(*keys, "shingle", "rep", "n")
-    )
-    later = prefix.withColumnsRenamed({"rep": "rep_b", "n": "n_b"})
-    # Common shingles outside both prefixes lie in the suffix of one side, and a
-    # Jaccard of t needs t / (1 + t) of the summed sizes in common.
-    suffix = F.ceil(F.greatest("n", "n_b") * threshold - 1e-9) - 1
-    needed = (F.col("n") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
+        linked.withColumn("from_end", from_end)
+        .filter(F.col("from_end") >= F.ceil(F.col("n") * threshold - 1e-9))
+        .select("mark", "row", "rep", "n", "from_end")
+    )
+    # Common shingles outside both prefixes come after the last that met on both
+    # sides, and a Jaccard of t needs t / (1 + t) of the summed sizes in common.
+    n_a, n_b = F.col("a.n"), F.col("b.n")
+    needed = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
     pairs = (
-        prefix.join(later, [*keys, "shingle"])
-        .filter(
-            (F.col("rep") < F.col("rep_b"))
-            & (F.least("n", "n_b") >= F.greatest("n", "n_b") * threshold - 1e-9)
-        )
-        .groupBy(*keys, "rep", "rep_b", "n", "n_b")
-        .agg(F.count("*").alias("met"))
-        .filter(F.col("met") + suffix >= needed)
-        .select(*keys, "rep", "rep_b")
+        prefix.alias("a").join(prefix.alias("b"), "mark")
+        .filter((F.col("a.rep") < F.col("b.rep")) & (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * threshold - 1e-9))
+        .groupBy(F.col("a.row").alias("row_a"), F.col("b.row").alias("row_b"), n_a.alias("n_a"), n_b.alias("n_b"))
+        .agg(F.count("*").alias("met"), F.min(F.least("a.from_end", "b.from_end")).alias("left"))
+        .filter(F.col("met") + F.col("left") - 1 >= needed)
+        .select("row_a", "row_b")
+    )
+    first, second = (
+        known.select(F.col("row").alias(f"row_{x}"), F.struct(*keys).alias(f"family_{x}"), F.col("doc_id").alias(doc), F.col("set").alias(f"set_{x}"))
+        for x, doc in (("a", "rep"), ("b", "rep_b"))
     )
-    first = sets.select(*keys, F.col("doc_id").alias("rep"), "set")
-    second = sets.select(*keys, F.col("doc_id").alias("rep_b"), F.col("set").alias("set_b"))
     checked = (
-        pairs.join(first, [*keys, "rep"])
-        .join(second, [*keys, "rep_b"])
-        .withColumn("common", F.size(F.array_intersect("set", "set_b")))
-        .select(
-            *keys, "rep", "rep_b",
-            (F.col("common") / (F.size("set") + F.size("set_b") - F.col("common"))).alias(
-                "similarity"
-            ),
-        )
+        pairs.join(first, "row_a")
+        .join(second, "row_b")
+        .filter("family_a = family_b")
+        .withColumn("similarity", jaccard())
+        .select("family_b.*", "rep", "rep_b", "similarity")
         .filter(F.col("similarity") >= threshold)
     )
     best = first_rows(

@@ -122,6 +122,14 @@ def test_list_items_as_two_passes(spark):
     assert one(spark, queries.list_item_numbers(F.lit("(٣) a\n(2) b"))) == [2]
 
 
+def test_short_texts_are_one_shingle(spark):
+    cases = {"": [], " \n": [], "A b": ["ab"], "abcde": ["abcde"], "abcdefg": ["abcde"], "abcdeABCDE xyzzy": ["abcde", "xyzzy"]}
+    for body, want in cases.items():
+        assert one(spark, text.shingles(F.lit(body))) == want
+    plan = spark.createDataFrame([("a",)], "t string").select(text.shingles("t").alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_extract_all") == 1  # the text was cut twice
+
+
 def test_evidence_metadata(spark):
     body = "国家标准\n版本：2.1\n生效日期：2024年3月5日\n有效期至 2026-01-31\n适用范围：全体学生"
     got = one(spark, evidence.evidence_metadata(F.lit(body), F.lit("x.pdf"))).asDict()
