@@ -11,6 +11,11 @@ CJK_PATTERN = "[一-鿿㐀-䶿豈-﫿]+"
 
 #: Unicode-aware whitespace class (Java's plain ``\s`` is ASCII only).
 SPACE = r"(?U)\s"
+#: The characters of that class.
+SPACES = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def as_col(value: Column | str) -> Column:
@@ -23,8 +28,8 @@ def ascii_digits(value: Column | str) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    """Trim Unicode whitespace from both ends."""
-    return F.regexp_replace(as_col(value), r"(?U)^\s+|\s+$", "")
+    """Trim Unicode whitespace from both ends; what lies between is not read."""
+    return F.btrim(as_col(value), F.lit(SPACES))
 
 
 def collapse_space(value: Column | str) -> Column:

@@ -122,6 +122,15 @@ def test_list_items_as_two_passes(spark):
     assert one(spark, queries.list_item_numbers(F.lit("(٣) a\n(2) b"))) == [2]
 
 
+def test_strip_is_the_space_class(spark):
+    points = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([(c + "a" + c + "b" + c,) for c in points], "t string")
+    old = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert df.filter(text.strip("t") != old).count() == 0 and df.filter(text.strip("t") != F.col("t")).count() == len(text.SPACES)
+    # The middle of a long run of blanks was walked once for every blank.
+    assert one(spark, F.length(text.strip(F.concat(F.lit("a"), F.repeat(F.lit(" "), F.lit(200_000)), F.lit("b"))))) == 200_002
+
+
 def test_short_texts_are_one_shingle(spark):
     cases = {"": [], " \n": [], "A b": ["ab"], "abcde": ["abcde"], "abcdefg": ["abcde"], "abcdeABCDE xyzzy": ["abcde", "xyzzy"]}
     for body, want in cases.items():
