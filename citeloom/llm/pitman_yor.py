@@ -50,6 +50,8 @@ STRENGTH = (2.0, 2.0)
 PART_TOKENS = 2 << 20
 #: Texts and bytes of a block; a longer text is a block of its own.
 BLOCK_TEXTS, BLOCK_BYTES = 8192, 16 << 20
+#: Bytes of a step between sorted hashes that are as good as random.
+LOW_BYTES = 5
 #: Dishes that are merged at once.
 MERGED = 4 << 20
 
@@ -67,8 +69,17 @@ def _unpack(cell: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(cell[1:]), f"u{cell[0]}").astype(np.int64)
 
 
-def _hashes(cell: bytes) -> np.ndarray:
-    return np.frombuffer(cell, np.uint64)
+def _pack_hashes(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as their steps, byte by byte; the low bytes do not compress."""
+    steps = np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    low = steps[:LOW_BYTES].tobytes()
+    return low + zlib.compress(steps[LOW_BYTES:].tobytes(), 1)
+
+
+def _hashes(cell: bytes, n: int) -> np.ndarray:
+    """The n hashes of a cell."""
+    steps = np.frombuffer(cell[: LOW_BYTES * n] + zlib.decompress(cell[LOW_BYTES * n :]), np.uint8)
+    return np.cumsum(np.ascontiguousarray(steps.reshape(8, n).T).view(np.uint64).reshape(n), dtype=np.uint64)
 
 
 def _range(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -107,11 +118,18 @@ class Dishes:
     doc: np.ndarray | None = None
 
     def cells(self) -> list[bytes]:
-        return [self.before.tobytes(), _pack(self.runs), self.vocabulary.tobytes(), _pack(self.word), _pack(self.count)]
+        sizes = np.array([len(self.before), len(self.vocabulary)]).tobytes()
+        return [
+            sizes + _pack_hashes(self.before), _pack(self.runs), _pack_hashes(self.vocabulary), _pack(self.word),
+            _pack(self.count),
+        ]
 
     @staticmethod
     def read(cells: list[bytes]) -> "Dishes":
-        return Dishes(_hashes(cells[0]), _unpack(cells[1]), _hashes(cells[2]), _unpack(cells[3]), _unpack(cells[4]))
+        houses, words_ = np.frombuffer(cells[0], np.int64, 2).tolist()
+        return Dishes(
+            _hashes(cells[0][16:], houses), _unpack(cells[1]), _hashes(cells[2], words_), _unpack(cells[3]), _unpack(cells[4])
+        )
 
     @property
     def house(self) -> np.ndarray:
@@ -360,7 +378,7 @@ def _upward(place: int, own: Dishes, tables: np.ndarray, ranges: int, spread: Sp
     to = _range(own.vocabulary, ranges)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [n]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        words_too = [own.vocabulary[a:b].tobytes(), _pack(count[a:b])] if first else []
+        words_too = [_pack_hashes(own.vocabulary[a:b]), _pack(count[a:b])] if first else []
         rows.append((_UP, int(to[a]), place, [_pack(sent[a:b]), *words_too], None))
     ones = [float((own.count == 1).sum()), float((own.count == 2).sum())]
     rows.append((_TOTAL, place, 0, None, [*ones, float(own.count.sum())]))
@@ -407,12 +425,14 @@ def _rooted(totals: Totals | None, number: int):
     def run(roster: pa.Table, sent: pa.Table) -> pa.Table:
         rows = sorted(roster.to_pylist(), key=lambda r: r["tag"])
         place = rows[0]["place"]
-        word, inverse = np.unique(np.concatenate([_hashes(r["data"][1]) for r in rows]), return_inverse=True)
+        known = [_unpack(r["data"][2]) for r in rows]
+        own_words = [_hashes(r["data"][1], len(k)) for r, k in zip(rows, known, strict=True)]
+        word, inverse = np.unique(np.concatenate(own_words), return_inverse=True)
         messages = sent.to_pylist()
         new = {r["tag"]: r["data"] for r in (messages if number else rows) if r["kind"] == _UP}
         customers, count = (
             np.bincount(inverse, np.concatenate(v), len(word)).astype(np.int64)
-            for v in ([_unpack(new[r["tag"]][0]) for r in rows], [_unpack(r["data"][2]) for r in rows])
+            for v in ([_unpack(new[r["tag"]][0]) for r in rows], known)
         )
         if totals is None:
             tables = np.minimum(customers, 1)
@@ -422,8 +442,8 @@ def _rooted(totals: Totals | None, number: int):
         sums = [customers.sum(), tables.sum(), (count > 0).sum(), (customers == 1).sum(), (customers == 2).sum()]
         out = [(_ROOT, place, 0, [_pack(tables)], [float(v) for v in sums])]
         at = 0
-        for r in rows:
-            own = inverse[at : at + len(r["data"][1]) // 8]
+        for r, k in zip(rows, known, strict=True):
+            own = inverse[at : at + len(k)]
             at += len(own)
             values = (customers, tables) if number else (customers, tables, count)
             out.append((_DOWN, r["tag"], place, [_pack(v[own]) for v in values], None))

@@ -421,6 +421,18 @@ def test_language_model_without_training_rows(spark):
     assert pitman_yor.likelihoods(frame(spark, [])).count() == 0
 
 
+def test_hashes_of_dishes_are_packed_whole():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 20_000):
+        before, words = (np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for _ in range(2))
+        runs, word = np.ones(n, np.int64), np.arange(n)
+        cells = pitman_yor.Dishes(before, runs, words, word, word).cells()
+        got = pitman_yor.Dishes.read(cells)
+        assert (got.before == before).all() and (got.vocabulary == words).all() and (got.word == word).all()
+    # Eight bytes each before.
+    assert len(cells[0]) + len(cells[2]) < 0.85 * 16 * n
+
+
 def test_predictive_probabilities_add_up():
     """Over all known words and one unknown, in a context seen and one not."""
     texts = pa.array(["a b a c", "b a b b", "c c a", "a b"])
