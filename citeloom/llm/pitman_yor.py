@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import gc
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -58,27 +57,39 @@ MERGED = 4 << 20
 _END, _START = np.uint64(0x5EED_0F_E0D), np.uint64(0x5EED_0F_57A7)
 
 
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def _whole_again(cell: bytes) -> bytes:
+    size = int.from_bytes(cell[:8], "little")
+    return _CODEC.decompress(cell[8:], decompressed_size=size, asbytes=True) if size else b""
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Whole numbers, most of them small, as a short cell."""
     top = int(values.max()) if len(values) else 0
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + zlib.compress(values.astype(kind).tobytes(), 1)
+    return bytes([np.dtype(kind).itemsize]) + _squeezed(values.astype(kind).tobytes())
 
 
 def _unpack(cell: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(cell[1:]), f"u{cell[0]}").astype(np.int64)
+    return np.frombuffer(_whole_again(cell[1:]), f"u{cell[0]}").astype(np.int64)
 
 
 def _pack_hashes(hashes: np.ndarray) -> bytes:
     """Sorted hashes as their steps, byte by byte; the low bytes do not compress."""
     steps = np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
     low = steps[:LOW_BYTES].tobytes()
-    return low + zlib.compress(steps[LOW_BYTES:].tobytes(), 1)
+    return low + _squeezed(steps[LOW_BYTES:].tobytes())
 
 
 def _hashes(cell: bytes, n: int) -> np.ndarray:
     """The n hashes of a cell."""
-    steps = np.frombuffer(cell[: LOW_BYTES * n] + zlib.decompress(cell[LOW_BYTES * n :]), np.uint8)
+    steps = np.frombuffer(cell[: LOW_BYTES * n] + _whole_again(cell[LOW_BYTES * n :]), np.uint8)
     return np.cumsum(np.ascontiguousarray(steps.reshape(8, n).T).view(np.uint64).reshape(n), dtype=np.uint64)
 
 
