@@ -11,6 +11,7 @@ can lie in any store Spark reads; the frequency table lies beside them.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -38,20 +39,70 @@ _LOW = np.uint64(1 << 31)
 CHECKPOINT = 128
 #: A block is closed at so many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 19
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 3 << 18
-FIRSTS = 1 << 15
 #: Bytes of text that are encoded together.
-TOGETHER = 4 << 20
+TOGETHER = 16 << 20
+#: Bytes of pre-tokens whose ids a worker remembers.
+REMEMBERED = 24 << 20
+#: Characters the model reads at a time.
+CHUNK = 2000
+
+#: Letters of the commonest scripts, and what a plain piece of text holds: these, ASCII
+#: but control characters and the apostrophe, and single line ends between them.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΆΈ-ΊΌΎ-ΡΣ-ώЀ-ҁҊ-ԯא-תؠ-يぁ-ゖァ-ヺ一-龥가-힣"
+_PLAIN = f"^[!-&(-@\\[-`{{-~{LETTERS}]+(?:\n[!-&(-@\\[-`{{-~{LETTERS}]+)*$"
+#: Classes of a plain piece's bytes: punctuation, letters, digits, line end, the space before it.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_CLASS[0x30:0x3A] = 2
+_CLASS[0x0A] = 3
+_SPACE = 4
+_CLASS[0x20] = _SPACE
+#: A byte no text holds; it stands after each pre-token the model reads.
+_END = 0xFF
+
+
+def _byte_characters() -> np.ndarray:
+    """The character by which a byte-level model reads each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = np.zeros(256, "<u2")
+    out[shown] = shown
+    hidden = np.setdiff1d(np.arange(256), shown)
+    out[hidden] = 0x100 + np.arange(len(hidden))
+    return out
+
+
+_CHARACTERS = _byte_characters()
+
+
+def _separable(path: str) -> bool:
+    """Whether text is cut by the usual byte-level pattern, and the byte that no text
+    holds is a token that merges with nothing."""
+    with open(path, encoding="utf-8") as f:
+        read = json.load(f)
+    cut, model = read.get("pre_tokenizer") or {}, read["model"]
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return False
+    if read.get("normalizer") or model.get("type") != "BPE" or model.get("dropout"):
+        return False
+    if model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        return False
+    sign = chr(_CHARACTERS[_END])
+    return sign in model["vocab"] and not any(sign in part for m in model["merges"] for part in m)
 
 
 class Encoder:
-    """Ids of texts by the tokenizer, remembering the ids of repeated pieces.
+    """Ids of texts by the tokenizer, which encodes equal pieces of a column once
+    and remembers pre-tokens.
 
     Texts are cut before every space that is followed by anything but white space.
     The tokenizer's own pattern never joins text across such a place, so the ids
     of the pieces, one after the other, are those of the text.  Texts that hold an
     added token, which may reach over such places, are encoded as a whole.
+
+    The pattern cuts plain pieces into pre-tokens wherever the class of the characters
+    changes.  A sign that merges with nothing is put between new pre-tokens, so that the
+    tokenizer's model reads many of them as one.  Other pieces go through the whole
+    tokenizer, as all texts do if its file names another pattern.
     """
 
     def __init__(self, path: str):
@@ -59,101 +110,136 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        (self.border,) = self.tokenizer.encode("\n\n", add_special_tokens=False).ids
-        self.marks = {m: self.whole(m) for m in ".,"}
-        self.cut = self.tokenizer.model.tokenize
-        #: The model's sign for a space.
-        self.space = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
-        self.known: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
+        border = self.tokenizer.encode("\n\n", add_special_tokens=False).ids
+        self.separable = len(border) == 1 and _separable(path)
+        if self.separable:
+            (self.border,) = border
+            self.model = Tokenizer(self.tokenizer.model)
+            self.end = self.tokenizer.token_to_id(chr(_CHARACTERS[_END]))
+        self.known = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_binary())
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of ASCII letters after a space: one pre-token, straight to the model."""
-        return array("H", [t.id for t in self.cut(self.space + word)]).tobytes()
-
-    def _first(self, piece: str) -> bytes:
-        """Ids of a text's first piece."""
-        ids = self.firsts.get(piece)
-        if ids is None:
-            ids = self.whole(piece)
-            if len(self.firsts) < FIRSTS:
-                self.firsts[piece] = ids
-        return ids
-
-    def learn(self, pieces: set[str]) -> tuple[set[str], dict[str, bytes]]:
-        """Remember pieces that follow a space.
-
-        Returns those that begin with white space, and the ids of those with a line
-        end, which hardly come again and are not remembered.
-        """
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known = {}
-        known, marks, rest, once = self.known, self.marks, set(), {}
-        for p in pieces:
-            if p.isascii() and p.isalpha():
-                known[p] = self._word(p)
-            elif p[-1:] in marks and p[:-1].isalpha():
-                # Letters and the mark after them are pre-tokens of their own.
-                head = known.get(p[:-1])
-                if head is None and p.isascii():
-                    head = self._word(p[:-1])
-                if head is None:
-                    rest.add(p)
-                else:
-                    known[p] = head + marks[p[-1]]
+    def _read(self, tokens: pa.Array) -> pa.Array:
+        """Ids of pre-tokens by the model."""
+        if not len(tokens):
+            return pa.array([], pa.large_binary())
+        data, at = _bytes(tokens)
+        marked = np.insert(data, at[1:], np.uint8(_END))
+        text = _CHARACTERS[marked].tobytes().decode("utf-16-le")
+        stops = at[1:] + np.arange(1, len(at))
+        cuts = stops[np.diff(stops // CHUNK, append=-1) != 0].tolist()
+        chunks = [text[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        read = array("H")
+        for some in self.model.encode_batch_fast(chunks, add_special_tokens=False):
+            read.fromlist(some.ids)
+        ids = np.frombuffer(read, np.uint16)
+        ends = np.flatnonzero(ids == self.end)
+        return _binary(ids[ids != self.end], 2 * np.append(0, ends - np.arange(len(ends))))
+
+    def _learn(self, tokens: pa.Array) -> pa.Array:
+        """Ids of distinct pre-tokens, which are remembered."""
+        found = pc.index_in(tokens, value_set=self.known)
+        new = tokens.filter(found.is_null())
+        ids = pa.concat_arrays([self.ids, self._read(new)])
+        at = found.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        own = ids.take(pa.array(at))
+        if self.known.nbytes + new.nbytes <= REMEMBERED:
+            self.known, self.ids = pa.concat_arrays([self.known, new]), ids
+        else:  # begin again with those of this column
+            kept = len(tokens) if tokens.nbytes <= REMEMBERED else 0
+            self.known, self.ids = pa.concat_arrays([tokens.slice(0, kept)]), pa.concat_arrays([own.slice(0, kept)])
+        return own
+
+    def _plain(self, pieces: pa.Array, spaced: np.ndarray) -> pa.Array:
+        """Ids of plain pieces, of those that are ``spaced`` with a space before them."""
+        if not len(pieces):
+            return pa.array([], pa.large_binary())
+        data, at = _bytes(pieces)
+        data = np.insert(data, at[:-1][spaced], np.uint8(0x20))
+        at = at + np.append(0, np.cumsum(spaced))
+        kind = _CLASS[data]
+        change = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+        change[at[1:-1] - 1] = True
+        cuts = np.concatenate([[0], np.flatnonzero(change) + 1, at[-1:]])
+        tokens = _binary(data, cuts, pa.large_string()).dictionary_encode()
+        data, ends = _bytes(self._learn(tokens.dictionary).take(tokens.indices))
+        return _binary(data, ends[np.searchsorted(cuts, at)])
+
+    def _other(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that follow a space and do not begin with white space."""
+        ids: list[bytes] = [b""] * len(pieces)
+        together = []
+        for i, p in enumerate(pieces):
+            if p[-1] < "!" or p[-1].isspace() or "\n\n" in p:
+                ids[i] = self.whole(" " + p)
             else:
-                rest.add(p)
-        unsafe = {p for p in rest if not p or p[0] < "!" or p[0].isspace()}
-        alone = {p for p in rest - unsafe if p[-1] < "!" or p[-1].isspace() or "\n\n" in p}
-        for p in alone:
-            once[p] = self.whole(" " + p)
-        together = list(rest - unsafe - alone)
+                together.append(i)
         if together:
             # An empty line between two pieces is one token that no piece holds.
-            text = " " + "\n\n ".join(together)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
-            ends = np.append(np.flatnonzero(ids == self.border), len(ids))
-            blob, at = ids.tobytes(), 0
-            for piece, end in zip(together, (2 * ends).tolist(), strict=True):
-                (once if "\n" in piece else known)[piece] = blob[at:end]
+            text = " " + "\n\n ".join([pieces[i] for i in together])
+            read = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+            ends = np.append(np.flatnonzero(read == self.border), len(read))
+            blob, at = read.tobytes(), 0
+            for i, end in zip(together, (2 * ends).tolist(), strict=True):
+                ids[i] = blob[at:end]
                 at = end + 2
-        return unsafe, once
+        return ids
+
+    def _pieces(self, pieces: pa.Array, firsts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Ids of pieces that follow a space and of those that begin a text, each one's
+        place among them, and which pieces begin with white space."""
+        n = len(pieces)
+        both = pa.concat_arrays([pieces, firsts])
+        plain = pc.match_substring_regex(both, _PLAIN).to_numpy(zero_copy_only=False)
+        chosen, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        texts = both.take(pa.array(rest)).to_pylist()
+        unsafe = np.zeros(len(both), bool)
+        others, whole = [], [b""] * len(rest)
+        for k, (i, p) in enumerate(zip(rest.tolist(), texts, strict=True)):
+            if i >= n:
+                whole[k] = self.whole(p)
+            elif not p or p[0] < "!" or p[0].isspace():
+                unsafe[i] = True
+            else:
+                others.append(k)
+        for k, ids in zip(others, self._other([texts[k] for k in others]), strict=True):
+            whole[k] = ids
+        ids = self._plain(both.take(pa.array(chosen)), chosen < n)
+        ids = pa.concat_arrays([ids, pa.array(whole, pa.large_binary())])
+        place = np.empty(len(both), np.int32)
+        place[chosen], place[rest] = np.arange(len(chosen)), len(chosen) + np.arange(len(rest))
+        return ids, place, unsafe
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a column of texts, one after the other, and the number of each text's."""
         if not len(texts):
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        if not self.separable:
+            parts = [self.whole(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(parts), np.uint16), np.array([len(p) // 2 for p in parts])
         added = np.zeros(len(texts), bool)
         for token in self.added:
             added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         cuttable = pc.if_else(pa.array(added), "", texts) if added.any() else texts
         lists = pc.split_pattern(cuttable.cast(pa.large_string()), " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        values = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
         bounds -= bounds[0]
-        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int32)
+        coded = values.dictionary_encode()
         # A text's first piece has no space before it and is an entry of its own.
-        first = [pieces[i] for i in at[bounds[:-1]].tolist()]
-        at[bounds[:-1]] = len(pieces) + np.arange(len(texts))
-        ids = list(map(self.known.get, pieces))
-        gaps = [i for i, x in enumerate(ids) if x is None]
-        unsafe, once = self.learn({pieces[i] for i in gaps}) if gaps else (set(), {})
-        for i in gaps:
-            ids[i] = self.known.get(pieces[i]) or once.get(pieces[i], b"")
-        ids += map(self._first, first)
-        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 2
-        start = np.cumsum(size, dtype=np.int32) - size
-        own = size[at]
-        ends = np.cumsum(own, dtype=np.int32)
-        out = np.frombuffer(b"".join(ids), np.uint16)[np.repeat(start[at] - ends + own, own) + np.arange(ends[-1], dtype=np.int32)]
-        counts = np.add.reduceat(own, bounds[:-1]).astype(np.int64)
-        if unsafe:
-            flags = np.fromiter((p in unsafe for p in pieces), bool, len(pieces))
-            hit = np.flatnonzero(np.append(flags, np.zeros(len(texts), bool))[at])
-            added[np.searchsorted(bounds, hit, "right") - 1] = True
+        firsts = values.take(pa.array(bounds[:-1]))
+        at = coded.indices.to_numpy().astype(np.int32)
+        at[bounds[:-1]] = len(coded.dictionary) + np.arange(len(texts))
+        ids, place, unsafe = self._pieces(coded.dictionary, firsts)
+        data, ends = _bytes(ids.take(pa.array(place[at])))
+        out = data.view(np.uint16)
+        counts = np.diff(ends[bounds]) // 2
+        if unsafe.any():
+            added[np.searchsorted(bounds, np.flatnonzero(unsafe[at]), "right") - 1] = True
         if added.any():
             out, counts = self._mended(texts, out, counts, np.flatnonzero(added))
         return out, counts
@@ -166,6 +252,20 @@ class Encoder:
         return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of an array of large strings or binaries, and the ends of its values after 0."""
+    _, at, data = values.buffers()
+    ends = np.frombuffer(at, np.int64)[values.offset : values.offset + len(values) + 1]
+    held = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return held[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _binary(data: np.ndarray, ends: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """Values that lie one after the other, given their ends after 0."""
+    buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]
+    return pa.Array.from_buffers(kind or pa.large_binary(), len(ends) - 1, buffers)
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
