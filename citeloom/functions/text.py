@@ -49,7 +49,7 @@ def let(value: Column, use) -> Column:
 
 def is_blank(value: Column | str) -> Column:
     c = as_col(value)
-    return c.isNull() | (squeeze(c) == "")
+    return c.isNull() | (strip(c) == "")
 
 
 def _cjk_grams(run: Column) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from citeloom.functions import markup
 from citeloom.functions.text import join_references, squeeze, strip
 from citeloom.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
-from citeloom.operators.ordered import carry_last
 
 CAPTION_TYPES = ("image_caption", "table_caption", "figure_caption")
 FORMULA_BLOCKS = ("formula", "formula_inline")
@@ -42,9 +41,9 @@ def content_items(docs: DataFrame, payload: str = "payload") -> DataFrame:
         F.from_json(raw, f"struct<data:struct<content_list:{items}>>")["data"]["content_list"],
     )
     both = F.when(F.btrim(raw).startswith("["), F.from_json(raw, items)).otherwise(listed)
-    return docs.select("doc_id", F.posexplode(both).alias("pos", "item")).select(
-        "doc_id", "pos", "item.*"
-    )
+    # An inner explode would parse the JSON once more, for a test of its size.
+    rows = docs.select("doc_id", F.posexplode_outer(both).alias("pos", "item"))
+    return rows.filter("pos IS NOT NULL").select("doc_id", "pos", "item.*")
 
 
 def _struct_fields() -> str:
@@ -109,6 +108,38 @@ def markdown_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
     return annotate(both.withColumns({"page": F.lit(None).cast("int"), "pos": F.col("ord")}))
 
 
+def captioned(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Items with what ``mount_captions`` finds, as columns of the items themselves.
+
+    ``note`` is the text of a caption that has one, ``target_pos`` and ``is_last``
+    are as there, ``mounted`` is the caption that stays with a target.  All windows
+    lie within the keys: items already dealt by them are not shuffled again.
+    """
+    keys = keys or ["doc_id"]
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    is_target = F.col("type").isin("image", "table")
+    target_at = F.when(is_target, F.col("pos"))
+    known = F.lit(True)
+    for key in [*keys, "pos"]:
+        known = known & F.col(key).isNotNull()
+    note = F.when(F.col("type").isin(*CAPTION_TYPES) & known, F.nullif(strip("text"), F.lit("")))
+    near = F.coalesce(F.last(target_at, True).over(earlier), F.min(target_at).over(whole))
+    seen = items.withColumns({"note": note, "__near": near})
+    reached = F.col("note").isNotNull() & (F.abs(F.col("__near") - F.col("pos")) <= REACH)
+    seen = seen.withColumn("target_pos", F.when(reached, F.col("__near")))
+    # A target and its captions lie together.
+    seen = seen.withColumn("__at", F.coalesce("target_pos", target_at))
+    together = Window.partitionBy(*keys, "__at")
+    caption_at = F.when(F.col("target_pos").isNotNull(), F.col("pos"))
+    return seen.withColumns(
+        {
+            "is_last": F.coalesce(caption_at == F.max(caption_at).over(together), F.lit(False)),
+            "mounted": F.when(is_target & known, F.max_by("note", caption_at).over(together)),
+        }
+    ).drop("__near", "__at")
+
+
 def mount_captions(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Attach captions to the image or table they belong to.
 
@@ -118,34 +149,19 @@ def mount_captions(items: DataFrame, keys: list[str] | None = None) -> DataFrame
     (NULL for an orphan) and ``is_last``.
     """
     keys = keys or ["doc_id"]
-    is_target = F.col("type").isin("image", "table")
-    seen = carry_last(items, keys, "pos", F.when(is_target, F.col("pos")), "before")
-    first = items.filter(is_target).groupBy(*keys).agg(F.min("pos").alias("after"))
-    text = F.coalesce(F.nullif(strip("text"), F.lit("")), F.lit(""))
-    caps = (
-        seen.filter(F.col("type").isin(*CAPTION_TYPES))
-        .withColumn("caption", text)
-        .filter("caption <> ''")
-        .join(first, keys, "left")
-        .withColumn("near", F.coalesce("before", "after"))
-        .withColumn(
-            "target_pos", F.when(F.abs(F.col("near") - F.col("pos")) <= REACH, F.col("near"))
-        )
-        .select(*keys, "pos", "caption", "target_pos")
-    )
-    last = (
-        caps.filter("target_pos IS NOT NULL")
-        .groupBy(*keys, "target_pos")
-        .agg(F.max("pos").alias("pos"))
-        .withColumn("is_last", F.lit(True))
-    )
-    return caps.join(last, [*keys, "target_pos", "pos"], "left").withColumn(
-        "is_last", F.coalesce("is_last", F.lit(False))
+    # Only captions need their text, and rows without a key have no neighbours.
+    text = F.when(F.col("type").isin(*CAPTION_TYPES), F.col("text")).alias("text")
+    found = captioned(items.dropna(subset=keys).select(*keys, "pos", "type", text), keys)
+    return found.filter("note IS NOT NULL").select(
+        *keys, "target_pos", "pos", F.col("note").alias("caption"), "is_last"
     )
 
 
 def to_blocks(items: DataFrame) -> DataFrame:
-    """Typed blocks from content items, captions mounted, roles annotated."""
+    """Typed blocks from content items, captions mounted, roles annotated.
+
+    Captions that found a target are no blocks; orphans are, of their own type.
+    """
     item_text = F.col("text")
     pieces = F.filter(
         F.transform(
@@ -158,14 +174,14 @@ def to_blocks(items: DataFrame) -> DataFrame:
         F.array_join(pieces, "\n")
     )
     items = items.withColumn("text", F.coalesce(F.nullif(item_text, F.lit("")), lines, F.lit("")))
-    caps = mount_captions(items)
     kind = F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit("text"))
     for alias, name in markup.FORMULA_TYPES.items():
         kind = F.when(F.col("type") == alias, F.lit(name)).otherwise(kind)
-    latex = F.when(
+    found = F.when(
         kind.isin(*FORMULA_BLOCKS),
         markup.formula_latex({k: F.col(k) for k in markup.FORMULA_KEYS}),
     ).otherwise(F.lit(""))
+    latex = F.col("__latex")
     page = (F.coalesce(F.expr("try_cast(coalesce(page_idx, '0') AS INT)"))) + 1
     body = (
         F.when(kind.isin(*FORMULA_BLOCKS), F.when(latex != "", F.concat(F.lit("$$"), latex, F.lit("$$"))).otherwise(""))
@@ -175,37 +191,25 @@ def to_blocks(items: DataFrame) -> DataFrame:
         )
         .otherwise(strip("text"))
     )
-    mounted = caps.filter("is_last").select("doc_id", F.col("target_pos").alias("pos"), "caption")
-    own = (
-        items.filter(~kind.isin(*CAPTION_TYPES))
-        .join(mounted, ["doc_id", "pos"], "left")
-        .select(
-            "doc_id",
-            page.alias("page"),
-            F.coalesce(F.col("order"), F.col("pos")).alias("ord"),
-            "pos",
-            kind.alias("block_type"),
-            body.alias("text"),
-            F.when(kind == "title", F.coalesce(F.expr("try_cast(level AS INT)"), F.lit(1))).otherwise(0).alias("level"),
-            F.coalesce("html", F.lit("")).alias("html"),
-            latex.alias("latex"),
-            F.coalesce("img_path", F.lit("")).alias("image_path"),
-            F.coalesce("caption", F.lit("")).alias("caption"),
-            F.when(F.size("bbox") == 4, F.col("bbox")).alias("bbox"),
-            strip(F.coalesce(F.nullif(F.col("pdf_page_label"), F.lit("")), F.col("page_label"), F.lit(""))).alias("pdf_page_label"),
-        )
-    )
-    orphans = (
-        caps.filter("target_pos IS NULL")
-        .join(items.select("doc_id", "pos", "page_idx"), ["doc_id", "pos"])
-        .select(
-            "doc_id", page.alias("page"), F.col("pos").alias("ord"), "pos",
-            F.lit("caption").alias("block_type"), F.col("caption").alias("text"),
-        )
-    )
-    return annotate(own.unionByName(orphans, allowMissingColumns=True)).fillna(
-        {"level": 0, "html": "", "latex": "", "image_path": "", "caption": "", "pdf_page_label": ""}
-    )
+    own = ~kind.isin(*CAPTION_TYPES)
+    orphan = F.col("note").isNotNull() & F.col("target_pos").isNull()
+    label = strip(F.coalesce(F.nullif(F.col("pdf_page_label"), F.lit("")), F.col("page_label"), F.lit("")))
+    blocks = captioned(items).filter(own | orphan).withColumn("__latex", found).select(
+        "doc_id",
+        page.alias("page"),
+        F.when(own, F.coalesce(F.col("order"), F.col("pos"))).otherwise(F.col("pos")).alias("ord"),
+        "pos",
+        F.when(own, kind).otherwise("caption").alias("block_type"),
+        body.alias("text"),
+        F.when(kind == "title", F.coalesce(F.expr("try_cast(level AS INT)"), F.lit(1))).otherwise(0).alias("level"),
+        F.when(own, F.coalesce("html", F.lit(""))).otherwise("").alias("html"),
+        latex.alias("latex"),
+        F.when(own, F.coalesce("img_path", F.lit(""))).otherwise("").alias("image_path"),
+        F.coalesce("mounted", F.lit("")).alias("caption"),
+        F.when(own & (F.size("bbox") == 4), F.col("bbox")).alias("bbox"),
+        F.when(own, label).otherwise("").alias("pdf_page_label"),
+    )
+    return annotate(blocks)
 
 
 def annotate(blocks: DataFrame) -> DataFrame:
@@ -420,9 +424,9 @@ def add_formulas(blocks: DataFrame, found: DataFrame) -> DataFrame:
 # --- structured chunks --------------------------------------------------------
 
 
-def image_context(blocks: DataFrame) -> DataFrame:
-    """Nearest body text before and after each image: same page, at most six
-    blocks away, no title in between."""
+def around_images(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``near``, for images: the nearest body text before and after on
+    the same page, at most six blocks away, no title in between."""
     content = (
         (F.col("block_type") == "text")
         & (F.col("content_role") == "content")
@@ -434,115 +438,155 @@ def image_context(blocks: DataFrame) -> DataFrame:
     back, ahead = page.rowsBetween(-6, -1), page.rowsBetween(1, 6)
     out = blocks.withColumns(
         {
-            "b": F.last(body, True).over(back),
-            "bs": F.last(stop, True).over(back),
-            "a": F.first(body, True).over(ahead),
-            "as_": F.first(stop, True).over(ahead),
+            "__b": F.last(body, True).over(back),
+            "__bs": F.last(stop, True).over(back),
+            "__a": F.first(body, True).over(ahead),
+            "__as": F.first(stop, True).over(ahead),
         }
-    ).filter(F.col("block_type") == "image")
-    before = F.when(F.col("bs").isNull() | (F.col("b.pos") > F.col("bs")), F.col("b.t"))
-    after = F.when(F.col("as_").isNull() | (F.col("a.pos") < F.col("as_")), F.col("a.t"))
-    return out.select("doc_id", "pos", F.concat_ws("\n", before, after).alias("context"))
+    )
+    before = F.when(F.col("__bs").isNull() | (F.col("__b.pos") > F.col("__bs")), F.col("__b.t"))
+    after = F.when(F.col("__as").isNull() | (F.col("__a.pos") < F.col("__as")), F.col("__a.t"))
+    near = F.when(F.col("block_type") == "image", F.concat_ws("\n", before, after))
+    return out.withColumn("near", near).drop("__b", "__bs", "__a", "__as")
 
 
-def formula_context(blocks: DataFrame, max_chars: int = 420) -> DataFrame:
-    """Sentences of the same page that introduce a formula, within a budget.
+def image_context(blocks: DataFrame) -> DataFrame:
+    """Body text around each image, one row per image."""
+    found = around_images(blocks).filter(F.col("block_type") == "image")
+    return found.select("doc_id", "pos", F.col("near").alias("context"))
+
+
+def around_formulas(blocks: DataFrame, max_chars: int = 420) -> DataFrame:
+    """Blocks with ``explained``, for formulas: sentences of the same page that
+    introduce them, within a budget.
 
     Blocks are ranked by cue word and distance; of each the cue sentences or,
-    without any, the last two are taken; the budget is a running sum.
+    without any, the last two are taken, equal ones once, until the budget is used.
+    Pages without a formula collect nothing.
     """
-    skip = F.col("block_type").isin(*FORMULA_BLOCKS, "header", "footer") | (
-        F.col("content_role") == "noise"
-    )
+    page = Window.partitionBy("doc_id", "page")
+    is_formula = F.col("block_type").isin(*FORMULA_BLOCKS)
+    skip = is_formula | F.col("block_type").isin("header", "footer") | (F.col("content_role") == "noise")
+    out = blocks.withColumn("__wanted", F.bool_or(is_formula).over(page))
+    usable = F.col("__wanted") & ~skip & F.col("text").rlike(CJK)
     text = strip(
         F.regexp_replace(F.regexp_replace("text", "[ \t]+", " "), "\n{3,}", "\n\n")
     )
-    side = (
-        blocks.filter(~skip)
-        .select("doc_id", "page", F.col("pos").alias("other"), text.alias("t"))
-        .filter(F.col("t").rlike(CJK))
-    )
     pieces = F.filter(
-        F.transform(F.split("t", r"(?<=[。！？；：])|\n+"), strip),
+        F.transform(F.split("__t", r"(?<=[。！？；：])|\n+"), strip),
         lambda p: (p != "") & p.rlike(CJK),
     )
-    side = side.withColumn("pieces", pieces).withColumn(
-        "cued",
-        F.filter(
-            "pieces", lambda p: p.rlike(FORMULA_CUE) | p.rlike(markup.NUMBERED_SECTION)
-        ),
+    cued = F.filter(
+        "__pieces", lambda p: p.rlike(FORMULA_CUE) | p.rlike(markup.NUMBERED_SECTION)
     )
-    chosen = F.when(F.size("cued") > 0, F.col("cued")).otherwise(
-        F.slice("pieces", F.greatest(F.size("pieces") - 1, F.lit(1)), F.lit(2))
+    chosen = F.when(F.size("__cued") > 0, F.col("__cued")).otherwise(
+        F.slice("__pieces", F.greatest(F.size("__pieces") - 1, F.lit(1)), F.lit(2))
     )
-    f = blocks.filter(F.col("block_type").isin(*FORMULA_BLOCKS)).select("doc_id", "page", "pos")
-    pairs = f.join(side, (f["doc_id"] == side["doc_id"]) & f["page"].eqNullSafe(side["page"])).select(
-        f["doc_id"], f["pos"],
-        F.when(F.col("t").rlike(FORMULA_CUE), 0).otherwise(1).alias("cue"),
-        F.abs(F.col("pos") - F.col("other")).alias("dist"),
-        "other",
-        F.posexplode(chosen).alias("n", "piece"),
+    cue = F.when(F.col("__t").rlike(FORMULA_CUE), 0).otherwise(1)
+    side = F.struct(cue.alias("cue"), F.col("pos").alias("other"), chosen.alias("pieces"))
+    out = (
+        out.withColumn("__t", F.when(usable, text))
+        .withColumn("__pieces", pieces)
+        .withColumn("__cued", cued)
+        .withColumn("__side", F.when(F.col("__t").isNotNull(), side))
+        .drop("__wanted", "__t", "__pieces", "__cued")
     )
-    first = Window.partitionBy("doc_id", "pos", "piece").orderBy("cue", "dist", "other", "n")
-    uniq = pairs.withColumn("dup", F.row_number().over(first)).filter("dup = 1")
-    run = Window.partitionBy("doc_id", "pos").orderBy("cue", "dist", "other", "n").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    used = F.coalesce(F.sum(F.length("piece") + 1).over(run), F.lit(0))
-    kept = uniq.withColumn("used", used).filter(F.col("used") < max_chars)
-    cut = F.substring(F.col("piece"), F.lit(1), (F.lit(max_chars) - F.col("used")).cast("int"))
-    return kept.groupBy("doc_id", "pos").agg(
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("used", cut.alias("p")))), lambda x: x["p"]
-            ),
-            "\n",
-        ).alias("context")
+    sides = F.collect_list("__side").over(page)
+
+    def ranked(s: Column) -> Column:
+        dist = F.abs(F.col("pos") - s["other"])
+        return F.transform(
+            s["pieces"],
+            lambda p, n: F.struct(s["cue"].alias("cue"), dist.alias("dist"), s["other"].alias("other"), n.alias("n"), p.alias("p")),
+        )
+
+    def take(acc: Column, x: Column) -> Column:
+        fresh = (acc["used"] < max_chars) & ~F.array_contains(acc["said"], x["p"])
+        more = F.struct(
+            F.concat(acc["said"], F.array(x["p"])).alias("said"),
+            (acc["used"] + F.length(x["p"]) + 1).alias("used"),
+        )
+        return F.when(fresh, more).otherwise(acc)
+
+    start = F.struct(F.array().cast("array<string>").alias("said"), F.lit(0).alias("used"))
+    said = F.aggregate(F.sort_array(F.flatten(F.transform("__sides", ranked))), start, take)["said"]
+    # The budget counts the breaks between pieces, so it ends where the joined text is cut.
+    explained = F.substring(F.array_join(said, "\n"), 1, max_chars)
+    return (
+        out.withColumn("__sides", sides)
+        .withColumn("explained", F.when(is_formula, explained))
+        .drop("__side", "__sides")
     )
 
 
-def _heading_paths(titles: Column) -> Column:
-    """Section path after each title of a document: a title replaces the headings
-    at its level and below."""
+def formula_context(blocks: DataFrame, max_chars: int = 420) -> DataFrame:
+    """Introducing sentences of each formula, one row per formula that has any."""
+    narrow = blocks.select("doc_id", "page", "pos", "block_type", "content_role", "text")
+    found = around_formulas(narrow.dropna(subset=["doc_id"]), max_chars).filter("explained <> ''")
+    return found.select("doc_id", "pos", F.col("explained").alias("context"))
+
+
+#: Heading depths that are columns of the window; deeper ones are collected.
+DEPTHS = 16
+
+
+def section_paths(rows: DataFrame, upto, depths: int = DEPTHS) -> DataFrame:
+    """Rows with ``section_path``: a title replaces the headings at its level and below.
+
+    A title lies one deeper than the title before at most, so its depth is the least,
+    over the titles up to it, of their level plus the titles since.  The heading of a
+    depth is the last title of that depth.  ``upto``: the rows of a document in order,
+    up to the current one.
+    """
+    title = (F.col("kind") == "title") & F.col("doc_id").isNotNull()
+    level = F.greatest(F.coalesce(F.col("level").cast("int"), F.lit(1)), F.lit(1))
+    rows = rows.withColumn("__nth", F.count(F.when(title, 1)).over(upto))
+    low = F.min(F.when(title, level - F.col("__nth"))).over(upto)
+    rows = rows.withColumn("__depth", F.col("__nth") + F.least(F.lit(0), low))
+    depth = F.col("__depth")
+    # Text in a struct, so that a title without text still replaces an earlier one.
+    heads = {
+        f"__h{k}": F.last(F.when(title & (depth == k), F.struct("text")), True).over(upto)
+        for k in range(1, depths + 1)
+    }
+    deep = F.when(title & (depth > depths), F.struct(F.col("__nth").alias("nth"), depth.alias("depth"), "text"))
+    rows = rows.withColumns(
+        heads
+        | {
+            "__deep": F.collect_list(deep).over(upto),
+            "__since": F.last(F.when(title & (depth <= depths), F.col("__nth")), True).over(upto),
+        }
+    )
 
-    def push(acc: Column, title: Column) -> Column:
-        above = F.greatest(F.coalesce(title["level"], F.lit(1)), F.lit(1)) - 1
-        stack = F.concat(F.slice(acc["stack"], F.lit(1), above), F.array(title["text"]))
-        one = F.struct(title["pos"].alias("pos"), F.array_join(stack, " / ").alias("path"))
-        return F.struct(stack.alias("stack"), F.concat(acc["paths"], F.array(one)).alias("paths"))
+    def push(stack: Column, t: Column) -> Column:
+        above = (t["depth"] - depths - 1).cast("int")
+        return F.concat(F.slice(stack, F.lit(1), above), F.array(t["text"]))
 
-    start = F.struct(
-        F.array().cast("array<string>").alias("stack"),
-        F.array().cast("array<struct<pos:int,path:string>>").alias("paths"),
+    below = F.aggregate(
+        F.filter("__deep", lambda t: t["nth"] > F.col("__since")), F.array().cast("array<string>"), push
     )
-    return F.aggregate(titles, start, push)["paths"]
+    shallow = [F.when(depth >= k, F.col(f"__h{k}.text")) for k in range(1, depths + 1)]
+    path = F.concat_ws(" / ", *shallow, F.when(depth > depths, below))
+    return rows.withColumn("section_path", path).drop("__nth", "__depth", "__deep", "__since", *heads)
 
 
 def outlined(rows: DataFrame) -> DataFrame:
     """Blocks in order with their section path and group; skipped ones drop out.
 
     Text blocks of one page share a group; a title opens a group and any other
-    block closes it.  Only titles are collected per document.
+    block closes it.  All windows lie within the document.
     """
     kept = rows.filter("kind <> 'skip'").withColumns(
         {"p": F.coalesce("page", F.lit(0)), "pos": F.col("pos").cast("int")}
     )
-    titles = kept.filter("kind = 'title'").groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("p", "ord", "pos", "text", F.col("level").cast("int").alias("level")))).alias("t")
-    )
-    paths = titles.select("doc_id", F.explode(_heading_paths(F.col("t"))).alias("h")).select("doc_id", "h.pos", "h.path")
     order = Window.partitionBy("doc_id").orderBy("p", "ord", "pos")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     was_open = F.coalesce(F.lag("kind").over(order).isin("title", "text"), F.lit(False))
     goes_on = (F.col("kind") == "text") & was_open & F.col("page").eqNullSafe(F.lag("page").over(order))
-    placed = kept.join(paths, ["doc_id", "pos"], "left").withColumns(
-        {
-            "section_path": F.coalesce(F.last("path", True).over(upto), F.lit("")),
-            "seq": F.row_number().over(order),
-            "opens": F.when(goes_on, 0).otherwise(1),
-        }
-    )
-    return placed.withColumn("group_no", F.sum("opens").over(upto).cast("int")).drop("p", "path", "opens")
+    placed = kept.withColumns(
+        {"seq": F.row_number().over(order), "opens": F.when(goes_on, 0).otherwise(1)}
+    ).withColumn("group_no", F.sum("opens").over(upto).cast("int"))
+    return section_paths(placed, upto).drop("p", "opens")
 
 
 def structured_chunks(
@@ -555,6 +599,9 @@ def structured_chunks(
     """Chunks with section path, block type and context from layout blocks.
 
     ``summaries``: doc_id, pos, summary of images a vision model described.
+
+    Every step is a window or a grouping within the document, so blocks are dealt by
+    document once at most, and not at all if they already are.
     """
     kind = (
         F.when(
@@ -568,66 +615,43 @@ def structured_chunks(
         .when(F.col("block_type").isin(*FORMULA_BLOCKS), "formula")
         .otherwise("text")
     )
-    rows = blocks.withColumn("kind", kind).withColumn("text", strip(F.coalesce("text", F.lit(""))))
-    placed = outlined(rows)
-    label = F.element_at(F.split("section_path", " / "), -1)
-    page_name = F.when(F.col("page") > 0, F.concat(F.lit("第"), F.col("page"), F.lit("页"))).otherwise("")
-
-    bodies = placed.filter(F.col("kind").isin("title", "text")).groupBy("doc_id", "group_no").agg(
-        F.sort_array(
-            F.collect_list(F.struct("seq", "text", "page", "section_path", "bbox", "pdf_page_label", "textbook_references"))
-        ).alias("g")
-    )
-    head = F.col("g")[0]
-    parts = F.filter(F.transform("g", lambda x: x["text"]), lambda v: v != "")
-    labels = F.filter(F.transform("g", lambda x: x["pdf_page_label"]), lambda v: v != "")
-    text_docs = bodies.select(
-        "doc_id", "group_no",
-        F.array_join(parts, "\n\n").alias("text"),
-        head["page"].alias("page"),
-        head["section_path"].alias("section_path"),
-        markup.bbox_text(F.transform("g", lambda x: x["bbox"])).alias("bbox"),
-        F.coalesce(F.get(labels, F.lit(0)), F.lit("")).alias("pdf_page_label"),
-        join_references(
-            F.flatten(F.transform("g", lambda x: F.coalesce(x["textbook_references"], F.array())))
-        ).alias("textbook_references"),
-    )
-    pieces = chunk_documents(text_docs, size=size, overlap=overlap).withColumnRenamed("chunk_index", "piece")
-    context = F.when(label != "", F.concat(F.lit("§ "), label, F.lit("\n"))).otherwise("")
-    text_chunks = pieces.select(
-        "doc_id", "group_no", "piece", "page", "section_path", "bbox", "pdf_page_label",
-        "textbook_references",
-        F.when((context != "") & ~F.startswith("text", context), F.concat(context, "text"))
-        .otherwise(F.col("text")).alias("text"),
-        F.lit("text").alias("block_type"),
-        F.when(label != "", label).otherwise(page_name).alias("chapter"),
-        F.rtrim(context, F.lit("\n")).alias("context"),
-        F.lit("").alias("table_headers"),
-        F.lit("content").alias("content_role"),
-        F.lit("").alias("image_path"),
-        F.lit("").alias("image_caption"),
-    )
-
-    near = image_context(blocks).unionByName(formula_context(blocks))
-    alone = (
-        placed.filter(~F.col("kind").isin("title", "text"))
-        .join(near, ["doc_id", "pos"], "left")
-        .withColumn("nearby", F.coalesce("context", F.lit("")))
-        .drop("context")
+    nearby = F.when(F.col("doc_id").isNotNull(), F.coalesce("near", "explained"))
+    rows = (
+        around_formulas(around_images(blocks))
+        .withColumn("nearby", F.coalesce(nearby, F.lit("")))
+        .withColumn("kind", kind)
+        .withColumn("text", strip(F.coalesce("text", F.lit(""))))
     )
+    placed = outlined(rows.drop("near", "explained"))
+    alone = ~F.col("kind").isin("title", "text")
     if summaries is None:
-        alone = alone.withColumn("summary", F.lit(None).cast("string"))
+        placed = placed.withColumn("summary", F.lit(None).cast("string"))
     else:
-        alone = alone.join(summaries, ["doc_id", "pos"], "left")
+        given = summaries.select("doc_id", F.col("pos").alias("at"), "summary")
+        placed = placed.withColumn("at", F.when(alone, F.col("pos"))).join(given, ["doc_id", "at"], "left").drop("at")
+
+    # Columns of their own, so that what a query leaves out is not computed.
+    headers = F.when(F.col("kind") == "table", markup.table_headers("html")).otherwise("")
+    of_first = ("kind", "page", "section_path", "nearby", "latex", "caption", "summary", "image_path", "content_role", "headers")
+    of_all = ("text", "bbox", "pdf_page_label", "textbook_references")
+    groups = placed.withColumn("headers", headers).groupBy("doc_id", "group_no").agg(
+        *[F.min_by(c, "seq").alias(c) for c in of_first],
+        *[F.sort_array(F.collect_list(F.struct("seq", F.col(c).alias("v")))).alias(c) for c in of_all],
+    )
+
+    def values(name: str) -> Column:
+        return F.transform(name, lambda x: x["v"])
+
+    is_image, one = F.col("kind") == "image", F.col("text")[0]["v"]
     has_caption, has_summary = F.col("caption") != "", F.coalesce("summary", F.lit("")) != ""
     hint = F.when(F.col("kind") == "formula", markup.section_hint("nearby")).otherwise("")
     path = F.when(F.col("section_path") != "", F.col("section_path")).otherwise(hint)
-    near_label = F.element_at(F.split(path, " / "), -1)
+    label = F.element_at(F.split(path, " / "), -1)
     noted = F.when(
         has_caption,
-        F.concat_ws("\n\n", F.nullif(F.col("text"), F.lit("")), F.concat(F.lit("表格说明："), "caption")),
-    ).otherwise(F.col("text"))
-    formula = F.when(F.col("text") != "", F.col("text")).when(
+        F.concat_ws("\n\n", F.nullif(one, F.lit("")), F.concat(F.lit("表格说明："), "caption")),
+    ).otherwise(one)
+    formula = F.when(one != "", one).when(
         F.col("latex") != "", F.concat(F.lit("$$"), F.btrim("latex"), F.lit("$$"))
     ).otherwise("")
     described = F.concat_ws(
@@ -642,32 +666,46 @@ def structured_chunks(
     )
     explained = F.concat_ws(
         "\n",
-        F.when(near_label != "", F.concat(F.lit("§ "), near_label)),
+        F.when(label != "", F.concat(F.lit("§ "), label)),
         F.when(F.col("nearby") != "", F.concat(F.lit("公式上下文："), "nearby")),
         F.concat(F.lit("公式："), formula),
     )
+    parts = F.filter(values("text"), lambda v: v != "")
     text = (
-        F.when(F.col("kind") == "table", noted)
-        .when(F.col("kind") == "image", F.when(has_summary, described).otherwise(pending))
+        F.when(~alone, F.array_join(parts, "\n\n"))
+        .when(F.col("kind") == "table", noted)
+        .when(is_image, F.when(has_summary, described).otherwise(pending))
         .when(F.col("kind") == "formula", F.when(formula != "", explained).otherwise(""))
-        .otherwise(F.col("text"))
+        .otherwise(one)
     )
-    is_image = F.col("kind") == "image"
-    standalone = alone.select(
-        "doc_id", "group_no", F.lit(0).alias("piece"), "page", path.alias("section_path"),
-        markup.bbox_text(F.array("bbox")).alias("bbox"), "pdf_page_label",
-        join_references(F.coalesce("textbook_references", F.array())).alias("textbook_references"),
+    labels = F.filter(values("pdf_page_label"), lambda v: v != "")
+    units = groups.select(
+        "doc_id", "group_no", "kind", "page", path.alias("section_path"), label.alias("label"),
+        markup.bbox_text(values("bbox")).alias("bbox"),
+        F.when(alone, F.col("pdf_page_label")[0]["v"]).otherwise(F.coalesce(F.get(labels, F.lit(0)), F.lit(""))).alias("pdf_page_label"),
+        join_references(
+            F.flatten(F.transform("textbook_references", lambda x: F.coalesce(x["v"], F.array())))
+        ).alias("textbook_references"),
+        "nearby", "headers", "content_role", "image_path", "caption", has_summary.alias("described"),
         text.alias("text"),
-        F.when(is_image & has_summary, "image_summary").otherwise(F.col("kind")).alias("block_type"),
-        F.when(near_label != "", near_label).otherwise(page_name).alias("chapter"),
-        F.concat_ws("\n", F.nullif(near_label, F.lit("")), F.nullif(F.col("nearby"), F.lit(""))).alias("context"),
-        F.when(F.col("kind") == "table", markup.table_headers("html")).otherwise("").alias("table_headers"),
-        "content_role",
+    )
+    # Tables, images, formulas and marked blocks are one chunk each.
+    pieces = chunk_documents(units, size=size, overlap=overlap, whole=alone).withColumnRenamed("chunk_index", "piece")
+    label, page_name = F.col("label"), F.when(F.col("page") > 0, F.concat(F.lit("第"), F.col("page"), F.lit("页"))).otherwise("")
+    lead = F.when(label != "", F.concat(F.lit("§ "), label, F.lit("\n"))).otherwise("")
+    led = ~alone & (lead != "") & ~F.startswith("text", lead)
+    both = pieces.select(
+        "doc_id", "group_no", "piece", "page", "section_path", "bbox", "pdf_page_label", "textbook_references",
+        F.when(led, F.concat(lead, "text")).otherwise(F.col("text")).alias("text"),
+        F.when(~alone, "text").when(is_image & F.col("described"), "image_summary").otherwise(F.col("kind")).alias("block_type"),
+        F.when(label != "", label).otherwise(page_name).alias("chapter"),
+        F.when(~alone, F.rtrim(lead, F.lit("\n")))
+        .otherwise(F.concat_ws("\n", F.nullif(label, F.lit("")), F.nullif(F.col("nearby"), F.lit(""))))
+        .alias("context"),
+        F.col("headers").alias("table_headers"),
+        F.when(~alone, "content").otherwise(F.col("content_role")).alias("content_role"),
         F.when(is_image, F.col("image_path")).otherwise("").alias("image_path"),
         F.when(is_image, F.col("caption")).otherwise("").alias("image_caption"),
-    ).filter("text <> ''")
-    both = text_chunks.unionByName(standalone)
+    )
     order = Window.partitionBy("doc_id").orderBy("group_no", "piece")
     return both.withColumn("chunk_index", F.row_number().over(order) - 1).drop("group_no", "piece")
-
-

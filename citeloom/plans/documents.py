@@ -8,7 +8,6 @@ from citeloom.functions import markup
 from citeloom.operators import answers, blocks, chunking, expansion, lexical
 from citeloom.operators.joins import first_rows, join_small, row_bound
 from citeloom.plans.ranking import COSINE, INDEX_SQL, LEXICAL_SQL, SCORE_SQL, TOKENS, vector_queries
-from citeloom.session import materialize
 from citeloom.sources import tables as t
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -263,11 +262,13 @@ def add(reg) -> None:
         caps AS (SELECT doc_id, pos, CASE WHEN abs(coalesce(before, after) - pos) <= 3 THEN coalesce(before, after) END AS target_pos
           FROM seen WHERE type = 'image_caption' AND text <> '')"""
 
-    def line_items(spark, sf):
-        k = ((F.col("pos") + F.col("doc_id") % 3) % 7).cast("int")
+    def line_type(pos, doc_id):
         names = ["image", "text", "text", "image_caption", "text", "table", "text"]
+        return F.get(F.array(*[F.lit(n) for n in names]), ((pos + doc_id % 3) % 7).cast("int"))
+
+    def line_items(spark, sf):
         plain = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-        return plain.withColumn("type", F.get(F.array(*[F.lit(n) for n in names]), k)).withColumn(
+        return plain.withColumn("type", line_type(F.col("pos"), F.col("doc_id"))).withColumn(
             "text", F.trim("text")
         )
 
@@ -392,29 +393,26 @@ def add(reg) -> None:
 
     @reg.add("structured_chunks")
     def structured_chunks(spark, sf):
-        # Blocks feed several branches: parsed and reconstructed once, as a table.
-        laid_out = materialize(layout_blocks(spark, sf), "blocks")
-        return blocks.structured_chunks(laid_out).select(
+        # Texts are dealt by document once, for the payloads; what follows stays there.
+        return blocks.structured_chunks(layout_blocks(spark, sf)).select(
             "doc_id", "chunk_index", "page", "block_type", "section_path", "chapter",
             F.length("text").alias("chars"),
         )
 
     def layout_blocks(spark, sf):
-        kind = F.when(F.col("pos") % 9 == 0, "title").when(F.col("pos") % 9 == 5, "equation").otherwise(F.col("type"))
-        rows = line_items(spark, sf).withColumns({"kind": kind, "line": F.col("text")})
-        docs = rows.groupBy("doc_id").agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        "pos", F.col("kind").alias("type"), F.col("line").alias("text"),
-                        F.floor(F.col("pos") / 6).cast("string").alias("page_idx"),
-                        (F.floor(F.col("pos") / 9) % 3 + 1).cast("string").alias("level"),
-                    )
-                )
-            ).alias("content_list")
-        )
+        def item(line, pos):
+            kind = F.when(pos % 9 == 0, "title").when(pos % 9 == 5, "equation").otherwise(line_type(pos, F.col("doc_id")))
+            return F.struct(
+                pos.alias("pos"), kind.alias("type"), F.trim(line).alias("text"),
+                F.floor(pos / 6).cast("string").alias("page_idx"),
+                (F.floor(pos / 9) % 3 + 1).cast("string").alias("level"),
+            )
+
+        texts = _docs(spark, sf).groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+        lines = F.transform("texts", lambda text: F.transform(F.split(text, "\n"), item))
+        docs = texts.select("doc_id", F.sort_array(F.flatten(lines)).alias("content_list"))
         payload = docs.select("doc_id", F.to_json(F.struct("content_list")).alias("payload"))
-        return blocks.to_blocks(materialize(blocks.content_items(payload), "items"))
+        return blocks.to_blocks(blocks.content_items(payload))
 
     @reg.add(
         "prompt_context",
