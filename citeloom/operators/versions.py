@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from citeloom.functions.text import shingles
-from citeloom.operators.joins import first_rows, unnest
-from citeloom.session import materialize
+from citeloom.operators.joins import first_rows, join_small, row_bound, unnest
+from citeloom.session import materialize, settle
 
 SIMILARITY = 0.20
+#: Characters of a shingle.
+SHINGLE = 5
+#: Bytes of a family's texts that are compared in one group; two such blocks at most meet.
+BLOCK_BYTES = 8 << 20
+#: Holders of shingles that are counted at once.
+HELD = 1 << 21
 
 
 def content_hash(df: DataFrame, column: str = "content") -> DataFrame:
@@ -34,7 +46,7 @@ def duplicate_of(docs: DataFrame, keys: list[str], hash_col: str = "content_hash
 
 def shingle_sets(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Sorted shingle set of every document with its size and signature."""
-    sets = docs.select(*keys, "doc_id", F.sort_array(shingles("text", 5)).alias("set"))
+    sets = docs.select(*keys, "doc_id", F.sort_array(shingles("text", SHINGLE)).alias("set"))
     return sets.withColumns(
         {"n": F.size("set"), "sig": F.xxhash64("set"), "sig2": F.hash("set")}
     )
@@ -51,74 +63,50 @@ def distinct_sets(sets: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def similar_earlier(
-    docs: DataFrame, keys: list[str], threshold: float = SIMILARITY
+    docs: DataFrame, keys: list[str], threshold: float = SIMILARITY, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """Most similar earlier document of the same family, for every document.
 
-    Exact set-similarity join with prefix filtering:
-
-    * copies collapse to one representative set, later members match the first
-      member with similarity one and take no part in the join;
-    * shingles are ranked from rare to frequent within the family, and only the
-      first ``n - ceil(t * n) + 1`` of a set can be the first common shingle of
-      a pair at or above ``t``, so the most frequent ones are never joined on;
-    * a pair needs sizes within a factor ``t`` and enough common shingles in the
-      prefixes to reach ``t`` at all; only such pairs are verified on full sets.
+    A shingle set travels once, as one text, to the task that compares its family, and
+    only ids and similarities come back.  The comparison is exact, on the shingles
+    themselves.  A family larger than a block is cut into blocks by document, and every
+    two blocks meet in a group of their own: no task holds more than two blocks, and
+    only the sets of such families travel more than once.
 
-    Pairs are found by a hash of family and shingle and by row numbers, so no text is
-    shuffled for that.  A collision can only add pairs: shingles of one hash have one
-    rank.  Pairs are verified on the shingles and the family itself.
+    Copies collapse to one representative set: later members match the first member
+    with similarity one and take no part in the comparison.
 
     Output: doc_id, best_doc, similarity (NULL without a match at ``threshold``).
     """
-    # The sets feed several joins; they are cut once and read back by column.
-    sets = materialize(shingle_sets(docs, keys).withColumn("row", F.monotonically_increasing_id()), "shingles")
-    known = sets.dropna(subset=keys)
-    reps = distinct_sets(sets, keys)
-    members = sets.select(*keys, "doc_id", "n", "sig", "sig2")
-    firsts = known.filter("n > 0").groupBy(*keys, "n", "sig", "sig2").agg(F.min(F.struct("doc_id", "row")).alias("f"))
-    owned = known.select(*keys, "row", "doc_id", "n", "set").join(firsts.select("f.row"), "row", "left_semi")
-    # A shingle found in one set only cannot link two sets, but has a rank: the
-    # rarest come first, so ranks are counted from the end.
-    df = F.count("*").over(Window.partitionBy("mark"))
-    tokens = unnest(owned, "set", "shingle", *keys, "row", F.col("doc_id").alias("rep"), "n")
-    marked = tokens.select(F.xxhash64(*keys, "shingle").alias("mark"), "row", "rep", "n")
-    linked = marked.withColumn("df", df).filter("df > 1")
-    back = Window.partitionBy("row").orderBy(F.desc("df"), F.desc("mark"))
-    from_end = F.count("*").over(back.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    prefix = (
-        linked.withColumn("from_end", from_end)
-        .filter(F.col("from_end") >= F.ceil(F.col("n") * threshold - 1e-9))
-        .select("mark", "row", "rep", "n", "from_end")
-    )
-    # Common shingles outside both prefixes come after the last that met on both
-    # sides, and a Jaccard of t needs t / (1 + t) of the summed sizes in common.
-    n_a, n_b = F.col("a.n"), F.col("b.n")
-    needed = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
-    pairs = (
-        prefix.alias("a").join(prefix.alias("b"), "mark")
-        .filter((F.col("a.rep") < F.col("b.rep")) & (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * threshold - 1e-9))
-        .groupBy(F.col("a.row").alias("row_a"), F.col("b.row").alias("row_b"), n_a.alias("n_a"), n_b.alias("n_b"))
-        .agg(F.count("*").alias("met"), F.min(F.least("a.from_end", "b.from_end")).alias("left"))
-        .filter(F.col("met") + F.col("left") - 1 >= needed)
-        .select("row_a", "row_b")
-    )
-    first, second = (
-        known.select(F.col("row").alias(f"row_{x}"), F.struct(*keys).alias(f"family_{x}"), F.col("doc_id").alias(doc), F.col("set").alias(f"set_{x}"))
-        for x, doc in (("a", "rep"), ("b", "rep_b"))
+    known = docs.dropna(subset=keys)
+    size = F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+    sizes = known.groupBy(*keys).agg(size.alias("bytes")).filter(F.col("bytes") > block_bytes)
+    large = settle(sizes.select(*keys, F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks")))
+    sets = join_small(shingle_sets(known, keys), large, keys, "left", rows=row_bound(large))
+    dealt = sets.select(
+        *keys, "doc_id", "n", "sig", "sig2", F.array_join("set", "").alias("shingles"),
+        F.coalesce("blocks", F.lit(1)).alias("blocks"),
+    ).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    met = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+    kind = docs.schema["doc_id"].dataType
+    schema = StructType(
+        [docs.schema[k] for k in keys]
+        + [StructField("doc_id", kind), StructField("n", IntegerType()), StructField("sig", LongType()), StructField("sig2", IntegerType())]
+        + [StructField("member", BooleanType()), StructField("near", kind), StructField("similarity", DoubleType())]
     )
+    found = met.groupBy(*keys, "low", "high").applyInArrow(_nearest([*keys, "doc_id", "n", "sig", "sig2"], threshold), schema)
+    found = materialize(found, "nearest")
+    members = found.filter("member").select(*keys, "doc_id", "n", "sig", "sig2")
+    reps = distinct_sets(members, keys)
     checked = (
-        pairs.join(first, "row_a")
-        .join(second, "row_b")
-        .filter("family_a = family_b")
-        .withColumn("similarity", jaccard())
-        .select("family_b.*", "rep", "rep_b", "similarity")
-        .filter(F.col("similarity") >= threshold)
-    )
-    best = first_rows(
-        checked, [*keys, "rep_b"], [F.desc("similarity"), F.asc("rep")], 1
-    ).select(*keys, F.col("rep_b").alias("doc_id"), F.col("rep").alias("near"), "similarity")
-    return (
+        found.filter("near IS NOT NULL")
+        .join(reps, [*keys, "n", "sig", "sig2"])
+        .filter("rep = doc_id")
+        .select(*keys, "doc_id", "near", "similarity")
+    )
+    best = first_rows(checked, [*keys, "doc_id"], [F.desc("similarity"), F.asc("near")], 1)
+    matched = (
         members.join(reps, [*keys, "n", "sig", "sig2"], "left")
         .join(best, [*keys, "doc_id"], "left")
         .select(
@@ -132,6 +120,109 @@ def similar_earlier(
             .alias("similarity"),
         )
     )
+    # Documents without a family match nothing.
+    apart = docs.filter(~F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
+    return matched.unionByName(
+        apart.select(
+            *keys, "doc_id", F.lit(None).cast(kind).alias("best_doc"), F.lit(None).cast("double").alias("similarity")
+        )
+    )
+
+
+def _nearest(columns: list[str], threshold: float):
+    """Group function: every document of one block, or of two blocks, with the most
+    similar earlier one; of two blocks, the most similar one of the other."""
+
+    def of_group(table: pa.Table) -> pa.Table:
+        doc = table["doc_id"].combine_chunks()
+        rank = pc.rank(doc, tiebreaker="dense").to_numpy().astype(np.int64)
+        rows = np.argsort(rank, kind="stable")
+        rows = rows[~doc.is_null().to_numpy(zero_copy_only=False)[rows]]
+        # The first of equal sets stands for them.
+        marks = list(zip(*(table[c].to_pylist() for c in ("n", "sig", "sig2")), strict=True))
+        seen: set[tuple[int, int, int]] = set()
+        rows = np.array([i for i in rows if marks[i][0] and not (marks[i] in seen or seen.add(marks[i]))], np.int64)
+        block = table["block"].to_numpy()
+        apart = bool(table.num_rows) and table["low"][0].as_py() != table["high"][0].as_py()
+        near, similarity = np.full(table.num_rows, -1, np.int64), np.zeros(table.num_rows)
+        if len(rows) > 1:
+            sizes = table["n"].to_numpy()[rows].astype(np.int64)
+            codes = _shingle_codes(table["shingles"].take(pa.array(rows)), sizes)
+            for b, counts in _common(codes, sizes):
+                ok = rank[rows[:b]] < rank[rows[b]]
+                if apart:
+                    ok &= block[rows[:b]] != block[rows[b]]
+                alike = np.where(ok, counts / (sizes[:b] + sizes[b] - counts), 0.0)
+                a = int(alike.argmax())
+                if alike[a] >= threshold and alike[a] > 0:
+                    near[rows[b]], similarity[rows[b]] = rows[a], alike[a]
+        none = near < 0
+        out = pa.table(
+            {c: table[c] for c in columns}
+            | {
+                "member": pa.array(np.full(table.num_rows, not apart)),
+                "near": doc.take(pa.array(near, mask=none)),
+                "similarity": pa.array(similarity, mask=none),
+            }
+        )
+        return out.filter(pa.array(~none)) if apart else out
+
+    return of_group
+
+
+def _shingle_codes(texts: pa.ChunkedArray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all sets in order as two numbers each, which tell all shingles apart.
+
+    A code point has 21 bits.  A text shorter than a shingle is one; its end is filled
+    up with a number beyond all code points.
+    """
+    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+    lengths = pc.utf8_length(texts).to_numpy().astype(np.int64)
+    if (lengths != SHINGLE * sizes).any():
+        filled = np.full(SHINGLE * int(sizes.sum()), 0x110000, np.uint32)
+        shift = SHINGLE * (np.cumsum(sizes) - sizes) - (np.cumsum(lengths) - lengths)
+        filled[np.repeat(shift, lengths) + np.arange(len(points))] = points
+        points = filled
+    c = points.reshape(-1, SHINGLE).T.astype(np.uint64)
+    return c[0] << np.uint64(42) | c[1] << np.uint64(21) | c[2], c[3] << np.uint64(21) | c[4]
+
+
+def _common(codes: tuple[np.ndarray, np.ndarray], sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For every set, but those that share nothing, its common shingles with each before it."""
+    one, two = codes
+
+    def starts(order: np.ndarray, *parts: np.ndarray) -> np.ndarray:
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([p[order[1:]] != p[order[:-1]] for p in parts])
+        return new
+
+    mixed = one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(0xC2B2AE3D27D4EB4F)
+    order = np.argsort(mixed, kind="stable")
+    new = starts(order, one, two)
+    if new.sum() != starts(order, mixed).sum():  # shingles of one sum may lie mixed up
+        order = np.lexsort((two, one))
+        new = starts(order, one, two)
+    # Sets that hold a shingle, in order, lie together; the first of them at ``head``.
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    holder = np.repeat(np.arange(len(sizes)), sizes)[order]
+    heads, before = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    heads[order], before[order] = head, np.arange(len(order)) - head
+    ends = np.cumsum(sizes)
+    for b in range(1, len(sizes)):
+        part = slice(ends[b] - sizes[b], ends[b])
+        first, many = heads[part], before[part]
+        first, many = first[many > 0], many[many > 0]
+        if not len(many):
+            continue
+        upto = np.cumsum(many)
+        counts = np.zeros(b, np.int64)
+        # Bounded slices: a shingle is held by as many sets as lie before at most.
+        cuts = [0, *np.flatnonzero(np.diff(upto // HELD)) + 1, len(many)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            m = many[i:j]
+            at = np.repeat(first[i:j] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            counts += np.bincount(holder[at], minlength=b)
+        yield b, counts
 
 
 def jaccard(a: str = "set_a", b: str = "set_b"):
