@@ -86,3 +86,15 @@ def test_shingles_of_one_sum_are_told_apart():
         two = np.array([9, 9, 9, 9], np.uint64) + np.array([0, 1, 0, 0], np.uint64) * back
     got = {b: counts.tolist() for b, counts in versions._common((one, two), np.array([1, 1, 1, 1]))}
     assert got == {3: [1, 0, 0]}
+
+
+def test_long_lists_of_holders_are_counted_in_slices(monkeypatch):
+    rng = random.Random(2)
+    sets = [sorted(rng.sample(range(30), rng.randint(1, 12))) for _ in range(40)]
+    codes = np.array([x for s in sets for x in s], np.uint64)
+    for held in (versions.HELD, 3):
+        monkeypatch.setattr(versions, "HELD", held)
+        got = dict(versions._common((codes, codes + np.uint64(1)), np.array([len(s) for s in sets])))
+        for b, own in enumerate(sets):
+            counts = [len(set(own) & set(s)) for s in sets[:b]]
+            assert got[b].tolist() == counts if any(counts) else b not in got
